@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import clean_key, clean_key_sql, page_of
 from ..sources.tables import table
-from . import bpe, budget, lookalike, reservoir, stable_sample
+from . import bpe, budget, lookalike, packing, reservoir, stable_sample, subjects
 
 #: Passages a language in the sample of fixed size, and keys that a task's buffer holds before it is flushed.
 SAMPLE_SIZE, SAMPLE_BUFFER, SAMPLE_SEED = 200, 50, 20250317
 #: Share of a language's passages in the stable sample, and the higher share of languages with little text.
 STABLE_RATE, STABLE_RATE_LOW, LOW_LANGUAGES = 0.05, 0.2, ("yo", "sw")
+#: Tokens of a container.
+CAPACITY = 2048
 
 
 # 1: a sample of fixed size
@@ -140,7 +142,43 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     return bpe.decode_ids(p6_ids(spark, d), "doc_id")
 
 
-QUERIES = {q.__name__: q for q in (p1_sample, p2_found, p2_queries, p2_texts, p2_titles, p4_sample, p4_fingerprints, p4_builds, p5_budget, p5_tokens, p5_languages, p6_ids, p6_decoded)}
+# 7: containers of one capacity
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "documents").withColumn("lang", budget.plain_language(F.col("lang")))
+    return packing.pack(own, "doc_id", "lang", "text", CAPACITY)
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are, by tenths of the capacity."""
+    filled = p7_containers(spark, d).where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("n_tokens"), F.countDistinct("doc_id").alias("n_texts"))
+    return filled.groupBy(F.floor(F.col("n_tokens") * 10 / CAPACITY).alias("tenths")).agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n_texts").alias("n_texts"), F.sum("n_tokens").alias("n_tokens"))
+
+
+# 8: subjects
+
+
+def _subjects(spark: SparkSession, d: str) -> list[str]:
+    """The names of the few subjects."""
+    return sorted(r.subject for r in table(spark, d, "subjects").where("subject is not null").select("subject").distinct().limit(subjects.MOST_LANGUAGES).collect())
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = subjects.plain_documents(table(spark, d, "documents"))
+    return subjects.document_subjects(documents, table(spark, d, "subject_labels"), _subjects(spark, d)).distinct()
+
+
+def p8_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus measured by subject and language: documents, and sentences that treat it."""
+    documents = subjects.plain_documents(table(spark, d, "documents"))
+    shares = subjects.subject_shares(documents, table(spark, d, "subject_labels"), _subjects(spark, d))
+    counted = shares.groupBy("doc_id", "subject").agg(F.max("n_treating").alias("n_treating"), F.max("n_sentences").alias("n_sentences"))
+    own = counted.join(documents.select("doc_id", "lang"), "doc_id")
+    return own.groupBy("subject", "lang").agg(F.count_if(F.col("n_treating") > F.col("n_sentences") * subjects.SHARE).alias("n_documents"), F.sum("n_treating").alias("n_sentences"))
+
+
+QUERIES = {q.__name__: q for q in (p1_sample, p2_found, p2_queries, p2_texts, p2_titles, p4_sample, p4_fingerprints, p4_builds, p5_budget, p5_tokens, p5_languages, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_corpus)}
 
 _SAMPLE_SQL = f"""
   salts as (select lang, arg_min(seed, struct_pack(b := built_utc, i := build_id)) salt from metrics where seed is not null group by lang),
@@ -152,7 +190,7 @@ _SAMPLE_SQL = f"""
 _PART = "lpad(to_hex(sum(('0x' || substr(sha256(docid), {}, 8))::bigint) % 4294967296), 8, '0')"
 SQL = {
     "p4_sample": f"with {_SAMPLE_SQL} select * from sample",
-    "p4_fingerprints": f"with {_SAMPLE_SQL} select lang, count(*) as n_keys, lower({' || '.join(_PART.format(i) for i in (1, 9, 17, 25))}) as fingerprint from sample group by lang",
+    "p4_fingerprints": f"with {_SAMPLE_SQL} select lang, count(*) as n_keys, lower({' || '.join(_PART.format(i) for i in range(1, 64, 8))}) as fingerprint from sample group by lang",
     "p4_builds": f"""with docids as (select distinct build_id, {clean_key_sql('docid')} docid from subcorpus),
       own as (select build_id, count(*) n, sha256(string_agg(docid, chr(10) order by docid)) h from docids where docid is not null group by 1)
       select build_id, coalesce(n, 0) as n_docids, h as sha256, coalesce(h = docid_sha256, false) as up_to_date from metrics left join own using (build_id)""",

@@ -43,14 +43,14 @@ def stable_sample(df: DataFrame, stratum: str, key: str, salts: DataFrame, thres
 
 
 def fingerprint(distinct: DataFrame, by: list[str], key: str) -> DataFrame:
-    """(*by, n_keys, fingerprint) of distinct keys: sums of their SHA-256 in four parts, whatever their order.
+    """(*by, n_keys, fingerprint) of distinct keys: sums of their SHA-256 in eight parts, whatever their order.
 
     Sums merge before they are shuffled, so a group of any size is fingerprinted by all tasks together.
     """
     digest = F.sha2(F.col(key), 256)
     part = lambda i: F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint")
-    sums = [F.sum(part(i)).alias(f"s{i}") for i in range(4)]
-    text = F.concat_ws("", *(F.lpad(F.lower(F.hex(F.pmod(F.col(f"s{i}"), F.lit(1 << 32)))), 8, "0") for i in range(4)))
+    sums = [F.sum(part(i)).alias(f"s{i}") for i in range(8)]
+    text = F.concat_ws("", *(F.lpad(F.lower(F.hex(F.pmod(F.col(f"s{i}"), F.lit(1 << 32)))), 8, "0") for i in range(8)))
     return distinct.groupBy(*by).agg(F.count(F.lit(1)).alias("n_keys"), *sums).select(*by, "n_keys", text.alias("fingerprint"))
 
 
