@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import integrity
+from ..functions.numbers import rounded_sql
+from . import evaluation, integrity, retrieval
 
-MODULES = (integrity,)
+MODULES = (integrity, retrieval, evaluation)
 
 
 def queries() -> dict:
@@ -12,4 +13,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
+    return {name: rounded_sql(sql) for module in MODULES for name, sql in module.SQL.items()}
