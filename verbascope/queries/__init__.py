@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..functions.numbers import rounded_sql
-from . import evaluation, integrity, retrieval
+from . import analysis, evaluation, ingest, integrity, retrieval
 
-MODULES = (integrity, retrieval, evaluation)
+MODULES = (integrity, retrieval, evaluation, analysis, ingest)
 
 
 def queries() -> dict:
