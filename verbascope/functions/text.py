@@ -59,6 +59,18 @@ def char_grams(text: Column, n: int) -> Column:
 TOKENISERS: dict[str, Callable[[Column], Column]] = {"word": words} | {f"char{n}": (lambda text, n=n: char_grams(text, n)) for n in (2, 3, 4, 5)}
 
 
+def python_tokeniser(name: str) -> Callable[[str], list[str]]:
+    """The same tokeniser over one Python string, for operators that work on Arrow batches."""
+    if name == "word":
+        return str.split
+    n = int(name[len("char") :])
+
+    def grams(text: str) -> list[str]:
+        return [w[i : i + n] for w in text.split() for i in range(max(1, len(w) - n + 1))]
+
+    return grams
+
+
 def passage_text(title: Column, text: Column) -> Column:
     """Title and text of a passage as one, without blanks at its ends."""
     return F.trim(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(text, F.lit(""))))

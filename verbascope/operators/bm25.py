@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import rounded
-from ..functions.text import TOKENISERS
+from ..functions.numbers import NUDGE, rounded
+from ..functions.text import TOKENISERS, python_tokeniser
+from ..plans.materialise import materialise
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Places to which scores are rounded before they are ranked, so that ties are ties whatever the order of summing.
 PLACES = 6
+#: Weighted query terms that are broadcast as one block, and documents that a task multiplies with them at a time.
+BLOCK_TERMS, BATCH_DOCUMENTS = 400_000, 512
 
 
 def postings(corpus: DataFrame, tokens: Column) -> DataFrame:
@@ -80,8 +83,104 @@ def padded(top: DataFrame, topics: DataFrame, corpus: DataFrame, depth: int) ->
     return ranked(top.select("lang", "qid", "docid", "score").unionByName(extra), depth)
 
 
-def run_bm25(corpus: DataFrame, topics: DataFrame, tokeniser: str = "char4", depth: int = 100, pad: bool = True) -> DataFrame:
-    """(lang, qid, docid, score, rank) of normalised corpus (lang, docid, norm) and topics (lang, qid, norm)."""
+def document_frequencies(corpus: DataFrame, tokens: Column, statistics: DataFrame) -> DataFrame:
+    """As `inverse_frequencies`, straight from the documents: each counts a term once, and counts are merged before the shuffle."""
+    return inverse_frequencies(corpus.select("lang", F.explode(F.array_distinct(tokens)).alias("term")), statistics)
+
+
+def run_bm25(corpus: DataFrame, topics: DataFrame, tokeniser: str = "char4", depth: int = 100) -> DataFrame:
+    """(lang, qid, docid, score, rank): the best `depth` documents of each query's language, those of score 0 in docid order.
+
+    corpus: (lang, docid, norm), one row a document; topics: (lang, qid, norm). Each query's weighted terms are
+    sent to the documents in blocks of at most BLOCK_TERMS terms; a task multiplies them with its documents
+    and keeps the best `depth` a query, so that neither postings nor pairs of query and document are shuffled.
+    Null texts are empty; empty queries rank all documents at 0; languages without documents have no rows.
+    """
     tokens = TOKENISERS[tokeniser](F.col("norm"))
-    top = ranked(scored(corpus, topics, tokens, tokens), depth)
-    return padded(top, topics, corpus, depth) if pad else top
+    statistics = collection_statistics(lengths(corpus, tokens))
+    asked = query_terms(topics, tokens)
+    vocabulary = document_frequencies(corpus, tokens, statistics)
+    weights = asked.join(vocabulary, ["lang", "term"]).select("lang", "qid", "term", (F.col("idf") * F.col("qtf")).alias("weight"))
+    means = {r.lang: r.mean_length for r in statistics.select("lang", "mean_length").collect()}
+    weighted = materialise(topics.select("lang", "qid").join(weights.groupBy("lang", "qid").agg(F.collect_list(F.struct("term", "weight")).alias("terms")), ["lang", "qid"], "left"))
+    n_blocks = max(1, -(-(weighted.agg(F.sum(F.greatest(F.size("terms"), F.lit(1)))).first()[0] or 1) // BLOCK_TERMS))
+    result = None
+    for block in range(n_blocks):  # what one broadcast may hold; the number of blocks follows the stated query set
+        held = weighted.where(F.pmod(F.xxhash64("lang", "qid"), F.lit(n_blocks)) == block).collect()
+        part = _block_scores(corpus, [(r.lang, r.qid, [(t.term, t.weight) for t in r.terms or ()]) for r in held], means, tokeniser, depth)
+        result = part if result is None else result.unionByName(part)
+    return ranked(result, depth)
+
+
+def _block_scores(corpus: DataFrame, held: list, means: dict, tokeniser: str, depth: int) -> DataFrame:
+    """(lang, qid, docid, score): each task's best documents for a block of queries."""
+    shared = corpus.sparkSession.sparkContext.broadcast((held, means))
+
+    def batches(source):
+        import numpy as np
+        import pyarrow as pa
+
+        queries, mean_length = shared.value
+        split = python_tokeniser(tokeniser)
+        languages: dict[str, _Queries] = {}
+        for lang in {lang for lang, _, _ in queries}:
+            languages[lang] = _Queries([(q, terms) for x, q, terms in queries if x == lang], depth)
+        waiting: dict[str, list] = {lang: [] for lang in languages}
+        for batch in source:
+            for lang, docid, norm in zip(*(c.to_pylist() for c in batch.columns)):
+                if lang in waiting:
+                    own = waiting[lang]
+                    own.append((docid, split(norm or "")))
+                    if len(own) >= BATCH_DOCUMENTS:
+                        languages[lang].add(own, mean_length[lang])
+                        own.clear()
+        for lang, own in waiting.items():
+            if own:
+                languages[lang].add(own, mean_length[lang])
+            for qid, docids, scores in languages[lang].best():
+                n = len(docids)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([qid] * n, pa.string()), pa.array(docids, pa.string()), pa.array(np.asarray(scores, float))], names=["lang", "qid", "docid", "score"])
+
+    return corpus.select("lang", "docid", "norm").mapInArrow(batches, "lang string, qid string, docid string, score double")
+
+
+class _Queries:
+    """Weighted queries of one language and the best documents seen so far."""
+
+    def __init__(self, queries: list, depth: int):
+        import numpy as np
+
+        self.qids, self.depth = [q for q, _ in queries], depth
+        self.number: dict[str, int] = {}
+        for _, terms in queries:
+            for term, _ in terms:
+                self.number.setdefault(term, len(self.number))
+        self.weights = np.zeros((len(queries), max(1, len(self.number))))
+        for row, (_, terms) in zip(self.weights, queries):
+            for term, weight in terms:
+                row[self.number[term]] += weight
+        self.docids: list[list[str]] = [[] for _ in queries]
+        self.scores = [np.zeros(0) for _ in queries]
+
+    def add(self, documents: list, mean_length: float) -> None:
+        import numpy as np
+
+        order = sorted(documents)
+        impact = np.zeros((self.weights.shape[1], len(order)))
+        length = np.array([len(tokens) for _, tokens in order], float)
+        scale = K1 * (1 - B + B * length / mean_length) if mean_length else np.full(len(order), K1)
+        for column, (_, tokens) in enumerate(order):
+            numbers = [n for t in tokens if (n := self.number.get(t)) is not None]
+            if numbers:
+                terms, counts = np.unique(numbers, return_counts=True)
+                impact[terms, column] = counts * (K1 + 1) / (counts + scale[column])
+        scores = np.round(self.weights @ impact + NUDGE, PLACES)
+        names = np.array([docid for docid, _ in order], object)
+        for q, own in enumerate(scores):
+            near = np.argsort(-own, kind="stable")[: self.depth]  # documents are in docid order, so ties are too
+            docids, values = [*self.docids[q], *names[near]], np.concatenate([self.scores[q], own[near]])
+            kept = sorted(range(len(docids)), key=lambda i: (-values[i], docids[i]))[: self.depth]
+            self.docids[q], self.scores[q] = [docids[i] for i in kept], values[kept]
+
+    def best(self):
+        return zip(self.qids, self.docids, self.scores)

@@ -25,12 +25,26 @@ def topics(spark: SparkSession, d: str, exact: bool = False) -> DataFrame:
     return C.topics(spark, d).select("lang", "qid", norm(F.col("text")).alias("norm"))
 
 
-def run(spark: SparkSession, d: str, tokeniser: str = "char4", exact: bool = False, pad: bool = True) -> DataFrame:
-    return bm25.run_bm25(corpus(spark, d, exact), topics(spark, d, exact), tokeniser, 100, pad)
+def run(spark: SparkSession, d: str, tokeniser: str = "char4", exact: bool = False) -> DataFrame:
+    return bm25.run_bm25(corpus(spark, d, exact), topics(spark, d, exact), tokeniser)
 
 
-def _run(tokeniser: str, exact: bool = False, pad: bool = True):
-    return lambda spark, d: run(spark, d, tokeniser, exact, pad).withColumn("rank", F.col("rank").cast("bigint"))
+def _run(tokeniser: str, exact: bool = False):
+    return lambda spark, d: run(spark, d, tokeniser, exact).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def j04_scored(spark, d):
+    """Every pair of query and document with a common word, by joining postings to query terms; the best hundred."""
+    words = X.words(F.col("norm"))
+    hits = bm25.scored(corpus(spark, d), topics(spark, d), words, words)
+    return bm25.ranked(hits, 100).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def x02_padded(spark, d):
+    """The same, filled to a hundred with documents without a common word."""
+    words, own, asked = X.words(F.col("norm")), corpus(spark, d), topics(spark, d)
+    hits = bm25.ranked(bm25.scored(own, asked, words, words), 100)
+    return bm25.padded(hits, asked, own, 100).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def f01_normalise(spark, d):
@@ -166,17 +180,17 @@ _COUNT = "(length(text) - length(regexp_replace(text, '{}', '', 'g')))::bigint"
 QUERIES = {
     "x01_bm25_char4": _run("char4"),
     "x01_bm25_char4_exact": _run("char4", exact=True),
-    "x02_bm25_char4_unpadded": _run("char4", pad=False),
     "x03_bm25_word": _run("word"),
     "x03_bm25_char2": _run("char2"),
     "x03_bm25_char3": _run("char3"),
     "x03_bm25_char5": _run("char5"),
-} | {q.__name__: q for q in (f01_normalise, f01_normalise_exact, f02_categories, f03_words, f04_char4, a04_lengths, a05_idf, r05_synthetic, r06_known_items, x07_cosine, f08_unit_vectors, f08_masked_mean, f09_dot, x04_encode, x05_shards, x06_remaining, x08_token_length)}
+} | {q.__name__: q for q in (j04_scored, x02_padded, f01_normalise, f01_normalise_exact, f02_categories, f03_words, f04_char4, a04_lengths, a05_idf, r05_synthetic, r06_known_items, x07_cosine, f08_unit_vectors, f08_masked_mean, f09_dot, x04_encode, x05_shards, x06_remaining, x08_token_length)}
 
 _SHARDED = f"with {C.CTES}, own as (select lang, qid, length(text)::bigint n_chars, (row_number() over (partition by lang order by length(text), qid) - 1) // 64 as shard from topics)"
 SQL = {
     "x01_bm25_char4": _run_sql("char4"),
-    "x02_bm25_char4_unpadded": _run_sql("char4", False),
+    "j04_scored": _run_sql("word", False),
+    "x02_padded": _run_sql("word"),
     "x03_bm25_word": _run_sql("word"),
     "x03_bm25_char2": _run_sql("char2"),
     "x03_bm25_char3": _run_sql("char3"),
