@@ -16,6 +16,8 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.spread import spread
+
 #: Where the vocabulary files lie, unless a caller names another folder.
 TOKENIZER_FOLDER = os.environ.get("VERBASCOPE_TOKENIZERS", "/opt/tokenizers")
 #: The pattern, published with the vocabulary, that splits text before merging.
@@ -92,7 +94,7 @@ def encoder(name: str, folder: str) -> BytePairEncoder:
 def encode_texts(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", folder: str = TOKENIZER_FOLDER) -> DataFrame:
     """(key, ids) for every row of `df`, repeated ones too; null and empty texts have an empty list.
 
-    One narrow pass: no shuffle, and a batch of texts at a time in a worker.
+    One narrow pass, without a shuffle unless there are fewer files than cores, and a batch of texts at a time in a worker.
     """
 
     def batches(source: Iterator) -> Iterator:
@@ -108,7 +110,7 @@ def encode_texts(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k",
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.col(text)).mapInArrow(batches, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(key, F.col(text)), key).mapInArrow(batches, f"`{key}` {kind}, ids array<int>")
 
 
 def decode_ids(df: DataFrame, key: str, name: str = "byte_bpe_50k", folder: str = TOKENIZER_FOLDER) -> DataFrame:

@@ -75,8 +75,8 @@ UNSEEN = "034F 115F-1160 17B4-17B5 FE00-FE0F E0100-E01EF"
 SEEN_FORMATS = "0600-0605 06DD 070F 08E2 110BD 110CD"
 #: Blanks outside the category of spaces.
 BLANKS = "0009-000D 001C-001F 0085 2028-2029 2800 3164 FFA0"
-#: Blocks of radicals that have the looks of an ideograph, and vowel signs of two parts.
-COMPATIBLE = "2E80-2FDF 0E33 0EB3"
+#: Blocks of radicals that have the looks of an ideograph.
+COMPATIBLE = "2E80-2FDF"
 NON_JOINER, JOINER = "\u200c", "\u200d"
 
 
@@ -151,6 +151,8 @@ def patterns():
         "cursive": regex.compile(r"[\p{Arabic}\p{Syriac}\p{Nko}\p{Mongolian}\p{Mandaic}\p{Adlam}]"),
         "emoji": regex.compile(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}]"),
         "nikhahit": re.compile("\u0e4d([\u0e48-\u0e4b]?)\u0e32"),
+        "foldable": re.compile("[" + "".join(re.escape(chr(x)) for x in folds() if x < 0x10000) + "]"),
+        "beyond": re.compile("[\U00010000-\U0010ffff]"),
     }
 
 
@@ -183,6 +185,7 @@ def shaping_joiners(text: str) -> str:
     return patterns()["joiners"].sub(keep, text)
 
 
+@lru_cache(maxsize=1 << 16)
 def consistent_token(token: str, own: str | None) -> str:
     """`token` (canonically decomposed) in one script if one can spell all of it."""
     spellings, first = look_alikes()
@@ -211,7 +214,8 @@ def normal_form(text: str | None, lang: str | None) -> str | None:
     use = patterns()
     own = OWN_SCRIPT.get(lang, "Latin")
     if not text.isascii():
-        text = text.translate(folds())
+        if use["foldable"].search(text) or use["beyond"].search(text):
+            text = text.translate(folds())
         if NON_JOINER in text or JOINER in text:
             text = shaping_joiners(text)
         if "\u0e4d" in text:

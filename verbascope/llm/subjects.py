@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialise import materialise
+from ..plans.spread import spread
 from .budget import plain_language, plain_name
 from .lookalike import normal_form
 
@@ -45,17 +46,21 @@ def patterns():
         "brackets": regex.compile(r"\s*\([^()]*\)"),
         "notes": regex.compile(r"\[\p{N}+\]"),
         "links": regex.compile(r"\[\[|\]\]"),
-        "ends": regex.compile(r"[.!?؟۔।॥]+[\"'”’»]*(?=\s|\x01|$)|[。!?｡]+(?=[\p{Han}\p{Hiragana}\p{Katakana}])|[。｡]+"),
+        "ends": regex.compile(r"[.!?؟۔।॥]+(?:[\"'”’»]*(?=\s+[^\p{Ll}\s]|\x01|\s*$)|(?=[\"“]?[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]))|[。｡]+"),
         # scripts without full stops and blanks between words: a blank between two letters ends a sentence, a note does so always
         "thai ends": regex.compile(r"(?<=[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\"])\x01? +(?=[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\"])|\x01"),
         "thai": regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"),
-        "letters": regex.compile(r"\p{L}"),
+        "letters": regex.compile(r"\p{L}[^\p{L}]*\p{L}"),
+        "numeral": regex.compile(r"[ivxlcdm]+"),
         "terms": regex.compile(r"(?P<han>\p{Han}+)|(?P<kana>[\p{Katakana}ー]+|\p{Hiragana}+)|(?P<thai>[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+)|(?P<word>[\p{L}\p{M}]+(?:[-'’\u200c\u200d][\p{L}\p{M}]+)*)"),
     }
 
 
 def sentences(text: str | None, lang: str | None) -> list[str]:
-    """The sentences of a text, without markup, numbering, names of members, notes and brackets; headings are none."""
+    """The sentences of a text, without markup, numbering, names of members, notes and brackets; headings and page numbers are none.
+
+    A full stop before a small letter belongs to an abbreviation.
+    """
     use, found = patterns(), []
     for line in use["lines"].split(text or ""):
         line = use["tags"].sub(" ", line)
@@ -63,8 +68,10 @@ def sentences(text: str | None, lang: str | None) -> list[str]:
             continue
         line = use["links"].sub("", normal_form(line, lang) or "")
         line = use["notes"].sub("\x01", use["brackets"].sub("", use["opening"].sub("", line)))
-        parts = use["thai ends"].split(line) if use["thai"].search(line) else use["ends"].split(line)
-        found += [p.strip(" \x01") for p in parts if p and len(use["letters"].findall(p)) > 1]
+        parts = use["ends"].split(line)
+        if use["thai"].search(line):
+            parts = [x for p in parts for x in use["thai ends"].split(p)]
+        found += [s for p in parts if use["letters"].search(p) and not use["numeral"].fullmatch(s := p.strip(" \x01"))]
     return found
 
 
@@ -191,7 +198,7 @@ def document_counts(df: DataFrame) -> DataFrame:
             keys = list(tally)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(tally.values()), pa.int64())], names=["lang", "term", "n"])
 
-    counts = df.where("lang is not null and text is not null").select("lang", "text").mapInArrow(batches, "lang string, term string, n bigint")
+    counts = spread(df, "doc_id").where("lang is not null and text is not null").select("lang", "text").mapInArrow(batches, "lang string, term string, n bigint")
     counts = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("term").isNull() | (F.col("n") >= LEAST_DOCUMENTS))
     first = Window.partitionBy("lang").orderBy(F.col("term").isNotNull(), F.desc("n"), "term")
     return counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= FIT_TERMS + 1).drop("place")
@@ -256,7 +263,7 @@ def subject_shares(df: DataFrame, labels: DataFrame, subjects: list[str]) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema[0].type, pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "subject", "n_treating", "n_sentences"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "lang", "text").mapInArrow(batches, f"doc_id {kind}, subject string, n_treating bigint, n_sentences bigint")
+    return spread(df.select("doc_id", "lang", "text"), "doc_id").mapInArrow(batches, f"doc_id {kind}, subject string, n_treating bigint, n_sentences bigint")
 
 
 def document_subjects(df: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
