@@ -95,9 +95,11 @@ def run_bm25(corpus: DataFrame, topics: DataFrame, tokeniser: str = "char4", dep
     sent to the documents in blocks of at most BLOCK_TERMS terms; a task multiplies them with its documents
     and keeps the best `depth` a query, so that neither postings nor pairs of query and document are shuffled.
     Null texts are empty; empty queries rank all documents at 0; languages without documents have no rows.
+    The corpus is read three times (lengths, frequencies, scores) and therefore kept in the shared folder first.
     """
+    corpus = materialise(corpus.select("lang", "docid", "norm"))
     tokens = TOKENISERS[tokeniser](F.col("norm"))
-    statistics = collection_statistics(lengths(corpus, tokens))
+    statistics = materialise(collection_statistics(lengths(corpus, tokens)))
     asked = query_terms(topics, tokens)
     vocabulary = document_frequencies(corpus, tokens, statistics)
     weights = asked.join(vocabulary, ["lang", "term"]).select("lang", "qid", "term", (F.col("idf") * F.col("qtf")).alias("weight"))
