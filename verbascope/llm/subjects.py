@@ -34,6 +34,10 @@ KNOWN, LEAST_KNOWN = 0.4, 0.2
 NONE = ""
 
 
+#: Letters with their marks, joined by hyphens, apostrophes and joiners.
+WORD = r"[\p{L}\p{M}]+(?:[-'’\u200c\u200d][\p{L}\p{M}]+)*"
+
+
 @lru_cache(maxsize=1)
 def patterns():
     import regex
@@ -52,7 +56,9 @@ def patterns():
         "thai": regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"),
         "letters": regex.compile(r"\p{L}[^\p{L}]*\p{L}"),
         "numeral": regex.compile(r"[ivxlcdm]+"),
-        "terms": regex.compile(r"(?P<han>\p{Han}+)|(?P<kana>[\p{Katakana}ー]+|\p{Hiragana}+)|(?P<thai>[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+)|(?P<word>[\p{L}\p{M}]+(?:[-'’\u200c\u200d][\p{L}\p{M}]+)*)"),
+        "terms": regex.compile(r"(?P<han>\p{Han}+)|(?P<kana>[\p{Katakana}ー]+|\p{Hiragana}+)|(?P<thai>[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+)|(?P<word>" + WORD + ")"),
+        "words": regex.compile(WORD),
+        "unspaced": regex.compile(r"[\p{Han}\p{Katakana}\p{Hiragana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"),
     }
 
 
@@ -63,11 +69,15 @@ def sentences(text: str | None, lang: str | None) -> list[str]:
     """
     use, found = patterns(), []
     for line in use["lines"].split(text or ""):
-        line = use["tags"].sub(" ", line)
+        if "<" in line or "&" in line or "://" in line:
+            line = use["tags"].sub(" ", line)
         if use["heading"].match(line):
             continue
-        line = use["links"].sub("", normal_form(line, lang) or "")
-        line = use["notes"].sub("\x01", use["brackets"].sub("", use["opening"].sub("", line)))
+        line = use["opening"].sub("", normal_form(line, lang) or "")
+        if "(" in line:
+            line = use["brackets"].sub("", line)
+        if "[" in line:
+            line = use["notes"].sub("\x01", use["links"].sub("", line))
         parts = use["ends"].split(line)
         if use["thai"].search(line):
             parts = [x for p in parts for x in use["thai ends"].split(p)]
@@ -75,10 +85,20 @@ def sentences(text: str | None, lang: str | None) -> list[str]:
     return found
 
 
+@lru_cache(maxsize=1 << 16)
+def beginnings(word: str) -> tuple[str, ...]:
+    """A word without its last two letters, without its last, and whole; of short words fewer."""
+    return tuple(word[:n] for n in range(min(len(word), max(4, len(word) - 2)), len(word) + 1))
+
+
 def terms(sentence: str) -> list[str]:
     """Terms in lower case: words and their beginnings, so that endings matter less; of scripts without blanks, short runs of characters."""
-    found: list[str] = []
-    for m in patterns()["terms"].finditer(sentence.lower()):
+    use, found, sentence = patterns(), [], sentence.lower()
+    if not use["unspaced"].search(sentence):
+        for word in use["words"].findall(sentence):
+            found += beginnings(word)
+        return found
+    for m in use["terms"].finditer(sentence):
         word, kind = m.group(), m.lastgroup
         if kind == "han":
             found += [word] if len(word) < 3 else [word[i : i + n] for n in (2, 3) for i in range(len(word) - n + 1)]
@@ -87,7 +107,7 @@ def terms(sentence: str) -> list[str]:
         elif kind == "kana":
             found.append(word)
         else:
-            found += [word[:n] for n in range(min(len(word), max(4, len(word) - 2)), len(word) + 1)]
+            found += beginnings(word)
     return found
 
 
