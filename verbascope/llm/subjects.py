@@ -142,11 +142,9 @@ def fit(bags: list[list[set[str]]], labels: list[set[str]], found_in: dict[str,
             matrix[i, [number[t] for t in sentence if t in number]] += 1
     matrix = np.log1p(matrix) * weight
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
-    values, left = np.linalg.eigh((matrix @ matrix.T).astype(float))
-    top = np.argsort(-values)[: min(DIMENSIONS, int((values > 1e-6).sum()))]
-    if not len(top):
+    basis = leading_directions(matrix, DIMENSIONS)
+    if not basis.shape[1]:
         return None
-    basis = matrix.T @ (left[:, top] / np.sqrt(values[top]))
     embedded = matrix @ basis
     classes = [*subjects, NONE]
     chosen = [[i for i, own in enumerate(labels) if c in own and len(own) == 1] for c in classes]
@@ -155,11 +153,11 @@ def fit(bags: list[list[set[str]]], labels: list[set[str]], found_in: dict[str,
     mean = embedded[sorted(i for rows in chosen for i in rows)].mean(0)
     term_vectors = basis * weight[:, None]
     rows = [[number[t] for t in s if t in number] for document in bags for s in document]
-    parts = np.array([term_vectors[r].sum(0) if r else np.zeros(len(top)) for r in rows])
+    parts = np.array([term_vectors[r].sum(0) if r else np.zeros(basis.shape[1]) for r in rows])
     lengths = np.array([max(len(r), 1) for r in rows])
     shift = parts.sum(0) / lengths.sum()
     parts = unit(parts - shift * lengths[:, None])
-    centroids = unit(np.array([embedded[i].mean(0) - mean if i else np.zeros(len(top)) for i in chosen]))
+    centroids = unit(np.array([embedded[i].mean(0) - mean if i else np.zeros(basis.shape[1]) for i in chosen]))
     for _ in range(ROUNDS):
         near = parts @ centroids.T
         best = near.argmax(1)
@@ -168,6 +166,18 @@ def fit(bags: list[list[set[str]]], labels: list[set[str]], found_in: dict[str,
     return Model(number, term_vectors.astype(np.float32), shift.astype(np.float32), centroids.astype(np.float32), classes)
 
 
+def leading_directions(matrix, n: int):
+    """The first `n` right singular vectors as columns, by subspace iteration; fewer if the rank is less."""
+    import numpy as np
+
+    extra = min(n + 16, *matrix.shape)
+    found = np.random.default_rng(0).standard_normal((matrix.shape[1], extra)).astype(matrix.dtype)
+    for _ in range(8):
+        found = np.linalg.qr(matrix.T @ np.linalg.qr(matrix @ found)[0])[0]
+    _, values, right = np.linalg.svd(matrix @ found, full_matrices=False)
+    return (found @ right.T)[:, : min(n, int((values > 1e-3).sum()))].astype(float)
+
+
 def unit(rows):
     import numpy as np
 
@@ -210,13 +220,12 @@ def document_counts(df: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in source:
-            tally: Counter = Counter()
+            tallies: dict[str, Counter] = {}
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if own := {t for s in sentences(text, lang) for t in terms(s)}:
-                    tally.update((lang, t) for t in own)
-                    tally[lang, None] += 1
-            keys = list(tally)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(tally.values()), pa.int64())], names=["lang", "term", "n"])
+                    tallies.setdefault(lang, Counter()).update((None, *own))
+            for lang, tally in tallies.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(tally), pa.string()), pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], names=["lang", "term", "n"])
 
     counts = spread(df, "doc_id").where("lang is not null and text is not null").select("lang", "text").mapInArrow(batches, "lang string, term string, n bigint")
     counts = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("term").isNull() | (F.col("n") >= LEAST_DOCUMENTS))
