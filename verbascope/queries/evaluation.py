@@ -165,7 +165,77 @@ def j08_unevaluated(spark, d):
     return own.groupBy("lang").agg(F.countDistinct("qid").alias("n_topics"), F.countDistinct(F.when(F.col("sys_name").isNull(), F.col("qid"))).alias("n_unevaluated"))
 
 
-_Q = (v06_evaluate, v06_evaluate_word, a01_mean_scores, a01_bm25_means, w02_ideal, j06_judged_run, j07_hits, k04_languages_by_miss, v08_categories, a08_failure_rates, j09_pairs, u02_common_queries, t01_differences, a09_transitions, k05_largest_transitions, v09_rescued, v10_exposure, a12_exposure_summary, v11_against_published, a13_best_n, a14_gain_over_words, pr06_positives, a06_survey, a07_survey_summary, a11_judged_share, j08_unevaluated)
+def _lot_run(spark, d):
+    """A cheap run: each query's judged passages and its language's first ten passages, in the order of their hashes."""
+    first = C.passages(spark, d).select("lang", "docid").withColumn("place", F.row_number().over(bm25.Window.partitionBy("lang").orderBy("docid"))).where("place <= 10")
+    own = C.judgments(spark, d).select("lang", "qid", "docid").unionByName(C.topics(spark, d).select("lang", "qid").join(first.select("lang", "docid"), "lang")).distinct()
+    order = bm25.Window.partitionBy("lang", "qid").orderBy(F.md5("docid"), "docid")
+    return own.withColumn("rank", F.row_number().over(order).cast("bigint"))
+
+
+def _lot_scores(spark, d, *columns):
+    own = V.evaluate(_lot_run(spark, d), C.judgments(spark, d), C.topics(spark, d))
+    return own.select("lang", "qid", *(rounded(c, 6).alias(c) if c in ROUNDED else c for c in columns))
+
+
+def w01_ranks(spark, d):
+    return _lot_run(spark, d)
+
+
+def v01_dcg(spark, d):
+    """The discounted gain of the first ten, of the run by lot."""
+    own = _lot_run(spark, d).where("rank <= 10").join(C.judgments(spark, d).where("rel > 0"), ["lang", "qid", "docid"])
+    return own.groupBy("lang", "qid").agg(rounded(F.sum(V.discounted(F.col("rel"), F.col("rank"))), 6).alias("dcg"))
+
+
+def v02_ndcg(spark, d):
+    return _lot_scores(spark, d, "ndcg10")
+
+
+def v03_recall(spark, d):
+    return _lot_scores(spark, d, "recall100", "n_positives")
+
+
+def v04_mrr(spark, d):
+    return _lot_scores(spark, d, "mrr10")
+
+
+def v05_unjudged(spark, d):
+    return _lot_scores(spark, d, "unjudged10", "unjudged100")
+
+
+def w03_first_relevant(spark, d):
+    """The rank of the first relevant passage of the run by lot, where there is one."""
+    own = _lot_run(spark, d).join(C.judgments(spark, d).where("rel > 0"), ["lang", "qid", "docid"])
+    return own.groupBy("lang", "qid").agg(F.min("rank").alias("first"))
+
+
+def a18_score_spread(spark, d):
+    """Best of, median and quartiles of nDCG@10 by system."""
+    own = C.scores(spark, d).where("ndcg10 is not null").groupBy("sys_name").agg(F.max("ndcg10").alias("best"), F.percentile("ndcg10", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    return own.select("sys_name", rounded("best", 6).alias("best"), *(rounded(F.col("q")[i], 6).alias(n) for i, n in enumerate(("lower", "median", "upper"))))
+
+
+def pr12_keys(spark, d):
+    """A name for each comparison of a dense system with a lexical one in a metric, that no other has."""
+    own = C.scores(spark, d).select("sys_name").distinct()
+    lexical, dense_ones = own.where("sys_name like 'bm25%'").select(F.col("sys_name").alias("reference")), own.where("sys_name like 'dense%'")
+    joined = dense_ones.withColumn("kind", F.lit(1)).join(lexical.withColumn("kind", F.lit(1)), "kind")
+    return joined.select("sys_name", "reference", F.explode(F.array(*map(F.lit, ROUNDED))).alias("metric")).select("sys_name", "reference", "metric", F.concat_ws("__", "sys_name", "reference", "metric").alias("key"))
+
+
+def pr13_rounded(spark, d):
+    """Stored scores to the places in which they are reported."""
+    return C.scores(spark, d).select("sys_name", "lang", "qid", rounded("ndcg10", 4).alias("ndcg10"), rounded(F.col("unjudged10").cast("double"), 3).alias("unjudged10"))
+
+
+def f19_percent(spark, d):
+    """Differences in nDCG@10 as signed per cent."""
+    diff = rounded(100 * (F.col("b.ndcg10") - F.col("a.ndcg10")), 1)
+    return _pairs(spark, d).where("a.ndcg10 is not null and b.ndcg10 is not null").select("lang", "qid", F.concat(F.when(diff < 0, F.lit("-")).otherwise(F.lit("+")), F.format_string("%.1f", F.abs(diff)), F.lit("%")).alias("shown"))
+
+
+_Q = (w01_ranks, w03_first_relevant, v01_dcg, v02_ndcg, v03_recall, v04_mrr, v05_unjudged, a18_score_spread, pr12_keys, pr13_rounded, f19_percent, v06_evaluate, v06_evaluate_word, a01_mean_scores, a01_bm25_means, w02_ideal, j06_judged_run, j07_hits, k04_languages_by_miss, v08_categories, a08_failure_rates, j09_pairs, u02_common_queries, t01_differences, a09_transitions, k05_largest_transitions, v09_rescued, v10_exposure, a12_exposure_summary, v11_against_published, a13_best_n, a14_gain_over_words, pr06_positives, a06_survey, a07_survey_summary, a11_judged_share, j08_unevaluated)
 QUERIES = {q.__name__: q for q in _Q}
 
 _IDEAL = "ideal as (select lang, qid, count(*) n_positives, sum(case when place <= 10 then rel / log2(place + 1) end) idcg from (select *, row_number() over (partition by lang, qid order by rel desc, docid) place from judgments where rel > 0) group by all)"
@@ -190,7 +260,21 @@ def _sweep(n: int) -> str:
     return f"select * from (with {retrieval.bm25_sql(f'char{n}')}, {_EVALUATED} select lang, {n}::bigint as n, round(avg(ndcg10), 6) as ndcg10 from evaluated group by 1)"
 
 
+_LOT = f"""with {C.CTES}, run as (select lang, qid, docid, row_number() over (partition by lang, qid order by md5(docid), docid) rank from (select lang, qid, docid from judgments union
+    select t.lang, t.qid, p.docid from topics t join (select lang, docid from passages qualify row_number() over (partition by lang order by docid) <= 10) p using (lang))), {_EVALUATED}"""
+
 SQL = {
+    "w01_ranks": f"{_LOT} select lang, qid, docid, rank from run",
+    "w03_first_relevant": f"{_LOT} select lang, qid, min(rank) as first from run join judgments using (lang, qid, docid) where rel > 0 group by all",
+    "v01_dcg": f"{_LOT} select lang, qid, round(dcg, 6) as dcg from found where dcg is not null",
+    "v02_ndcg": f"{_LOT} select lang, qid, ndcg10 from evaluated",
+    "v03_recall": f"{_LOT} select lang, qid, recall100, n_positives from evaluated",
+    "v04_mrr": f"{_LOT} select lang, qid, mrr10 from evaluated",
+    "v05_unjudged": f"{_LOT} select lang, qid, unjudged10, unjudged100 from evaluated",
+    "a18_score_spread": f"with {C.CTES} select sys_name, round(max(ndcg10), 6) as best, round(quantile_cont(ndcg10, 0.25), 6) as lower, round(quantile_cont(ndcg10, 0.5), 6) as median, round(quantile_cont(ndcg10, 0.75), 6) as upper from scores where ndcg10 is not null group by 1",
+    "pr12_keys": f"with {C.CTES}, own as (select distinct sys_name from scores) select a.sys_name, b.sys_name as reference, metric, a.sys_name || '__' || b.sys_name || '__' || metric as key from own a, own b, (values ('ndcg10'), ('recall100'), ('mrr10')) m(metric) where a.sys_name like 'dense%' and b.sys_name like 'bm25%'",
+    "pr13_rounded": f"with {C.CTES} select sys_name, lang, qid, round(ndcg10, 4) as ndcg10, round(unjudged10::double, 3) as unjudged10 from scores",
+    "f19_percent": f"{_PAIRS} select lang, qid, case when round(100 * (b.ndcg10 - a.ndcg10), 1) < 0 then '-' else '+' end || printf('%.1f', abs(round(100 * (b.ndcg10 - a.ndcg10), 1))) || '%' as shown from a join b using (lang, qid) where a.ndcg10 is not null and b.ndcg10 is not null",
     "v06_evaluate": f"with {retrieval.bm25_sql('char4')}, {_EVALUATED} select * from evaluated",
     "v06_evaluate_word": f"with {retrieval.bm25_sql('word')}, {_EVALUATED} select * from evaluated",
     "a01_mean_scores": f"with {C.CTES} select sys_name, lang, count(*) as n_queries, {_MEANS} from scores group by all",

@@ -309,7 +309,16 @@ def q05_upgraded(spark, d):
     return A.upgraded(own, venues).select("entry", "kind", "venue")
 
 
-_Q = (s03_shards, s04_volume, s05_corpus_file, s06_topics_file, s07_judgments_file, s08_language, s09_artifacts, s10_languages_of_files, s11_json_leaves, s12_embedding_store, s14_whole_texts, s16_judgments_content, s18_upsert, s20_bibtex, pr01_passage_text, pr02_arity, pr03_known_queries, pr04_passage_numbers, pr05_with_text, pr14_unbuilt, f16_titles, r01_queries, r02_others, r03_texts, r04_resamples, u01_sub_corpus, a17_manifest, a16_digest, a03_judged, j01_judged_passages, j02_other_passages, j03_first_missing, u03_missing, k03_order, k07_languages, q01_numbers, f10_renderings, f11_numbers, q02_citations, u04_cited, f14_entries, q03_wording, f15_context, q05_upgraded)
+def f12_stripped(spark, d):
+    """The citing texts without comments and keys."""
+    return _latex(spark, d)[0].select("key", A.without_commands(A.without_comments(F.col("text"))).alias("text"))
+
+
+def f17_sha256(spark, d):
+    return C.topics(spark, d).select("lang", "qid", F.sha2("text", 256).alias("sha256"))
+
+
+_Q = (f12_stripped, f17_sha256, s03_shards, s04_volume, s05_corpus_file, s06_topics_file, s07_judgments_file, s08_language, s09_artifacts, s10_languages_of_files, s11_json_leaves, s12_embedding_store, s14_whole_texts, s16_judgments_content, s18_upsert, s20_bibtex, pr01_passage_text, pr02_arity, pr03_known_queries, pr04_passage_numbers, pr05_with_text, pr14_unbuilt, f16_titles, r01_queries, r02_others, r03_texts, r04_resamples, u01_sub_corpus, a17_manifest, a16_digest, a03_judged, j01_judged_passages, j02_other_passages, j03_first_missing, u03_missing, k03_order, k07_languages, q01_numbers, f10_renderings, f11_numbers, q02_citations, u04_cited, f14_entries, q03_wording, f15_context, q05_upgraded)
 QUERIES = {q.__name__: q for q in _Q}
 
 _LOT = "md5('{seed}:' || lang || ':' || {key})".replace("{seed}", str(SEED))
@@ -357,6 +366,8 @@ SQL = {
     "k07_languages": "select lang, row_number() over (order by lang) as place from (select distinct lang from metrics where lang is not null)",
     "f11_numbers": f"with {_NUMBERS} select doc_id, token from numbers where token is not null",
     "q02_citations": f"with {_B}, {_CITED}, d as (select distinct docid as name from passages), c as (select distinct cited as name from cited) select name, 'missing' as problem from c anti join d using (name) union all select name, 'unused' from d anti join c using (name)",
+    "f12_stripped": rf"with {_B}, {_TEXTS} select key, regexp_replace(regexp_replace(text, '(^|[^\\\n])%[^\n]*', '\1', 'g'), '\\(cite|label|ref)\{{[^}}]*\}}', ' ', 'g') as text from texts",
+    "f17_sha256": f"with {_B} select lang, qid, sha256(text) as sha256 from topics",
     "u04_cited": f"with {_B}, {_CITED} select key, cited from cited where cited <> ''",
     "f14_entries": f"with {_B} select distinct docid as entry, 'misc' as kind from passages",
     "q03_wording": f"with {_B} select lang || '/' || qid as key, label, case label when 'ends with a question mark' then regexp_matches(text, '[?？؟]\\s*\\z') else not regexp_matches(text, '\\b(1[5-9]|20)[0-9]{{2}}\\b') end as passed from topics, (values ('ends with a question mark'), ('names no year')) l(label)",
