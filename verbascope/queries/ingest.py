@@ -156,9 +156,10 @@ def pr05_with_text(spark, d):
     return table(spark, d, "subcorpus").where("length(trim(text)) > 0").select("rec_id", F.length("text").cast("bigint").alias("n_chars"))
 
 
-def pr14_unbuilt(spark, d):
-    """Builds that deliver passages and have no manifest."""
-    return table(spark, d, "subcorpus").select("build_id").distinct().join(table(spark, d, "metrics").select("build_id"), "build_id", "left_anti")
+def pr14_remaining(spark, d):
+    """Topics that the dense system has still to be evaluated on."""
+    done = C.scores(spark, d).where("sys_name = 'dense-small'").select("lang", "qid")
+    return C.topics(spark, d).select("lang", "qid").join(done, ["lang", "qid"], "left_anti")
 
 
 def f16_titles(spark, d):
@@ -318,7 +319,7 @@ def f17_sha256(spark, d):
     return C.topics(spark, d).select("lang", "qid", F.sha2("text", 256).alias("sha256"))
 
 
-_Q = (f12_stripped, f17_sha256, s03_shards, s04_volume, s05_corpus_file, s06_topics_file, s07_judgments_file, s08_language, s09_artifacts, s10_languages_of_files, s11_json_leaves, s12_embedding_store, s14_whole_texts, s16_judgments_content, s18_upsert, s20_bibtex, pr01_passage_text, pr02_arity, pr03_known_queries, pr04_passage_numbers, pr05_with_text, pr14_unbuilt, f16_titles, r01_queries, r02_others, r03_texts, r04_resamples, u01_sub_corpus, a17_manifest, a16_digest, a03_judged, j01_judged_passages, j02_other_passages, j03_first_missing, u03_missing, k03_order, k07_languages, q01_numbers, f10_renderings, f11_numbers, q02_citations, u04_cited, f14_entries, q03_wording, f15_context, q05_upgraded)
+_Q = (f12_stripped, f17_sha256, s03_shards, s04_volume, s05_corpus_file, s06_topics_file, s07_judgments_file, s08_language, s09_artifacts, s10_languages_of_files, s11_json_leaves, s12_embedding_store, s14_whole_texts, s16_judgments_content, s18_upsert, s20_bibtex, pr01_passage_text, pr02_arity, pr03_known_queries, pr04_passage_numbers, pr05_with_text, pr14_remaining, f16_titles, r01_queries, r02_others, r03_texts, r04_resamples, u01_sub_corpus, a17_manifest, a16_digest, a03_judged, j01_judged_passages, j02_other_passages, j03_first_missing, u03_missing, k03_order, k07_languages, q01_numbers, f10_renderings, f11_numbers, q02_citations, u04_cited, f14_entries, q03_wording, f15_context, q05_upgraded)
 QUERIES = {q.__name__: q for q in _Q}
 
 _LOT = "md5('{seed}:' || lang || ':' || {key})".replace("{seed}", str(SEED))
@@ -347,7 +348,7 @@ SQL = {
     "pr03_known_queries": f"with {_B} select lang, qid, docid, rel from judgments semi join topics using (lang, qid)",
     "pr04_passage_numbers": f"select judgment_id, try_cast(string_split(k, '#')[-1] as bigint) as passage from (select judgment_id, {clean_key_sql('docid')} k from qrels) where try_cast(string_split(k, '#')[-1] as bigint) is not null",
     "pr05_with_text": "select rec_id, length(text) as n_chars from subcorpus where length(trim(text, ' ')) > 0",
-    "pr14_unbuilt": "select distinct build_id from subcorpus anti join metrics using (build_id)",
+    "pr14_remaining": f"with {_B} select lang, qid from topics anti join (select lang, qid from scores where sys_name = 'dense-small') using (lang, qid)",
     "f16_titles": f"select rec_id, t as title, regexp_replace(lower(t), '[^a-z]', '', 'g') as letters from (select rec_id, trim(regexp_replace(title, '{X.BLANKS}', ' ', 'g'), ' ') t from subcorpus where title is not null)",
     "r01_queries": f"with {_B} select lang, qid, text from topics qualify row_number() over (partition by lang order by {_LOT.format(key='qid')}, qid) <= {QUERIES_MOST}",
     "r02_others": f"with {_B}, {_SUB} select lang, docid from sub where not judged",

@@ -128,9 +128,9 @@ def x04_encode(spark, d):
 
 
 def x05_shards(spark, d):
-    """Queries in order of length, 64 a shard within a language."""
+    """Queries in order of length, 4 a shard within a language."""
     own = C.topics(spark, d).withColumn("n_chars", F.length("text").cast("bigint"))
-    return own.select("lang", "qid", "n_chars", dense.shard_of(["lang"], [F.col("n_chars"), F.col("qid")], 64).alias("shard"))
+    return own.select("lang", "qid", "n_chars", dense.shard_of(["lang"], [F.col("n_chars"), F.col("qid")], 4).alias("shard"))
 
 
 def x06_remaining(spark, d):
@@ -186,7 +186,7 @@ QUERIES = {
     "x03_bm25_char5": _run("char5"),
 } | {q.__name__: q for q in (j04_scored, x02_padded, f01_normalise, f01_normalise_exact, f02_categories, f03_words, f04_char4, a04_lengths, a05_idf, r05_synthetic, r06_known_items, x07_cosine, f08_unit_vectors, f08_masked_mean, f09_dot, x04_encode, x05_shards, x06_remaining, x08_token_length)}
 
-_SHARDED = f"with {C.CTES}, own as (select lang, qid, length(text)::bigint n_chars, (row_number() over (partition by lang order by length(text), qid) - 1) // 64 as shard from topics)"
+_SHARDED = f"with {C.CTES}, own as (select lang, qid, length(text)::bigint n_chars, (row_number() over (partition by lang order by length(text), qid) - 1) // 4 as shard from topics)"
 SQL = {
     "x01_bm25_char4": _run_sql("char4"),
     "j04_scored": _run_sql("word", False),
