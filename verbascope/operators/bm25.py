@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import NUDGE, rounded
 from ..functions.text import TOKENISERS, python_tokeniser
-from ..plans.materialise import materialise
+from ..plans.materialise import counted_side, materialise
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Places to which scores are rounded before they are ranked, so that ties are ties whatever the order of summing.
@@ -34,13 +34,16 @@ def collection_statistics(length: DataFrame) -> DataFrame:
     return length.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
 
 
-def inverse_frequencies(posting: DataFrame, statistics: DataFrame) -> DataFrame:
-    """(lang, term, df, idf); a negative idf becomes a quarter of the mean raw idf of the language's terms."""
+def inverse_frequencies(posting: DataFrame, statistics: DataFrame, few: bool = False) -> DataFrame:
+    """(lang, term, df, idf); a negative idf becomes a quarter of the mean raw idf of the language's terms.
+
+    `few` says that counting has shown few languages, so that a row a language may be broadcast.
+    """
     raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     counted = posting.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("df")).join(statistics.select("lang", "n_docs"), "lang").withColumn("raw", raw)
     mean = counted.groupBy("lang").agg(F.avg("raw").alias("mean_raw"))
     idf = F.when(F.col("raw") < 0, FLOOR * F.col("mean_raw")).otherwise(F.col("raw"))
-    return counted.join(mean, "lang").select("lang", "term", "df", idf.alias("idf"))
+    return counted.join(F.broadcast(mean) if few else mean, "lang").select("lang", "term", "df", idf.alias("idf"))
 
 
 def query_terms(topics: DataFrame, tokens: Column) -> DataFrame:
@@ -54,9 +57,9 @@ def scored(corpus: DataFrame, topics: DataFrame, corpus_tokens: Column, topic_to
     Only postings of terms that some query has meet the queries; documents without a common term score 0 and are left out.
     """
     posting, length = postings(corpus, corpus_tokens), lengths(corpus, corpus_tokens)
-    statistics = collection_statistics(length)
+    statistics, few = counted_side(collection_statistics(length))
     asked = query_terms(topics, topic_tokens)
-    weights = asked.join(inverse_frequencies(posting, statistics), ["lang", "term"]).select("lang", "term", "qid", (F.col("idf") * F.col("qtf")).alias("weight"))
+    weights = asked.join(inverse_frequencies(posting, statistics, few), ["lang", "term"]).select("lang", "term", "qid", (F.col("idf") * F.col("qtf")).alias("weight"))
     scale = K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
     matched = posting.join(asked.select("lang", "term").distinct(), ["lang", "term"], "left_semi").join(length, ["lang", "docid"]).join(statistics.select("lang", "mean_length"), "lang")
     impact = matched.select("lang", "term", "docid", (F.col("tf") * (K1 + 1) / (F.col("tf") + scale)).alias("impact"))
@@ -83,9 +86,9 @@ def padded(top: DataFrame, topics: DataFrame, corpus: DataFrame, depth: int) ->
     return ranked(top.select("lang", "qid", "docid", "score").unionByName(extra), depth)
 
 
-def document_frequencies(corpus: DataFrame, tokens: Column, statistics: DataFrame) -> DataFrame:
+def document_frequencies(corpus: DataFrame, tokens: Column, statistics: DataFrame, few: bool = False) -> DataFrame:
     """As `inverse_frequencies`, straight from the documents: each counts a term once, and counts are merged before the shuffle."""
-    return inverse_frequencies(corpus.select("lang", F.explode(F.array_distinct(tokens)).alias("term")), statistics)
+    return inverse_frequencies(corpus.select("lang", F.explode(F.array_distinct(tokens)).alias("term")), statistics, few)
 
 
 def run_bm25(corpus: DataFrame, topics: DataFrame, tokeniser: str = "char4", depth: int = 100) -> DataFrame:
@@ -99,9 +102,9 @@ def run_bm25(corpus: DataFrame, topics: DataFrame, tokeniser: str = "char4", dep
     """
     corpus = materialise(corpus.select("lang", "docid", "norm"))
     tokens = TOKENISERS[tokeniser](F.col("norm"))
-    statistics = materialise(collection_statistics(lengths(corpus, tokens)))
+    statistics, few = counted_side(collection_statistics(lengths(corpus, tokens)))
     asked = query_terms(topics, tokens)
-    vocabulary = document_frequencies(corpus, tokens, statistics)
+    vocabulary = document_frequencies(corpus, tokens, statistics, few)
     weights = asked.join(vocabulary, ["lang", "term"]).select("lang", "qid", "term", (F.col("idf") * F.col("qtf")).alias("weight"))
     means = {r.lang: r.mean_length for r in statistics.select("lang", "mean_length").collect()}
     weighted = materialise(topics.select("lang", "qid").join(weights.groupBy("lang", "qid").agg(F.collect_list(F.struct("term", "weight")).alias("terms")), ["lang", "qid"], "left"))

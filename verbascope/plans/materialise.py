@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +23,14 @@ def materialise(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def counted_side(df: DataFrame, most: int = 10_000) -> tuple[DataFrame, bool]:
+    """`df` materialised, and whether counting shows at most `most` rows; if so it is marked for broadcast.
+
+    For the side of a join that has a row a language or the like: the other side then stays where it is, and
+    no key of it becomes one task's.
+    """
+    kept = materialise(df)
+    few = kept.limit(most + 1).count() <= most
+    return (F.broadcast(kept) if few else kept), few
