@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.materialise import materialise
+from ..plans.materialise import counted_side, materialise
 
 #: A sample of at most so many rows is broadcast to fetch its texts; a larger one is joined by shuffle.
 BROADCAST_ROWS = 20_000
@@ -205,6 +205,5 @@ def fixed_size_sample(df: DataFrame, stratum: str, key: str, size: int, seed: in
 
 def fetch(sample: DataFrame, df: DataFrame, key: str) -> DataFrame:
     """The rows of `df` whose `key` is in `sample`; the sample is broadcast only if counting shows that it is small."""
-    sample = materialise(sample)
-    small = sample.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(sample) if small else sample, key)
+    sample, _ = counted_side(sample, BROADCAST_ROWS)
+    return df.join(sample, key)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.materialise import counted_side
+
 #: Hashes are the first 60 bits of a SHA-256.
 SPACE = 1 << 60
 
@@ -36,7 +38,8 @@ def stable_sample(df: DataFrame, stratum: str, key: str, salts: DataFrame, thres
     salts: (stratum, salt); thresholds: (stratum, threshold); one row a stratum each. Rows with a null stratum
     or key, and strata without salt or threshold, are not sampled. Repeated rows are chosen together.
     """
-    rules = salts.join(thresholds, stratum).select(F.col(stratum).alias("_stratum"), F.col("salt").alias("_salt"), F.col("threshold").alias("_threshold"))
+    rules, _ = counted_side(salts.join(thresholds, stratum))
+    rules = rules.select(F.col(stratum).alias("_stratum"), F.col("salt").alias("_salt"), F.col("threshold").alias("_threshold"))
     chosen = df.join(rules, F.col(stratum) == F.col("_stratum")).where(F.col(key).isNotNull())
     chosen = chosen.withColumn("key_hash", key_hash(F.col("_salt"), F.col("_stratum"), F.col(key)))
     return chosen.where("key_hash < _threshold").drop("_stratum", "_salt", "_threshold")

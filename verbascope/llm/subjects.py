@@ -16,7 +16,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.materialise import materialise
+from ..plans.materialise import counted_side
 from ..plans.spread import spread
 from .budget import plain_language, plain_name
 from .lookalike import normal_form
@@ -241,10 +241,9 @@ def fit_sample(df: DataFrame, labels: DataFrame) -> DataFrame:
     given = labels.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.coalesce(plain_name(F.col("subject")), F.lit(NONE))).alias("subjects"))
     keyed = df.where("lang is not null and text is not null").select("doc_id", "lang").join(given, "doc_id")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = materialise(keyed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIT_DOCUMENTS).select("doc_id", "subjects").dropDuplicates(["doc_id"]))
-    small = chosen.limit(FIT_DOCUMENTS * 40).count() < FIT_DOCUMENTS * 40
+    chosen, _ = counted_side(keyed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIT_DOCUMENTS).select("doc_id", "subjects").dropDuplicates(["doc_id"]), FIT_DOCUMENTS * 40)
     texts = df.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    return texts.join(F.broadcast(chosen) if small else chosen, "doc_id").select("doc_id", "lang", "text", "subjects")
+    return texts.join(chosen, "doc_id").select("doc_id", "lang", "text", "subjects")
 
 
 def fit_models(df: DataFrame, labels: DataFrame, subjects: list[str]) -> dict[str, Model]:
