@@ -2,11 +2,14 @@ import math
 import random
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from verbascope.operators import evaluation as V
 from verbascope.operators import failures as L
 from verbascope.operators import statistics as S
+from verbascope.queries import evaluation as E
+from verbascope.sources import collection as C
 
 RUN, QRELS, TOPICS = "lang string, qid string, docid string, rank int", "lang string, qid string, docid string, rel int", "lang string, qid string"
 
@@ -97,3 +100,22 @@ def test_rank_statistics(spark):
     assert tuple(interval) == pytest.approx((0.039, 0.796), abs=2e-3)
     assert spark.range(1).select(S.partial(F.lit(0.5), F.lit(0.0), F.lit(0.3))).first()[0] == pytest.approx(0.5 / math.sqrt(0.91))
     assert spark.range(1).select(S.detectable(F.lit(3))).first()[0] is None
+
+
+def test_registered_scores_rank_every_passage(spark):
+    sizes = {r.lang: min(r["count"], 100) for r in C.passages(spark, SMALL).groupBy("lang").count().collect()}
+    asked = {(r.lang, r.qid) for r in C.topics(spark, SMALL).collect() if r.lang in sizes}
+    got = {(r.lang, r.qid): r["count"] for r in E.QUERIES["w01_ranks_bm25"](spark, SMALL).groupBy("lang", "qid").count().collect()}
+    assert got == {(lang, qid): sizes[lang] for lang, qid in asked} and max(got.values()) > 24
+    ranked, rel = {}, {}
+    for r in E.QUERIES["w01_ranks_bm25"](spark, SMALL).orderBy("rank").collect():
+        ranked.setdefault((r.lang, r.qid), []).append(r.docid)
+    for r in C.judgments(spark, SMALL).collect():
+        rel.setdefault((r.lang, r.qid), {})[r.docid] = r.rel
+    by = lambda name: {(r.lang, r.qid): tuple(r)[2:] for r in E.QUERIES[name](spark, SMALL).collect()}
+    ndcg, recall, mrr, unjudged, first = map(by, ("v02_ndcg_bm25", "v03_recall_bm25", "v04_mrr_bm25", "v05_unjudged_bm25", "w03_first_relevant_bm25"))
+    for q in asked:
+        own = scores(ranked[q], rel.get(q, {}))
+        assert (*ndcg[q], recall[q][0], *mrr[q], recall[q][1], *unjudged[q]) == pytest.approx(own, abs=1e-6)
+        assert first.get(q) == next(((i,) for i, d in enumerate(ranked[q], 1) if rel.get(q, {}).get(d, 0) > 0), None)
+    assert max(n for _, n in unjudged.values()) > 10

@@ -210,6 +210,39 @@ def w03_first_relevant(spark, d):
     return own.groupBy("lang", "qid").agg(F.min("rank").alias("first"))
 
 
+def w01_ranks_bm25(spark, d):
+    """The first hundred of BM25 over all passages of the language, for every query."""
+    return retrieval.run(spark, d).select("lang", "qid", "docid", F.col("rank").cast("bigint").alias("rank"))
+
+
+def v01_dcg_bm25(spark, d):
+    """The discounted gain of the first ten of BM25 over all passages, where there is any."""
+    own = retrieval.run(spark, d).where("rank <= 10").join(C.judgments(spark, d).where("rel > 0"), ["lang", "qid", "docid"])
+    return own.groupBy("lang", "qid").agg(rounded(F.sum(V.discounted(F.col("rel"), F.col("rank"))), 6).alias("dcg"))
+
+
+def v02_ndcg_bm25(spark, d):
+    return _evaluated(spark, d).select("lang", "qid", "ndcg10")
+
+
+def v03_recall_bm25(spark, d):
+    return _evaluated(spark, d).select("lang", "qid", "recall100", "n_positives")
+
+
+def v04_mrr_bm25(spark, d):
+    return _evaluated(spark, d).select("lang", "qid", "mrr10")
+
+
+def v05_unjudged_bm25(spark, d):
+    return _evaluated(spark, d).select("lang", "qid", "unjudged10", "unjudged100")
+
+
+def w03_first_relevant_bm25(spark, d):
+    """The rank of the first relevant passage among the first hundred of BM25, where there is one."""
+    own = retrieval.run(spark, d).join(C.judgments(spark, d).where("rel > 0"), ["lang", "qid", "docid"])
+    return own.groupBy("lang", "qid").agg(F.min("rank").cast("bigint").alias("first"))
+
+
 def a18_score_spread(spark, d):
     """Best of, median and quartiles of nDCG@10 by system."""
     own = C.scores(spark, d).where("ndcg10 is not null").groupBy("sys_name").agg(F.max("ndcg10").alias("best"), F.percentile("ndcg10", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
@@ -235,7 +268,7 @@ def f19_percent(spark, d):
     return _pairs(spark, d).where("a.ndcg10 is not null and b.ndcg10 is not null").select("lang", "qid", F.concat(F.when(diff < 0, F.lit("-")).otherwise(F.lit("+")), F.format_string("%.1f", F.abs(diff)), F.lit("%")).alias("shown"))
 
 
-_Q = (w01_ranks, w03_first_relevant, v01_dcg, v02_ndcg, v03_recall, v04_mrr, v05_unjudged, a18_score_spread, pr12_keys, pr13_rounded, f19_percent, v06_evaluate, v06_evaluate_word, a01_mean_scores, a01_bm25_means, w02_ideal, j06_judged_run, j07_hits, k04_languages_by_miss, v08_categories, a08_failure_rates, j09_pairs, u02_common_queries, t01_differences, a09_transitions, k05_largest_transitions, v09_rescued, v10_exposure, a12_exposure_summary, v11_against_published, a13_best_n, a14_gain_over_words, pr06_positives, a06_survey, a07_survey_summary, a11_judged_share, j08_unevaluated)
+_Q = (w01_ranks, w03_first_relevant, v01_dcg, v02_ndcg, v03_recall, v04_mrr, v05_unjudged, w01_ranks_bm25, w03_first_relevant_bm25, v01_dcg_bm25, v02_ndcg_bm25, v03_recall_bm25, v04_mrr_bm25, v05_unjudged_bm25, a18_score_spread, pr12_keys, pr13_rounded, f19_percent, v06_evaluate, v06_evaluate_word, a01_mean_scores, a01_bm25_means, w02_ideal, j06_judged_run, j07_hits, k04_languages_by_miss, v08_categories, a08_failure_rates, j09_pairs, u02_common_queries, t01_differences, a09_transitions, k05_largest_transitions, v09_rescued, v10_exposure, a12_exposure_summary, v11_against_published, a13_best_n, a14_gain_over_words, pr06_positives, a06_survey, a07_survey_summary, a11_judged_share, j08_unevaluated)
 QUERIES = {q.__name__: q for q in _Q}
 
 _IDEAL = "ideal as (select lang, qid, count(*) n_positives, sum(case when place <= 10 then rel / log2(place + 1) end) idcg from (select *, row_number() over (partition by lang, qid order by rel desc, docid) place from judgments where rel > 0) group by all)"
@@ -262,6 +295,7 @@ def _sweep(n: int) -> str:
 
 _LOT = f"""with {C.CTES}, run as (select lang, qid, docid, row_number() over (partition by lang, qid order by md5(docid), docid) rank from (select lang, qid, docid from judgments union
     select t.lang, t.qid, p.docid from topics t join (select lang, docid from passages qualify row_number() over (partition by lang order by docid) <= 10) p using (lang))), {_EVALUATED}"""
+_BM25 = f"with {retrieval.bm25_sql('char4')}, {_EVALUATED}"
 
 SQL = {
     "w01_ranks": f"{_LOT} select lang, qid, docid, rank from run",
@@ -271,6 +305,13 @@ SQL = {
     "v03_recall": f"{_LOT} select lang, qid, recall100, n_positives from evaluated",
     "v04_mrr": f"{_LOT} select lang, qid, mrr10 from evaluated",
     "v05_unjudged": f"{_LOT} select lang, qid, unjudged10, unjudged100 from evaluated",
+    "w01_ranks_bm25": f"{_BM25} select lang, qid, docid, rank from run",
+    "w03_first_relevant_bm25": f"{_BM25} select lang, qid, min(rank) as first from run join judgments using (lang, qid, docid) where rel > 0 group by all",
+    "v01_dcg_bm25": f"{_BM25} select lang, qid, round(dcg, 6) as dcg from found where dcg is not null",
+    "v02_ndcg_bm25": f"{_BM25} select lang, qid, ndcg10 from evaluated",
+    "v03_recall_bm25": f"{_BM25} select lang, qid, recall100, n_positives from evaluated",
+    "v04_mrr_bm25": f"{_BM25} select lang, qid, mrr10 from evaluated",
+    "v05_unjudged_bm25": f"{_BM25} select lang, qid, unjudged10, unjudged100 from evaluated",
     "a18_score_spread": f"with {C.CTES} select sys_name, round(max(ndcg10), 6) as best, round(quantile_cont(ndcg10, 0.25), 6) as lower, round(quantile_cont(ndcg10, 0.5), 6) as median, round(quantile_cont(ndcg10, 0.75), 6) as upper from scores where ndcg10 is not null group by 1",
     "pr12_keys": f"with {C.CTES}, own as (select distinct sys_name from scores) select a.sys_name, b.sys_name as reference, metric, a.sys_name || '__' || b.sys_name || '__' || metric as key from own a, own b, (values ('ndcg10'), ('recall100'), ('mrr10')) m(metric) where a.sys_name like 'dense%' and b.sys_name like 'bm25%'",
     "pr13_rounded": f"with {C.CTES} select sys_name, lang, qid, round(ndcg10, 4) as ndcg10, round(unjudged10::double, 3) as unjudged10 from scores",
