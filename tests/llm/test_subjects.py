@@ -69,3 +69,17 @@ def test_terms():
     assert {"courts", "court", "cour"} >= set(S.terms("Courts")) >= {"court"}
     assert "法院" in S.terms("在法院里") and "スタジアム" in S.terms("はスタジアムへ") and "ศาล" in S.terms("พบศาลและ")
     assert S.terms("12 %") == []
+
+
+def test_every_frequent_term_is_known(spark):
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    many = [word(i) for i in range(6500)]
+    df = spark.createDataFrame([(i, "en", " ".join(many)) for i in range(3)], "doc_id bigint, lang string, text string")
+    assert {r.term for r in S.document_counts(df).collect()} == {None, *many}
+    rare = ["statute", "striker"]
+    found_in = {w: 50 for w in many} | {w: 3 for w in rare}
+    rng = random.Random(1)
+    bags = [[{rare[i % 2], *rng.sample(many, 20)} for _ in range(3)] for i in range(40)]
+    model = S.fit(bags, [{("law", "sport")[i % 2]} for i in range(40)], found_in, 1000, ["law", "sport"])
+    assert len(model.known) == 6502
+    assert [model.subject(model.rows({w})) for w in rare] == ["law", "sport"]

@@ -21,9 +21,9 @@ from ..plans.spread import spread
 from .budget import plain_language, plain_name
 from .lookalike import normal_form
 
-#: Labelled documents a language on which the embedding is fitted, and terms a language that it knows: what a task and the broadcast models hold at most.
-FIT_DOCUMENTS, FIT_TERMS = 1500, 6000
-#: Languages that can have a model; with the terms and dimensions they bound the broadcast.
+#: Labelled documents a language on which the embedding is fitted. Their terms have vectors; every other term that is frequent enough is known, with a vector of zeros.
+FIT_DOCUMENTS = 1500
+#: Languages that can have a model.
 MOST_LANGUAGES = 200
 #: Documents that must have a term, dimensions of the embedding, and rounds of refinement.
 LEAST_DOCUMENTS, DIMENSIONS, ROUNDS = 3, 32, 6
@@ -131,21 +131,25 @@ class Model:
 
 def fit(bags: list[list[set[str]]], labels: list[set[str]], found_in: dict[str, int], n_documents: int, subjects: list[str]) -> Model | None:
     """A language's model of labelled documents, each a list of its sentences' terms; `found_in` counts over all documents."""
+    from collections import Counter
+
     import numpy as np
 
-    known = sorted(found_in, key=lambda t: (-found_in[t], t))[:FIT_TERMS]
+    known = sorted({t for document in bags for s in document for t in s if t in found_in}, key=lambda t: (-found_in[t], t))
+    if not known:
+        return None
     number = {t: i for i, t in enumerate(known)}
     weight = np.array([np.log(n_documents / found_in[t]) if found_in[t] < n_documents else 0.0 for t in known])
-    matrix = np.zeros((len(bags), len(known)), np.float32)
-    for i, document in enumerate(bags):
-        for sentence in document:
-            matrix[i, [number[t] for t in sentence if t in number]] += 1
-    matrix = np.log1p(matrix) * weight
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
-    basis = leading_directions(matrix, DIMENSIONS)
+    matrix = []
+    for document in bags:
+        counts = Counter(number[t] for s in document for t in s if t in number)
+        places = np.fromiter(counts, np.int64, len(counts))
+        values = np.log1p(np.fromiter(counts.values(), np.float32, len(counts))) * weight[places]
+        matrix.append((places, (values / max(np.linalg.norm(values), 1e-9)).astype(np.float32)))
+    basis = leading_directions(matrix, len(known), DIMENSIONS)
     if not basis.shape[1]:
         return None
-    embedded = matrix @ basis
+    embedded = times(matrix, basis)
     classes = [*subjects, NONE]
     chosen = [[i for i, own in enumerate(labels) if c in own and len(own) == 1] for c in classes]
     if not any(chosen):
@@ -163,18 +167,36 @@ def fit(bags: list[list[set[str]]], labels: list[set[str]], found_in: dict[str,
         best = near.argmax(1)
         sure = near.max(1) > 0.5
         centroids = unit(np.array([parts[(best == k) & sure].mean(0) if ((best == k) & sure).any() else centroids[k] for k in range(len(classes))]))
-    return Model(number, term_vectors.astype(np.float32), shift.astype(np.float32), centroids.astype(np.float32), classes)
+    number |= dict.fromkeys(found_in.keys() - number.keys(), len(known))
+    vectors = np.vstack([term_vectors, np.zeros(basis.shape[1])])
+    return Model(number, vectors.astype(np.float32), shift.astype(np.float32), centroids.astype(np.float32), classes)
+
+
+def times(matrix, columns):
+    """The product of a sparse matrix, given as each row's places and values, with dense columns."""
+    import numpy as np
+
+    return np.array([values @ columns[places] for places, values in matrix])
+
+
+def transposed_times(matrix, width: int, columns):
+    import numpy as np
+
+    found = np.zeros((width, columns.shape[1]), columns.dtype)
+    for (places, values), row in zip(matrix, columns):
+        found[places] += values[:, None] * row
+    return found
 
 
-def leading_directions(matrix, n: int):
-    """The first `n` right singular vectors as columns, by subspace iteration; fewer if the rank is less."""
+def leading_directions(matrix, width: int, n: int):
+    """The first `n` right singular vectors of a sparse matrix as columns, by subspace iteration; fewer if the rank is less."""
     import numpy as np
 
-    extra = min(n + 16, *matrix.shape)
-    found = np.random.default_rng(0).standard_normal((matrix.shape[1], extra)).astype(matrix.dtype)
+    extra = min(n + 16, len(matrix), width)
+    found = np.random.default_rng(0).standard_normal((width, extra)).astype(np.float32)
     for _ in range(8):
-        found = np.linalg.qr(matrix.T @ np.linalg.qr(matrix @ found)[0])[0]
-    _, values, right = np.linalg.svd(matrix @ found, full_matrices=False)
+        found = np.linalg.qr(transposed_times(matrix, width, np.linalg.qr(times(matrix, found))[0]))[0]
+    _, values, right = np.linalg.svd(times(matrix, found), full_matrices=False)
     return (found @ right.T)[:, : min(n, int((values > 1e-3).sum()))].astype(float)
 
 
@@ -209,7 +231,7 @@ def treated(text: str | None, lang: str | None, models: dict[str, Model]) -> tup
 
 
 def document_counts(df: DataFrame) -> DataFrame:
-    """(lang, term, n, n_documents): in how many documents of each language a term occurs, over all of them; the most frequent terms.
+    """(lang, term, n, n_documents): in how many documents of each language a term occurs, over all of them; every term of LEAST_DOCUMENTS or more.
 
     Counts are merged by batch and by map task before they are shuffled. A row of a null term has the language's documents.
     """
@@ -228,9 +250,7 @@ def document_counts(df: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(tally), pa.string()), pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], names=["lang", "term", "n"])
 
     counts = spread(df, "doc_id").where("lang is not null and text is not null").select("lang", "text").mapInArrow(batches, "lang string, term string, n bigint")
-    counts = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("term").isNull() | (F.col("n") >= LEAST_DOCUMENTS))
-    first = Window.partitionBy("lang").orderBy(F.col("term").isNotNull(), F.desc("n"), "term")
-    return counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= FIT_TERMS + 1).drop("place")
+    return counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("term").isNull() | (F.col("n") >= LEAST_DOCUMENTS))
 
 
 def fit_sample(df: DataFrame, labels: DataFrame) -> DataFrame:
