@@ -83,3 +83,15 @@ def test_every_frequent_term_is_known(spark):
     model = S.fit(bags, [{("law", "sport")[i % 2]} for i in range(40)], found_in, 1000, ["law", "sport"])
     assert len(model.known) == 6502
     assert [model.subject(model.rows({w})) for w in rare] == ["law", "sport"]
+
+
+def test_no_model_is_cut(spark, monkeypatch):
+    rows, labels, _ = corpus(200)
+    schema, given = "doc_id bigint, lang string, text string", spark.createDataFrame(labels, "doc_id bigint, subject string, rater string")
+    codes = [(10_000 + 10 * i + k, f"a{i}", "The page was last revised.") for i in range(3) for k in range(4)]
+    df = spark.createDataFrame([r for r in rows if r[1] != "fr"] + codes, schema)
+    monkeypatch.setattr(S, "MOST_LANGUAGES", 2)
+    assert set(S.fit_models(df, given, ["law", "sport"])) == {"en", "zh"}
+    monkeypatch.setattr(S, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        S.fit_models(df, given, ["law", "sport"])

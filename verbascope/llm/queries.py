@@ -161,7 +161,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def _subjects(spark: SparkSession, d: str) -> list[str]:
     """The names of the few subjects."""
-    return sorted(r.subject for r in table(spark, d, "subjects").where("subject is not null").select("subject").distinct().limit(subjects.MOST_LANGUAGES).collect())
+    return sorted(r.subject for r in subjects.few(table(spark, d, "subjects").where("subject is not null").select("subject").distinct(), "subjects"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

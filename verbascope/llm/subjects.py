@@ -23,7 +23,7 @@ from .lookalike import normal_form
 
 #: Labelled documents a language on which the embedding is fitted. Their terms have vectors; every other term that is frequent enough is known, with a vector of zeros.
 FIT_DOCUMENTS = 1500
-#: Languages that can have a model.
+#: Languages that can have a model, and subjects; more are an error.
 MOST_LANGUAGES = 200
 #: Documents that must have a term, dimensions of the embedding, and rounds of refinement.
 LEAST_DOCUMENTS, DIMENSIONS, ROUNDS = 3, 32, 6
@@ -279,13 +279,19 @@ def fit_models(df: DataFrame, labels: DataFrame, subjects: list[str]) -> dict[st
         sample = sample.sort_values("doc_id").head(FIT_DOCUMENTS)
         bags = [[set(terms(s)) for s in sentences(t, key[0])] for t in sample["text"]]
         model = fit(bags, [set(x) for x in sample["subjects"]], found_in, n_documents, subjects) if found_in and bags else None
-        return pd.DataFrame({"lang": [key[0]], "model": [pickle.dumps(model)]})
+        return pd.DataFrame([(key[0], pickle.dumps(model))] if model else [], columns=["lang", "model"], dtype=object)
 
     counted, sample = document_counts(df), fit_sample(df, labels)
     models = counted.groupBy("lang").cogroup(sample.groupBy("lang")).applyInPandas(language, "lang string, model binary")
-    rows = models.orderBy("lang").limit(MOST_LANGUAGES).collect()
-    read = {r.lang: pickle.loads(r.model) for r in rows}
-    return {lang: model for lang, model in read.items() if model is not None}
+    return {r.lang: pickle.loads(r.model) for r in few(models, "languages with a model")}
+
+
+def few(df: DataFrame, what: str) -> list:
+    """The rows of `df`, collected; an error if there are more than MOST_LANGUAGES."""
+    rows = df.orderBy(df.columns[0]).limit(MOST_LANGUAGES + 1).collect()
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} {what}")
+    return rows
 
 
 def subject_shares(df: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
