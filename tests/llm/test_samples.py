@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verbascope.llm import reservoir, stable_sample
+from verbascope.llm import queries, reservoir, stable_sample
 
 
 @pytest.mark.parametrize("buffer", [1, 3, 10])
@@ -103,3 +103,12 @@ def test_fingerprints(spark):
     assert own.collect() and sorted(map(tuple, own.collect()), key=str) == sorted(map(tuple, stable_sample.fingerprint(df.where("k is not null").repartition(4), ["g"], "k").collect()), key=str)
     assert {r.g: r.fingerprint for r in own.collect()}["b"] == sha("ü")
     assert stable_sample.sorted_digest(df.limit(0), "g", "k").count() == 0
+
+
+def test_registered_sample_flushes_to_the_shared_folder(spark, monkeypatch):
+    from conftest import SMALL
+
+    folders, own = [], reservoir.shard_samples
+    monkeypatch.setattr(reservoir, "shard_samples", lambda *x: folders.append(x[-1]) or own(*x))
+    assert queries.p1_sample(spark, SMALL).count() > 0
+    assert folders == [spark.conf.get("spark.checkpoint.dir")]

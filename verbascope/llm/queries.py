@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import clean_key, clean_key_sql, page_of
+from ..plans.materialise import shared_folder
 from ..sources.tables import table
 from . import bpe, budget, lookalike, packing, reservoir, stable_sample, subjects
 
@@ -28,7 +29,7 @@ def _passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
-    chosen = reservoir.fixed_size_sample(_passages(spark, d), "lang", "rec_id", SAMPLE_SIZE, SAMPLE_SEED, SAMPLE_BUFFER)
+    chosen = reservoir.fixed_size_sample(_passages(spark, d), "lang", "rec_id", SAMPLE_SIZE, SAMPLE_SEED, SAMPLE_BUFFER, shared_folder(spark))
     texts = table(spark, d, "subcorpus").select("rec_id", clean_key(F.col("docid")).alias("docid"), "text")
     return reservoir.fetch(chosen, texts, "rec_id").select("lang", "docid", "text")
 
