@@ -119,3 +119,15 @@ def test_registered_scores_rank_every_passage(spark):
         assert (*ndcg[q], recall[q][0], *mrr[q], recall[q][1], *unjudged[q]) == pytest.approx(own, abs=1e-6)
         assert first.get(q) == next(((i,) for i, d in enumerate(ranked[q], 1) if rel.get(q, {}).get(d, 0) > 0), None)
     assert max(n for _, n in unjudged.values()) > 10
+
+
+def test_bootstrap_takes_every_resample(spark):
+    from verbascope.queries import queries
+
+    drawn = queries()["r04_resamples_full"](spark, SMALL).groupBy("lang").agg(F.countDistinct("b").alias("n"), F.max("b").alias("last")).collect()
+    assert drawn and {(r.n, r.last) for r in drawn} == {(10_000, 10_000)}
+    hashed, other = ({r.lang: r for r in queries()[n](spark, SMALL).collect()} for n in ("t02_bootstrap_hashed_full", "t02_bootstrap_full"))
+    shown = lambda rows: {lang: (r.n, r.mean_diff, r.boot_se) for lang, r in rows.items() if lang in hashed}
+    assert hashed
+    for lang, own in shown(hashed).items():
+        assert own == pytest.approx(shown(other)[lang], rel=0.05, abs=2e-6), lang

@@ -14,7 +14,7 @@ from ..sources import collection as C
 from ..sources.tables import table
 from .evaluation import FIRST, SECOND
 
-RESAMPLES, SEED = 200, 20250317
+RESAMPLES, FULL_RESAMPLES, SEED = 200, 10_000, 20250317
 #: Languages left out of each pooled subset.
 SUBSETS = {"all": (), "without zh": ("zh",), "without zh, ko, ja": ("zh", "ko", "ja")}
 #: The registry of encoders: key, prefixes, tokeniser family, declared languages, languages it lacks (null: not known), task.
@@ -56,15 +56,20 @@ def _subsets(effects):
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
-def t02_bootstrap(spark, d):
+def t02_bootstrap(spark, d, resamples=RESAMPLES):
     """The paired bootstrap of each language with enough pairs, by hashed draws."""
     own = _differences(spark, d)
     many = own.groupBy("lang").agg(F.count("diff").alias("n")).where("n > 1").select("lang")
-    return S.paired_bootstrap(own.join(many, "lang", "left_semi"), ["lang"], ["qid"], RESAMPLES, SEED)
+    return S.paired_bootstrap(own.join(many, "lang", "left_semi"), ["lang"], ["qid"], resamples, SEED)
+
+
+def t02_bootstrap_hashed_full(spark, d):
+    """The same with 10,000 resamples."""
+    return t02_bootstrap(spark, d, FULL_RESAMPLES)
 
 
 def t02_bootstrap_full(spark, d):
-    """The same with 10,000 resamples in one task a language."""
+    """10,000 resamples in one task a language, by a generator's draws."""
     return S.grouped_bootstrap(_differences(spark, d), ["lang"])
 
 
@@ -245,7 +250,7 @@ def j10_joined(spark, d):
     return mean(FIRST).join(mean(SECOND), "lang").join(L.exposure(_pairs(spark, d)).select("lang", "difference"), "lang").join(_resource(spark, d).select("lang", "mb"), "lang")
 
 
-_Q = (t02_bootstrap, t02_bootstrap_full, t03_variances, t04_random_effects, t05_robustness, pr07_coverage, pr08_subsets, pr09_unsegmented, pr10_prefixes, pr11_experiments, w04_ranks, t06_spearman, t07_partial, t08_fisher, t09_collinearity, t10_detectable, t11_projection, f20_sizes, f07_log_sizes, a19_extremes, a20_vocabularies, v07_flagged, z01_fertility, z01_subwords, z02_ratios, z03_validity, z04_query_fertility, a15_outcome_profile, g01_report, g02_scatter, g03_stacked, j10_joined)
+_Q = (t02_bootstrap, t02_bootstrap_hashed_full, t02_bootstrap_full, t03_variances, t04_random_effects, t05_robustness, pr07_coverage, pr08_subsets, pr09_unsegmented, pr10_prefixes, pr11_experiments, w04_ranks, t06_spearman, t07_partial, t08_fisher, t09_collinearity, t10_detectable, t11_projection, f20_sizes, f07_log_sizes, a19_extremes, a20_vocabularies, v07_flagged, z01_fertility, z01_subwords, z02_ratios, z03_validity, z04_query_fertility, a15_outcome_profile, g01_report, g02_scatter, g03_stacked, j10_joined)
 QUERIES = {q.__name__: q for q in _Q}
 
 _CATEGORY = "case when coalesce({0}recall100, 0) = 0 then 'total_miss' when coalesce({0}ndcg10, 0) = 0 then 'deep_miss' when coalesce({0}mrr10, 0) < 1 then 'weak_rank' else 'rank1' end"

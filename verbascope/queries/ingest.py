@@ -196,13 +196,18 @@ def r03_texts(spark, d):
     return R.bottom_k(own, "lang", "docid", 100, SEED)
 
 
-def r04_resamples(spark, d):
+def r04_resamples(spark, d, resamples=3):
     """Draws of each language's first resamples, as positions."""
     sizes = C.topics(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(3)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return draws.select("lang", F.col("b").cast("bigint").alias("b"), F.col("draw").cast("bigint").alias("draw"), F.pmod(S.hash_number(F.lit(SEED), F.col("lang"), F.col("b"), F.col("draw")), F.col("n")).alias("i"))
 
 
+def r04_resamples_full(spark, d):
+    """Draws of all 10,000 resamples of each language."""
+    return r04_resamples(spark, d, 10_000)
+
+
 def u01_sub_corpus(spark, d):
     return R.sub_corpus(_docids(spark, d), _judged(spark, d), TARGET, SEED)
 
@@ -319,7 +324,7 @@ def f17_sha256(spark, d):
     return C.topics(spark, d).select("lang", "qid", F.sha2("text", 256).alias("sha256"))
 
 
-_Q = (f12_stripped, f17_sha256, s03_shards, s04_volume, s05_corpus_file, s06_topics_file, s07_judgments_file, s08_language, s09_artifacts, s10_languages_of_files, s11_json_leaves, s12_embedding_store, s14_whole_texts, s16_judgments_content, s18_upsert, s20_bibtex, pr01_passage_text, pr02_arity, pr03_known_queries, pr04_passage_numbers, pr05_with_text, pr14_remaining, f16_titles, r01_queries, r02_others, r03_texts, r04_resamples, u01_sub_corpus, a17_manifest, a16_digest, a03_judged, j01_judged_passages, j02_other_passages, j03_first_missing, u03_missing, k03_order, k07_languages, q01_numbers, f10_renderings, f11_numbers, q02_citations, u04_cited, f14_entries, q03_wording, f15_context, q05_upgraded)
+_Q = (f12_stripped, f17_sha256, s03_shards, s04_volume, s05_corpus_file, s06_topics_file, s07_judgments_file, s08_language, s09_artifacts, s10_languages_of_files, s11_json_leaves, s12_embedding_store, s14_whole_texts, s16_judgments_content, s18_upsert, s20_bibtex, pr01_passage_text, pr02_arity, pr03_known_queries, pr04_passage_numbers, pr05_with_text, pr14_remaining, f16_titles, r01_queries, r02_others, r03_texts, r04_resamples, r04_resamples_full, u01_sub_corpus, a17_manifest, a16_digest, a03_judged, j01_judged_passages, j02_other_passages, j03_first_missing, u03_missing, k03_order, k07_languages, q01_numbers, f10_renderings, f11_numbers, q02_citations, u04_cited, f14_entries, q03_wording, f15_context, q05_upgraded)
 QUERIES = {q.__name__: q for q in _Q}
 
 _LOT = "md5('{seed}:' || lang || ':' || {key})".replace("{seed}", str(SEED))
