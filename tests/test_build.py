@@ -129,3 +129,13 @@ def test_fertility(spark):
     assert (got["char4"].n_words, got["char4"].n_chars, got["char4"].n_tokens) == (3, 15, 1 + 3 + 3) and got["whole"].fertility == 1.0
     counts = Z.subword_counts(df, ["lang"], "text", len).collect()
     assert sum(r.n_tokens for r in counts) == 15
+
+
+def test_every_text_is_a_file(spark):
+    from conftest import SMALL
+
+    from verbascope.queries import queries
+
+    texts = spark.read.parquet(f"{SMALL}/documents.parquet").where("text <> ''").selectExpr("doc_id", "cast(length(text) as bigint)")
+    expected = sorted(map(tuple, texts.collect()))
+    assert len(expected) > 8 and sorted((r.doc_id, r.n_chars) for r in queries()["s14_whole_texts"](spark, SMALL).collect()) == expected

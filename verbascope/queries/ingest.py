@@ -103,10 +103,28 @@ def s12_embedding_store(spark, d):
 
 
 def s14_whole_texts(spark, d):
-    """Texts written one a file and read whole: their lengths."""
+    """Documents' texts that are not empty written one a file and read whole: their lengths, a row a file."""
     path = _folder(spark)
-    table(spark, d, "subjects").select("about").coalesce(1).write.text(path)
-    return I.read_whole_texts(spark, f"{path}/*.txt").select(F.length("text").cast("bigint").alias("n_chars"))
+
+    def write(source):
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        files, folder = fs.FileSystem.from_uri(path)
+        files.create_dir(folder)
+        part, k = TaskContext.get().partitionId(), 0
+        for batch in source:
+            for own, text in zip(*(c.to_pylist() for c in batch.columns)):
+                with files.open_output_stream(f"{folder}/{own}-{part}-{k}.txt") as out:
+                    out.write(text.encode())
+                k += 1
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    texts = table(spark, d, "documents").select("doc_id", "text").where("doc_id is not null and text <> ''")
+    if not texts.mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0]:
+        return spark.createDataFrame([], "doc_id bigint, n_chars bigint")
+    return I.read_whole_texts(spark, f"{path}/*.txt").select(F.regexp_extract("path", r"([0-9-]+)-[0-9]+-[0-9]+\.txt$", 1).cast("bigint").alias("doc_id"), F.length("text").cast("bigint").alias("n_chars"))
 
 
 def s11_json_leaves(spark, d):
