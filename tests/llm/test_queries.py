@@ -18,7 +18,7 @@ def test_runs(spark, name):
 
 def test_samples_have_their_size(spark):
     passages = spark.read.parquet(f"{SMALL}/subcorpus.parquet").selectExpr("lang", "trim(replace(docid, '\t', ' ')) docid").where("docid <> ''").distinct()
-    expected = {r.lang: min(200, r["count"]) for r in passages.groupBy("lang").count().collect()}
+    expected = {r.lang: min(2000, r["count"]) for r in passages.groupBy("lang").count().collect()}
     got = {r.lang: r["count"] for r in QUERIES["p1_sample"](spark, SMALL).select("lang", "docid").distinct().groupBy("lang").count().collect()}
     assert got == expected
 

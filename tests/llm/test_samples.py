@@ -29,13 +29,18 @@ def test_geometric_file_is_uniform(buffer, tmp_path):
 
 
 def test_geometric_file_in_a_folder(tmp_path):
-    segments = reservoir.FolderSegments(f"file://{tmp_path}")
-    own = reservoir.GeometricFile(40, 8, np.random.default_rng(1), segments)
+    segments = reservoir.FolderSegments(f"file://{tmp_path}", "0-0-x", least=3)
+    own = reservoir.GeometricFile(40, 16, np.random.default_rng(1), segments)
     for i in own.accept(500):
         own.add((i, "text"))
-    assert len({i for i, _ in own.records()}) == 40
+    own.flush()
     sizes = [[alive for _, alive in run] for run in own.runs]
     assert sum(map(sum, sizes)) == 40 and all(run[0] >= run[-1] for run in sizes)
+    kept = [s for run in own.runs for s, _ in run]
+    files = list((tmp_path / "0-0-x").iterdir())
+    assert len(files) == sum(isinstance(s, str) for s in kept) > 1 and any(isinstance(s, list) for s in kept)
+    assert segments.written > len(files)  # segments of older runs were given up
+    assert len({i for i, _ in own.records()}) == 40 and not list((tmp_path / "0-0-x").iterdir())
     segments.close()
     assert not list(tmp_path.iterdir())
 
@@ -60,6 +65,20 @@ def test_hypergeometric_shares():
     assert sum(reservoir.hypergeometric_shares([10**12, 10**12], 5, random.Random(0))) == 5
 
 
+def test_geometric_file_in_a_folder_is_uniform(tmp_path):
+    size, n, runs = 12, 48, 400
+    hits = np.zeros(n)
+    segments = reservoir.FolderSegments(f"file://{tmp_path}", "own", least=1)
+    for seed in range(runs):
+        own = reservoir.GeometricFile(size, 4, np.random.default_rng(seed), segments)
+        for i in own.accept(n):
+            own.add(i)
+        hits[own.records()] += 1
+    segments.close()
+    expected = runs * size / n
+    assert ((hits - expected) ** 2 / (expected * (1 - size / n))).sum() < n + 5 * (2 * n) ** 0.5
+
+
 @pytest.mark.parametrize("folder", [False, True])
 def test_fixed_size_sample(spark, tmp_path, folder):
     df = spark.range(4000).select(F.when(F.col("id") % 3 == 0, "x").when(F.col("id") < 50, "y").otherwise("z").alias("lang"), F.col("id").alias("rec_id"), F.lit(1).alias("shard"), F.lit(2).alias("place"))
@@ -69,6 +88,9 @@ def test_fixed_size_sample(spark, tmp_path, folder):
     assert {x: len(set(v)) for x, v in by.items()} == {"x": 60, "y": 33, "z": 60} and sum(map(len, by.values())) == len(got)
     assert all(i % 3 == 0 for i in by["x"]) and all(i % 3 and i >= 50 for i in by["z"])
     assert reservoir.fixed_size_sample(df.limit(0), "lang", "rec_id", 60).count() == 0
+    again = reservoir.fixed_size_sample(df.repartition(9).orderBy(F.desc("rec_id")), "lang", "rec_id", 60, 3, 16).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+    assert not list(tmp_path.iterdir())  # no segment is left
 
 
 def test_sample_over_partitions_is_uniform(spark):
@@ -105,10 +127,26 @@ def test_fingerprints(spark):
     assert stable_sample.sorted_digest(df.limit(0), "g", "k").count() == 0
 
 
-def test_registered_sample_flushes_to_the_shared_folder(spark, monkeypatch):
+def test_registered_sample_uses_files_in_the_shared_folder(spark, monkeypatch):
     from conftest import SMALL
 
-    folders, own = [], reservoir.shard_samples
-    monkeypatch.setattr(reservoir, "shard_samples", lambda *x: folders.append(x[-1]) or own(*x))
+    own = reservoir.shard_samples
+
+    def watched(*x):
+        given.append(x)
+        return own(*x)
+
+    given = []
+    monkeypatch.setattr(reservoir, "shard_samples", watched)
+    monkeypatch.setattr(queries, "SAMPLE_SIZE", 20)
+    monkeypatch.setattr(queries, "SAMPLE_BUFFER", 8)
     assert queries.p1_sample(spark, SMALL).count() > 0
-    assert folders == [spark.conf.get("spark.checkpoint.dir")]
+    assert given[0][6].startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_sample_is_repeatable_and_never_falls_back(spark, tmp_path):
+    df = spark.range(3000).selectExpr("'x' lang", "id rec_id")
+    sample = lambda d: sorted(r.rec_id for r in reservoir.fixed_size_sample(d, "lang", "rec_id", 500, 1, 100, f"file://{tmp_path}", 2).collect())
+    assert sample(df) == sample(df.union(df.limit(0)).repartition(3)) and len(sample(df)) == 500
+    with pytest.raises(Exception):  # a folder nobody can write to is an error, no silent fallback to memory
+        reservoir.fixed_size_sample(df, "lang", "rec_id", 500, 1, 100, "file:///proc/none", 2)

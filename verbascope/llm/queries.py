@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import clean_key, clean_key_sql, page_of
-from ..plans.materialise import shared_folder
 from ..sources.tables import table
 from . import bpe, budget, lookalike, packing, reservoir, stable_sample, subjects
 
 #: Passages a language in the sample of fixed size, and keys that a task's buffer holds before it is flushed.
-SAMPLE_SIZE, SAMPLE_BUFFER, SAMPLE_SEED = 200, 50, 20250317
+SAMPLE_SIZE, SAMPLE_BUFFER, SAMPLE_SEED = 2000, 500, 20250317
 #: Share of a language's passages in the stable sample, and the higher share of languages with little text.
 STABLE_RATE, STABLE_RATE_LOW, LOW_LANGUAGES = 0.05, 0.2, ("yo", "sw")
 #: Tokens of a container.
@@ -29,7 +28,7 @@ def _passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
-    chosen = reservoir.fixed_size_sample(_passages(spark, d), "lang", "rec_id", SAMPLE_SIZE, SAMPLE_SEED, SAMPLE_BUFFER, shared_folder(spark))
+    chosen = reservoir.fixed_size_sample(_passages(spark, d), "lang", "rec_id", SAMPLE_SIZE, SAMPLE_SEED, SAMPLE_BUFFER)
     texts = table(spark, d, "subcorpus").select("rec_id", clean_key(F.col("docid")).alias("docid"), "text")
     return reservoir.fetch(chosen, texts, "rec_id").select("lang", "docid", "text")
 

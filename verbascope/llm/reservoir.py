@@ -1,11 +1,13 @@
 """Samples of fixed size, drawn in one pass from streams whose length nobody knows.
 
-Every task keeps a geometric file for each stratum of its shard: accepted records gather in a buffer, and a
-full buffer is written in random order as a run of segments, each smaller than the one before by the same
-factor, in place of records of older runs. A run is in random order, so giving up its last records gives up
-random ones: whole segments fall away, smallest first, and nothing is read or rewritten. The shards' samples
-are then merged: how many records each shard contributes is a hypergeometric draw weighted by the shards'
-populations, and which ones is a random prefix of its sample.
+A shard is a hash class of the keys, one task's, and its rows come sorted, so that draws depend on nothing
+but seed, data and the number of shards. The task keeps a geometric file for each stratum of its shard:
+accepted records gather in a buffer, and a full buffer is written in random order as a run of segments, each
+smaller than the one before by the same factor, in place of records of older runs. A run is in random order,
+so giving up its last records gives up random ones: whole segments fall away, smallest first, and nothing is
+read or rewritten. Segments are files in the folder that all executors share; only a run's last, smallest
+ones stay in memory. The shards' samples are then merged: how many records each shard contributes is a
+hypergeometric draw weighted by the shards' populations, and which ones is a random prefix of its sample.
 """
 
 from __future__ import annotations
@@ -13,19 +15,22 @@ from __future__ import annotations
 import pickle
 import random
 import uuid
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.materialise import counted_side, materialise
+from ..plans.materialise import counted_side, materialise, shared_folder
 
 #: A sample of at most so many rows is broadcast to fetch its texts; a larger one is joined by shuffle.
 BROADCAST_ROWS = 20_000
+#: Records of a segment from which on it is a file.
+LEAST_SEGMENT = 32
 
 
 class MemorySegments:
-    """Segments of a file that fits a worker's memory."""
+    """Segments kept as they are: a run's smallest ones, and those of tests."""
 
     def write(self, records: list) -> list:
         return records
@@ -38,27 +43,36 @@ class MemorySegments:
 
 
 class FolderSegments:
-    """Segments as files in a folder that all executors share, by URI."""
+    """Segments of at least `least` records as files in a folder that all executors share, by URI; smaller ones stay in memory.
 
-    def __init__(self, uri: str):
+    A folder is one attempt's of one task: an attempt that fails leaves nothing another one reads.
+    """
+
+    def __init__(self, uri: str, name: str, least: int = LEAST_SEGMENT):
         from pyarrow import fs
 
         self.files, path = fs.FileSystem.from_uri(uri)
-        self.path = f"{path}/segments-{uuid.uuid4().hex}"
-        self.files.create_dir(self.path)
-
-    def write(self, records: list) -> str:
-        name = f"{self.path}/{uuid.uuid4().hex}"
+        self.path, self.least, self.written = f"{path}/{name}", least, 0
+        self.files.create_dir(self.path, recursive=True)
+
+    def write(self, records: list) -> str | list:
+        if len(records) < self.least:
+            return records
+        name = f"{self.path}/{self.written}"
+        self.written += 1
         with self.files.open_output_stream(name) as out:
             out.write(pickle.dumps(records))
         return name
 
-    def read(self, segment: str) -> list:
+    def read(self, segment: str | list) -> list:
+        if isinstance(segment, list):
+            return segment
         with self.files.open_input_stream(segment) as source:
             return pickle.loads(source.read())
 
-    def drop(self, segment: str) -> None:
-        self.files.delete_file(segment)
+    def drop(self, segment: str | list) -> None:
+        if isinstance(segment, str):
+            self.files.delete_file(segment)
 
     def close(self) -> None:
         self.files.delete_dir(self.path)
@@ -126,9 +140,14 @@ class GeometricFile:
         self.buffer = []
 
     def records(self) -> list:
-        """The sample in random order."""
+        """The sample in random order; its segments are given up."""
         self.flush()
-        live = [r for run in self.runs for segment, alive in run for r in self.segments.read(segment)[:alive]]
+        live = []
+        for run in self.runs:
+            for segment, alive in run:
+                live += self.segments.read(segment)[:alive]
+                self.segments.drop(segment)
+        self.runs, self.stored = [], 0
         self.rng.shuffle(live)
         return live
 
@@ -147,8 +166,11 @@ def hypergeometric_shares(populations: list[int], size: int, rng: random.Random)
     return shares
 
 
-def shard_samples(df: DataFrame, stratum: str, key: str, size: int, seed: int, buffer: int, folder: str | None) -> DataFrame:
-    """(stratum, shard, place, key, population): each task's samples; a row of place -1 gives the population."""
+def shard_samples(df: DataFrame, stratum: str, key: str, size: int, seed: int, buffer: int, folder: str, shards: int) -> DataFrame:
+    """(stratum, shard, place, key, population): each shard's samples; a row of place -1 gives the population.
+
+    Rows are hashed to `shards` tasks and sorted there, so a task has one file open at a time.
+    """
 
     def shard(source: Iterator) -> Iterator:
         import numpy as np
@@ -156,42 +178,59 @@ def shard_samples(df: DataFrame, stratum: str, key: str, size: int, seed: int, b
         import pyarrow.compute
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId()
-        rng = np.random.default_rng([seed, number])
-        segments = FolderSegments(folder) if folder else MemorySegments()
-        files: dict[str, GeometricFile] = {}
-        names = None
-        for batch in source:
-            names = batch.schema
-            groups = pa.compute.dictionary_encode(batch.column(0))
-            codes = groups.indices.to_numpy(zero_copy_only=False)
-            for code, value in enumerate(groups.dictionary.to_pylist()):
-                own = files.setdefault(value, GeometricFile(size, buffer, rng, segments))
-                rows = np.flatnonzero(codes == code)
-                for i in own.accept(len(rows)):
-                    own.add(batch.column(1)[int(rows[i])].as_py())
-        for value, own in files.items():
+        context = TaskContext.get()
+        number = context.partitionId()
+        segments = FolderSegments(folder, f"{number}-{context.attemptNumber()}-{uuid.uuid4().hex}")
+        own = value = names = None
+
+        def finished():
             records = own.records()
             n = len(records) + 1
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [pa.array([value] * n, names[0].type), pa.array([number] * n, pa.int32()), pa.array([-1, *range(n - 1)], pa.int64()), pa.array([None, *records], names[1].type), pa.array([own.seen] * n, pa.int64())],
                 names=[stratum, "shard", "place", key, "population"],
             )
-        if folder:
+
+        try:
+            for batch in source:
+                names = batch.schema
+                for run in batch.column(0).dictionary_encode().dictionary.to_pylist():  # in order, each once
+                    rows = batch.column(1).filter(pa.compute.equal(batch.column(0), pa.scalar(run, names[0].type)))
+                    if own is None or run != value:
+                        if own is not None:
+                            yield finished()
+                        own, value = GeometricFile(size, buffer, np.random.default_rng([seed, number, zlib.crc32(repr(run).encode())]), segments), run
+                    for i in own.accept(len(rows)):
+                        own.add(rows[i].as_py())
+            if own is not None:
+                yield finished()
+        finally:
             segments.close()
 
     kinds = {c: df.schema[c].dataType.simpleString() for c in (stratum, key)}
-    return df.select(stratum, key).mapInArrow(shard, f"`{stratum}` {kinds[stratum]}, shard int, place bigint, `{key}` {kinds[key]}, population bigint")
+    ordered = df.select(stratum, key).repartition(shards, stratum, key).sortWithinPartitions(stratum, key)
+    return ordered.mapInArrow(shard, f"`{stratum}` {kinds[stratum]}, shard int, place bigint, `{key}` {kinds[key]}, population bigint")
 
 
-def fixed_size_sample(df: DataFrame, stratum: str, key: str, size: int, seed: int = 0, buffer: int = 4096, folder: str | None = None) -> DataFrame:
+def fixed_size_sample(df: DataFrame, stratum: str, key: str, size: int, seed: int = 0, buffer: int = 4096, folder: str | None = None, shards: int | None = None) -> DataFrame:
     """(stratum, key) of `size` rows of each stratum, every row equally likely; all rows of a smaller stratum.
 
     Rows with a null stratum or key are not sampled; repeated rows count as often as they occur. A task keeps
-    `size` keys a stratum, in memory, or in `folder` (a URI that all executors share) beyond `buffer` of them.
+    `size` keys of one stratum, in `folder` (a URI that all executors share, by default the checkpoint
+    folder) beyond `buffer` of them. The same rows, seed and number of `shards` (by default the session's
+    shuffle partitions) give the same sample, whatever the order and partitioning of `df`.
     """
+    from pyarrow import fs
+
     there = df.where(F.col(stratum).isNotNull() & F.col(key).isNotNull())
-    samples = materialise(shard_samples(there, stratum, key, size, seed, buffer, folder))
+    shards = shards or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    root = f"{folder or shared_folder(df.sparkSession)}/segments-{uuid.uuid4().hex}"
+    files, path = fs.FileSystem.from_uri(root)
+    files.create_dir(path, recursive=True)
+    try:
+        samples = materialise(shard_samples(there, stratum, key, size, seed, buffer, root, shards))
+    finally:
+        files.delete_dir(path)  # with what lost executors left
 
     def allot(pdf):
         rng = random.Random(f"{seed}:{pdf[stratum].iloc[0]}")
