@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from ..plans.materialise import counted_side, materialise, shared_folder
 
-#: A sample of at most so many rows is broadcast to fetch its texts; a larger one is joined by shuffle.
-BROADCAST_ROWS = 20_000
+#: A sample of at most so many rows, each a stratum and a key, is broadcast to fetch its texts; a larger one is joined by shuffle.
+BROADCAST_ROWS = 250_000
 #: Records of a segment from which on it is a file.
 LEAST_SEGMENT = 32
 
