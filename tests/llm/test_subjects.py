@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,18 +72,41 @@ def test_terms():
     assert S.terms("12 %") == []
 
 
-def test_every_frequent_term_is_known(spark):
+def test_every_term_of_the_sample_is_known(spark):
     word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
     many = [word(i) for i in range(6500)]
     df = spark.createDataFrame([(i, "en", " ".join(many)) for i in range(3)], "doc_id bigint, lang string, text string")
-    assert {r.term for r in S.document_counts(df).collect()} == {None, *many}
-    rare = ["statute", "striker"]
-    found_in = {w: 50 for w in many} | {w: 3 for w in rare}
+    known = S.vocabulary(df)
+    assert known == sorted(many)
+    encoded = S.encode(df, known)
+    assert {r.number: r.n for r in S.document_counts(encoded).collect()} == {-1: 3} | dict.fromkeys(range(6500), 3)
+    rare = [6500, 6501]
+    found_in = {w: 50 for w in range(6500)} | {w: 3 for w in rare}
     rng = random.Random(1)
-    bags = [[{rare[i % 2], *rng.sample(many, 20)} for _ in range(3)] for i in range(40)]
+    bags = [[[rare[i % 2], *rng.sample(range(6500), 20)] for _ in range(3)] for i in range(40)]
     model = S.fit(bags, [{("law", "sport")[i % 2]} for i in range(40)], found_in, 1000, ["law", "sport"])
-    assert len(model.known) == 6502
-    assert [model.subject(model.rows({w})) for w in rare] == ["law", "sport"]
+    used = {t for document in bags for s in document for t in s}
+    assert model.known.tolist() == sorted(used)
+    places, there = model.places(np.array([6500, 6501, 7000]))
+    assert there.tolist() == [True, True, False]
+    assert model.subjects(places, there, np.array([0, 1, 2]), np.array([1, 2, 3])).tolist() == [0, 1, 2]
+
+
+def test_encoding_keeps_every_sentence(spark):
+    rows = [(1, "en", "Red fish. Blue bird here! Zzz."), (2, None, "Red bird."), (3, "en", None), (4, "en", " 12 "), (1, "en", "Red fish. Blue bird here! Zzz.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").withColumn("ends", F.lit("clash"))
+    known = ["bird", "blue", "fish", "red"]
+    got = sorted(((r.doc_id, r.lang, [sorted(r.numbers[a:b]) for a, b in zip([0, *r.ends], r.ends)], r.sizes) for r in S.encode(df, known).collect()), key=str)
+    each = [[2, 3], [0, 1], []]
+    assert got == [(1, "en", each, [2, 3, 1]), (1, "en", each, [2, 3, 1]), (2, None, [[0, 3]], [2])]
+
+
+def test_sample_is_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(S, "FIT_DOCUMENTS", 100)
+    df = spark.range(4000).selectExpr("id doc_id", "if(id % 100 = 0, 'yo', 'en') lang", "'x' text")
+    labels = spark.range(4000).selectExpr("id doc_id", "'law' subject")
+    n = {r.lang: r["count"] for r in S.fit_sample(df, labels).join(df.select("doc_id", "lang"), "doc_id").groupBy("lang").count().collect()}
+    assert n["yo"] == 40 and 100 <= n["en"] <= 300
 
 
 def test_no_model_is_cut(spark, monkeypatch):
@@ -91,7 +115,7 @@ def test_no_model_is_cut(spark, monkeypatch):
     codes = [(10_000 + 10 * i + k, f"a{i}", "The page was last revised.") for i in range(3) for k in range(4)]
     df = spark.createDataFrame([r for r in rows if r[1] != "fr"] + codes, schema)
     monkeypatch.setattr(S, "MOST_LANGUAGES", 2)
-    assert set(S.fit_models(df, given, ["law", "sport"])) == {"en", "zh"}
+    assert S.document_subjects(df, given, ["law", "sport"]).count() > 0
     monkeypatch.setattr(S, "MOST_LANGUAGES", 1)
     with pytest.raises(ValueError):
-        S.fit_models(df, given, ["law", "sport"])
+        S.document_subjects(df, given, ["law", "sport"])

@@ -1,31 +1,34 @@
 """Subjects of documents by the sentences that treat them.
 
-Terms are weighted by how few documents of the language have them, counted over all documents. For each
-language, the labelled documents of a bounded sample are embedded by truncated singular value decomposition;
-a subject's seed is the centroid of the documents that raters gave it, and "none" is seeded by those in which
-they found no subject. Sentences are embedded with the same terms and assigned to the centroid of the highest
-cosine; centroids are replaced by those of their sentences and the assignment is repeated. A document has the
+The vocabulary is that of a bounded sample of labelled documents. Every text is read once, into the numbers
+of its sentences' terms. Terms are weighted by how few documents of the language have them, counted over all
+documents. For each language, the sample is embedded by truncated singular value decomposition; a subject's
+seed is the centroid of the documents that raters gave it, and "none" is seeded by those in which they found
+no subject. Sentences are embedded with the same terms and assigned to the centroid of the highest cosine;
+centroids are replaced by those of their sentences and the assignment is repeated. A document has the
 subjects that more than a quarter of its sentences treat.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.materialise import counted_side
+from ..plans.materialise import counted_side, materialise, shared_folder
 from ..plans.spread import spread
 from .budget import plain_language, plain_name
 from .lookalike import normal_form
 
-#: Labelled documents a language on which the embedding is fitted. Their terms have vectors; every other term that is frequent enough is known, with a vector of zeros.
+#: Labelled documents a language on which the embedding is fitted. Their terms are the vocabulary, all of them.
 FIT_DOCUMENTS = 1500
-#: Languages that can have a model, and subjects; more are an error.
-MOST_LANGUAGES = 200
-#: Documents that must have a term, dimensions of the embedding, and rounds of refinement.
+#: Languages that can have a model, subjects, and terms of the vocabulary; more are an error.
+MOST_LANGUAGES, MOST_TERMS = 200, 5_000_000
+#: Documents of the language, labelled or not, that must have a term for it to be weighted; dimensions of the embedding; rounds of refinement.
 LEAST_DOCUMENTS, DIMENSIONS, ROUNDS = 3, 32, 6
 #: Share of its sentences beyond which a document has a subject.
 SHARE = 0.25
@@ -112,36 +115,48 @@ def terms(sentence: str) -> list[str]:
 
 
 class Model:
-    """A language's weighted term vectors and centroids."""
+    """A language's terms, by their numbers in order, and what each adds to a sentence's likeness to each subject, NONE being the last."""
 
-    def __init__(self, known: dict[str, int], vectors, shift, centroids, subjects: list[str]):
-        self.known, self.vectors, self.shift, self.centroids, self.subjects = known, vectors, shift, centroids, subjects
+    def __init__(self, known, scores, shift):
+        self.known, self.scores, self.shift = known, scores, shift
 
-    def rows(self, own: set[str]) -> list[int]:
-        """The places of those terms that the language knows."""
-        known = self.known
-        return [known[t] for t in own if t in known]
+    def places(self, numbers):
+        """The place of each term, and which of them the language knows."""
+        import numpy as np
 
-    def subject(self, rows: list[int]) -> str:
-        """The subject of a sentence with these terms; NONE if it treats none."""
-        near = self.centroids @ (self.vectors[rows].sum(0) - self.shift * len(rows))
-        best = int(near.argmax())
-        return self.subjects[best] if near[best] > 0 else NONE
+        places = np.minimum(np.searchsorted(self.known, numbers), len(self.known) - 1)
+        return places, self.known[places] == numbers
 
+    def subjects(self, places, there, starts, ends):
+        """The number of the subject of each sentence, the last if it treats none."""
+        import numpy as np
 
-def fit(bags: list[list[set[str]]], labels: list[set[str]], found_in: dict[str, int], n_documents: int, subjects: list[str]) -> Model | None:
-    """A language's model of labelled documents, each a list of its sentences' terms; `found_in` counts over all documents."""
+        none = len(self.shift) - 1
+        sums = between(self.scores[places] * there[:, None], starts, ends) - between(there, starts, ends)[:, None] * self.shift
+        return np.where(sums.max(1) > 0, sums.argmax(1), none)
+
+
+def between(values, starts, ends):
+    """The sums of `values` from each start to its end."""
+    import numpy as np
+
+    sums = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, 0, dtype=float)])
+    return sums[ends] - sums[starts]
+
+
+def fit(documents: list[list], labels: list[set[str]], found_in: dict[int, int], n_documents: int, subjects: list[str]) -> Model | None:
+    """A language's model of labelled documents, each a list of its sentences' terms by number; `found_in` counts over all documents."""
     from collections import Counter
 
     import numpy as np
 
-    known = sorted({t for document in bags for s in document for t in s if t in found_in}, key=lambda t: (-found_in[t], t))
-    if not known:
+    known = np.array(sorted({int(t) for document in documents for s in document for t in s if found_in.get(int(t), 0) >= LEAST_DOCUMENTS}), np.int32)
+    if not len(known):
         return None
-    number = {t: i for i, t in enumerate(known)}
-    weight = np.array([np.log(n_documents / found_in[t]) if found_in[t] < n_documents else 0.0 for t in known])
+    number = {t: i for i, t in enumerate(known.tolist())}
+    weight = np.array([np.log(n_documents / n) if 0 < (n := found_in.get(t, 0)) < n_documents else 0.0 for t in known.tolist()])
     matrix = []
-    for document in bags:
+    for document in documents:
         counts = Counter(number[t] for s in document for t in s if t in number)
         places = np.fromiter(counts, np.int64, len(counts))
         values = np.log1p(np.fromiter(counts.values(), np.float32, len(counts))) * weight[places]
@@ -156,7 +171,7 @@ def fit(bags: list[list[set[str]]], labels: list[set[str]], found_in: dict[str,
         return None
     mean = embedded[sorted(i for rows in chosen for i in rows)].mean(0)
     term_vectors = basis * weight[:, None]
-    rows = [[number[t] for t in s if t in number] for document in bags for s in document]
+    rows = [[number[t] for t in s if t in number] for document in documents for s in document]
     parts = np.array([term_vectors[r].sum(0) if r else np.zeros(basis.shape[1]) for r in rows])
     lengths = np.array([max(len(r), 1) for r in rows])
     shift = parts.sum(0) / lengths.sum()
@@ -167,9 +182,8 @@ def fit(bags: list[list[set[str]]], labels: list[set[str]], found_in: dict[str,
         best = near.argmax(1)
         sure = near.max(1) > 0.5
         centroids = unit(np.array([parts[(best == k) & sure].mean(0) if ((best == k) & sure).any() else centroids[k] for k in range(len(classes))]))
-    number |= dict.fromkeys(found_in.keys() - number.keys(), len(known))
-    vectors = np.vstack([term_vectors, np.zeros(basis.shape[1])])
-    return Model(number, vectors.astype(np.float32), shift.astype(np.float32), centroids.astype(np.float32), classes)
+    # a sentence's cosines with all centroids have one norm in common, so their order and signs are those of the sums
+    return Model(known, (term_vectors @ centroids.T).astype(np.float32), (centroids @ shift).astype(np.float32))
 
 
 def times(matrix, columns):
@@ -206,84 +220,162 @@ def unit(rows):
     return rows / np.maximum(np.linalg.norm(rows, axis=-1, keepdims=True), 1e-12)
 
 
-def treated(text: str | None, lang: str | None, models: dict[str, Model]) -> tuple[int, dict[str, int]]:
-    """How many sentences a text has, and how many treat each subject; each is read by the language that knows its terms."""
-    found, n, tongue = {}, 0, lang
-    for sentence in sentences(text, lang):
-        n += 1
-        own = set(terms(sentence))
-        rows = models[tongue].rows(own) if tongue in models else []
-        if len(rows) < KNOWN * len(own):
-            shares = {x: m.rows(own) for x, m in models.items()}
-            best = max(shares, key=lambda x: (len(shares[x]), x), default=None)
-            if best is None or len(shares[best]) < max(1, LEAST_KNOWN * len(own)):
-                continue
-            if len(shares[best]) > len(rows):
-                rows, reader = shares[best], models[best]
-                tongue = best if lang not in models else tongue
-            else:
-                reader = models[tongue]
-        else:
-            reader = models[tongue]
-        if rows and (subject := reader.subject(rows)) != NONE:
-            found[subject] = found.get(subject, 0) + 1
-    return n, found
+def treated(numbers, ends, sizes, lang: str | None, models: Models):
+    """How many of a text's sentences treat each subject, NONE last; each is read by the language that knows its terms.
 
+    numbers: the terms of all sentences; ends: where each sentence ends; sizes: how many terms each has, known ones or not.
+    """
+    import numpy as np
 
-def document_counts(df: DataFrame) -> DataFrame:
-    """(lang, term, n, n_documents): in how many documents of each language a term occurs, over all of them; every term of LEAST_DOCUMENTS or more.
+    own, starts = models.get(lang), np.concatenate([[0], ends[:-1]])
+    found, strange = np.zeros(0, int), np.arange(len(ends))
+    if own is not None:
+        places, there = own.places(numbers)
+        familiar = between(there, starts, ends) >= KNOWN * sizes
+        found, strange = own.subjects(places, there, starts[familiar], ends[familiar]), np.flatnonzero(~familiar)
+    tongue = own
+    for i in strange.tolist():
+        part = numbers[starts[i] : ends[i]]
+        reader = best_reader(part, int(sizes[i]), tongue, models)
+        if reader is not None:
+            tongue = own or reader
+            found = np.append(found, reader.subjects(*reader.places(part), [0], [len(part)]))
+    return np.bincount(found)
+
+
+def best_reader(numbers, size: int, tongue: Model | None, models: Models) -> Model | None:
+    """The model that reads a sentence: `tongue` if it knows enough of the terms, else the one that knows most; none if that is too few."""
+    most = int(tongue.places(numbers)[1].sum()) if tongue else 0
+    if tongue and most >= KNOWN * size:
+        return tongue
+    best = tongue
+    for model in models.all():
+        if (n := int(model.places(numbers)[1].sum())) > most:
+            best, most = model, n
+    return best if most >= max(1, LEAST_KNOWN * size) else None
+
+
+class Models:
+    """The models of all languages, each read from its file in the shared folder when it is first asked for."""
+
+    def __init__(self, files: dict[str, str]):
+        self.files, self.read = files, {}
+
+    def get(self, lang: str | None) -> Model | None:
+        if lang not in self.files:
+            return None
+        if lang not in self.read:
+            from pyarrow import fs
+
+            files, path = fs.FileSystem.from_uri(self.files[lang])
+            with files.open_input_stream(path) as source:
+                self.read[lang] = pickle.loads(source.read())
+        return self.read[lang]
+
+    def all(self) -> list[Model]:
+        return [self.get(lang) for lang in self.files]
+
+
+@lru_cache(maxsize=2)
+def models_of(files: tuple[tuple[str, str], ...]) -> Models:
+    """One set of models a worker, whatever tasks it runs."""
+    return Models(dict(files))
 
-    Counts are merged by batch and by map task before they are shuffled. A row of a null term has the language's documents.
+
+def fit_sample(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, lot, subjects) of about FIT_DOCUMENTS labelled documents a language, those whose hashes come first; not fewer if there are so many.
+
+    labels: (doc_id, subject), null for a rater who found none; several raters' subjects are put together. Labelled documents
+    are counted by language, and a share of the hashes is kept that holds FIT_DOCUMENTS of them with eight standard
+    deviations to spare; `fit_models` makes the exact cut. So no language is sorted.
     """
+    given = labels.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.coalesce(plain_name(F.col("subject")), F.lit(NONE))).alias("subjects"))
+    keyed = df.where("lang is not null and text is not null").groupBy("doc_id").agg(F.min("lang").alias("lang")).join(given, "doc_id")
+    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    keyed = materialise(keyed.select("doc_id", "lang", lot.alias("lot"), "subjects"))
+    shares, _ = counted_side(keyed.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(FIT_DOCUMENTS + 8 * FIT_DOCUMENTS**0.5) / F.count(F.lit(1))).alias("share")))
+    return keyed.join(shares, "lang").where(F.col("lot") <= F.col("share") * F.lit(float(1 << 40))).select("doc_id", "lot", "subjects")
+
+
+def vocabulary(texts: DataFrame) -> list[str]:
+    """The distinct terms of a bounded sample (lang, text), sorted."""
 
     def batches(source: Iterator) -> Iterator:
-        from collections import Counter
+        import pyarrow as pa
+
+        for batch in source:
+            found = {t for lang, text in zip(*(c.to_pylist() for c in batch.columns)) for s in sentences(text, lang) for t in terms(s)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["term"])
+
+    own = materialise(texts.select("lang", "text").mapInArrow(batches, "term string").distinct())
+    if own.limit(MOST_TERMS + 1).count() > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms in the sample")
+    return sorted(r.term for r in own.toLocalIterator())
+
+
+def encode(df: DataFrame, known: list[str]) -> DataFrame:
+    """(doc_id, lang, numbers, ends, sizes) of every text that has a sentence: its sentences' distinct terms that are `known`, by number; where each sentence ends; how many terms it has."""
+    shared = df.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(known)})
 
+    def batches(source: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
+        number = shared.value
+        lists = lambda values, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(values, np.int32)))
         for batch in source:
-            tallies: dict[str, Counter] = {}
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if own := {t for s in sentences(text, lang) for t in terms(s)}:
-                    tallies.setdefault(lang, Counter()).update((None, *own))
-            for lang, tally in tallies.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(tally), pa.string()), pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], names=["lang", "term", "n"])
+            kept, numbers, offsets, ends, sizes, lengths = [], [], [0], [], [], [0]
+            for i, (lang, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                start = len(numbers)
+                for s in sentences(text, lang):
+                    own = set(terms(s))
+                    numbers += [n for t in own if (n := number.get(t)) is not None]
+                    ends.append(len(numbers) - start)
+                    sizes.append(len(own))
+                if len(ends) > lengths[-1]:
+                    kept.append(i)
+                    offsets.append(len(numbers))
+                    lengths.append(len(ends))
+            rows = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), lists(numbers, offsets), lists(ends, lengths), lists(sizes, lengths)], names=["doc_id", "lang", "numbers", "ends", "sizes"])
 
-    counts = spread(df, "doc_id").where("lang is not null and text is not null").select("lang", "text").mapInArrow(batches, "lang string, term string, n bigint")
-    return counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("term").isNull() | (F.col("n") >= LEAST_DOCUMENTS))
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return spread(df.where("text is not null").select("doc_id", "lang", "text"), "doc_id").mapInArrow(batches, f"doc_id {kind}, lang string, numbers array<int>, ends array<int>, sizes array<int>")
 
 
-def fit_sample(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """(lang, text, subjects) of at most FIT_DOCUMENTS labelled documents a language, chosen by the hash of their id.
+def document_counts(encoded: DataFrame) -> DataFrame:
+    """(lang, number, n): in how many documents of each language a term of the vocabulary occurs, over all of them; the number -1 has the language's documents.
 
-    labels: (doc_id, subject), null for a rater who found none; several raters' subjects are put together.
+    Counts are merged by map task before they are shuffled.
     """
-    given = labels.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.coalesce(plain_name(F.col("subject")), F.lit(NONE))).alias("subjects"))
-    keyed = df.where("lang is not null and text is not null").select("doc_id", "lang").join(given, "doc_id")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen, _ = counted_side(keyed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIT_DOCUMENTS).select("doc_id", "subjects").dropDuplicates(["doc_id"]), FIT_DOCUMENTS * 40)
-    texts = df.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    return texts.join(chosen, "doc_id").select("doc_id", "lang", "text", "subjects")
+    each = encoded.where("lang is not null").select("lang", F.explode(F.array_union(F.col("numbers"), F.array(F.lit(-1)))).alias("number"))
+    return each.groupBy("lang", "number").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fit_models(df: DataFrame, labels: DataFrame, subjects: list[str]) -> dict[str, Model]:
-    """A model for each language that has labelled documents; each is fitted by one task and collected, by bounded size."""
-    import pickle
+def fit_models(encoded: DataFrame, sample: DataFrame, subjects: list[str], folder: str) -> dict[str, str]:
+    """The file of each language's model, for languages that have labelled documents; each is fitted by one task over its bounded sample and written to the shared folder."""
 
     def language(key, counted, sample):
+        import numpy as np
         import pandas as pd
-
-        whole = counted["term"].isna()
-        n_documents = int(counted.loc[whole, "n"].sum())
-        found_in = dict(zip(counted.loc[~whole, "term"], counted.loc[~whole, "n"]))
-        sample = sample.sort_values("doc_id").head(FIT_DOCUMENTS)
-        bags = [[set(terms(s)) for s in sentences(t, key[0])] for t in sample["text"]]
-        model = fit(bags, [set(x) for x in sample["subjects"]], found_in, n_documents, subjects) if found_in and bags else None
-        return pd.DataFrame([(key[0], pickle.dumps(model))] if model else [], columns=["lang", "model"], dtype=object)
-
-    counted, sample = document_counts(df), fit_sample(df, labels)
-    models = counted.groupBy("lang").cogroup(sample.groupBy("lang")).applyInPandas(language, "lang string, model binary")
-    return {r.lang: pickle.loads(r.model) for r in few(models, "languages with a model")}
+        from pyarrow import fs
+
+        found_in = dict(zip(counted["number"].tolist(), counted["n"].tolist()))
+        sample = sample.sort_values(["lot", "doc_id"]).head(FIT_DOCUMENTS)
+        documents = [np.split(np.asarray(numbers), np.asarray(ends)[:-1]) for numbers, ends in zip(sample["numbers"], sample["ends"])]
+        model = fit([[s.tolist() for s in d] for d in documents], [set(x) for x in sample["subjects"]], found_in, found_in.get(-1, 0), subjects) if len(sample) else None
+        if model is None:
+            return pd.DataFrame([], columns=["lang", "file"], dtype=object)
+        uri = f"{folder}/model-{uuid.uuid4().hex}"
+        files, path = fs.FileSystem.from_uri(uri)
+        files.create_dir(path.rpartition("/")[0], recursive=True)
+        with files.open_output_stream(path) as out:
+            out.write(pickle.dumps(model))
+        return pd.DataFrame([(key[0], uri)], columns=["lang", "file"], dtype=object)
+
+    own = encoded.where("lang is not null").join(sample, "doc_id").dropDuplicates(["doc_id"]).select(F.col("lang").alias("lang"), "doc_id", "lot", "subjects", "numbers", "ends")
+    written = materialise(document_counts(encoded).groupBy("lang").cogroup(own.groupBy("lang")).applyInPandas(language, "lang string, file string"))
+    return {r.lang: r.file for r in few(written, "languages with a model")}
 
 
 def few(df: DataFrame, what: str) -> list:
@@ -302,22 +394,26 @@ def subject_shares(df: DataFrame, labels: DataFrame, subjects: list[str]) -> Dat
     give repeated rows. Without labels there is no model and no row.
     """
     spelt = {s.strip().lower(): s for s in subjects}
-    models = df.sparkSession.sparkContext.broadcast(fit_models(df, labels, sorted(spelt)))
+    sample, _ = counted_side(fit_sample(df, labels), FIT_DOCUMENTS * 40)
+    known = vocabulary(df.where("lang is not null and text is not null").join(sample.select("doc_id"), "doc_id"))
+    encoded = materialise(encode(df, known))
+    files = tuple(fit_models(encoded, sample, sorted(spelt), f"{shared_folder(df.sparkSession)}/subjects-{uuid.uuid4().hex}").items())
 
     def batches(source: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known = models.value
+        models, names = models_of(files), [spelt[x] for x in sorted(spelt)]
         for batch in source:
             found = []
-            for own, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                n, counts = treated(text, lang, known)
-                found += [(own, spelt[subject], k, n) for subject, k in counts.items()]
+            lists = [(c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in batch.columns[2:]]
+            for i, (own, lang) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                numbers, ends, sizes = (values[offsets[i] : offsets[i + 1]] for values, offsets in lists)
+                found += [(own, subject, k, len(ends)) for subject, k in zip(names, treated(numbers, ends, sizes, lang, models).tolist()) if k]
             columns = list(zip(*found)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema[0].type, pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "subject", "n_treating", "n_sentences"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return spread(df.select("doc_id", "lang", "text"), "doc_id").mapInArrow(batches, f"doc_id {kind}, subject string, n_treating bigint, n_sentences bigint")
+    return encoded.mapInArrow(batches, f"doc_id {kind}, subject string, n_treating bigint, n_sentences bigint")
 
 
 def document_subjects(df: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
