@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share: `spark.checkpoint.dir`; a temporary one only where it is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The checkpoint folder that all executors share: `spark.checkpoint.dir`. Where it is unset, one is made for a session of one process; on a cluster it is an error."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
-    return current or tempfile.mkdtemp(prefix="verbascope-checkpoint-")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="verbascope-checkpoint-")
+    spark.sparkContext.setCheckpointDir(made)
+    return made
+
+
+def passing_folder(spark: SparkSession, kind: str) -> str:
+    """The path of a new folder below the shared one, deleted when the session's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{path}/own"
 
 
 def materialise(df: DataFrame) -> DataFrame:

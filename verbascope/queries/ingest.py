@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +11,7 @@ from ..functions.numbers import rounded
 from ..operators import audit as A
 from ..operators import sampling as R
 from ..operators import statistics as S
-from ..plans.materialise import materialise, shared_folder
+from ..plans.materialise import materialise, passing_folder
 from ..sources import collection as C
 from ..sources import files as I
 from ..sources.tables import table
@@ -22,7 +20,7 @@ SEED, TARGET, FEW, QUERIES_MOST = 20250317, 200, 20, 300
 
 
 def _folder(spark) -> str:
-    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    return passing_folder(spark, "files")
 
 
 # files
