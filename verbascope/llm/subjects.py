@@ -71,6 +71,7 @@ def sentences(text: str | None, lang: str | None) -> list[str]:
     A full stop before a small letter belongs to an abbreviation.
     """
     use, found = patterns(), []
+    thai = text and use["thai"].search(text)
     for line in use["lines"].split(text or ""):
         if "<" in line or "&" in line or "://" in line:
             line = use["tags"].sub(" ", line)
@@ -82,7 +83,7 @@ def sentences(text: str | None, lang: str | None) -> list[str]:
         if "[" in line:
             line = use["notes"].sub("\x01", use["links"].sub("", line))
         parts = use["ends"].split(line)
-        if use["thai"].search(line):
+        if thai and use["thai"].search(line):
             parts = [x for p in parts for x in use["thai ends"].split(p)]
         found += [s for p in parts if use["letters"].search(p) and not use["numeral"].fullmatch(s := p.strip(" \x01"))]
     return found
@@ -94,10 +95,13 @@ def beginnings(word: str) -> tuple[str, ...]:
     return tuple(word[:n] for n in range(min(len(word), max(4, len(word) - 2)), len(word) + 1))
 
 
-def terms(sentence: str) -> list[str]:
-    """Terms in lower case: words and their beginnings, so that endings matter less; of scripts without blanks, short runs of characters."""
+def terms(sentence: str, spaced: bool = False) -> list[str]:
+    """Terms in lower case: words and their beginnings, so that endings matter less; of scripts without blanks, short runs of characters.
+
+    `spaced` says that the sentence has no script without blanks.
+    """
     use, found, sentence = patterns(), [], sentence.lower()
-    if not use["unspaced"].search(sentence):
+    if spaced or not use["unspaced"].search(sentence):
         for word in use["words"].findall(sentence):
             found += beginnings(word)
         return found
@@ -220,27 +224,43 @@ def unit(rows):
     return rows / np.maximum(np.linalg.norm(rows, axis=-1, keepdims=True), 1e-12)
 
 
-def treated(numbers, ends, sizes, lang: str | None, models: Models):
-    """How many of a text's sentences treat each subject, NONE last; each is read by the language that knows its terms.
+def treated(langs: list, numbers, offsets, ends, n_sentences, sizes, models: Models, n_subjects: int):
+    """How many sentences of each text treat each subject, a row a text; each sentence is read by the language that knows its terms.
 
-    numbers: the terms of all sentences; ends: where each sentence ends; sizes: how many terms each has, known ones or not.
+    numbers: the terms of all sentences, those of a text from one of `offsets` to the next; ends: where each sentence
+    ends in its text, those of a text from one of `n_sentences` to the next; sizes: how many terms each has, known ones or not.
     """
     import numpy as np
 
-    own, starts = models.get(lang), np.concatenate([[0], ends[:-1]])
-    found, strange = np.zeros(0, int), np.arange(len(ends))
-    if own is not None:
-        places, there = own.places(numbers)
-        familiar = between(there, starts, ends) >= KNOWN * sizes
-        found, strange = own.subjects(places, there, starts[familiar], ends[familiar]), np.flatnonzero(~familiar)
-    tongue = own
-    for i in strange.tolist():
+    text = np.repeat(np.arange(len(langs)), np.diff(n_sentences))
+    ends = ends + offsets[text]
+    starts = np.concatenate([[0], ends[:-1]])
+    found = np.full(len(ends), n_subjects)
+    strange = np.zeros(len(ends), bool)
+    codes = {lang: k for k, lang in enumerate(dict.fromkeys(langs))}
+    tongues = np.array([codes[lang] for lang in langs])[text] if len(text) else text
+    for lang, code in codes.items():
+        own, model = np.flatnonzero(tongues == code), models.get(lang)
+        if model is None:
+            strange[own] = True
+            continue
+        lengths = ends[own] - starts[own]
+        until = np.cumsum(lengths)
+        places, there = model.places(numbers[np.repeat(starts[own] - until + lengths, lengths) + np.arange(lengths.sum())])
+        familiar = between(there, until - lengths, until) >= KNOWN * sizes[own]
+        strange[own[~familiar]] = True
+        found[own[familiar]] = model.subjects(places, there, (until - lengths)[familiar], until[familiar])
+    at, tongue = None, None
+    for i in np.flatnonzero(strange).tolist():
+        if text[i] != at:
+            at, own = text[i], models.get(langs[text[i]])
+            tongue = own
         part = numbers[starts[i] : ends[i]]
         reader = best_reader(part, int(sizes[i]), tongue, models)
         if reader is not None:
             tongue = own or reader
-            found = np.append(found, reader.subjects(*reader.places(part), [0], [len(part)]))
-    return np.bincount(found)
+            found[i] = reader.subjects(*reader.places(part), np.array([0]), np.array([len(part)]))[0]
+    return np.bincount(text * (n_subjects + 1) + found, minlength=len(langs) * (n_subjects + 1)).reshape(-1, n_subjects + 1)[:, :n_subjects]
 
 
 def best_reader(numbers, size: int, tongue: Model | None, models: Models) -> Model | None:
@@ -318,26 +338,30 @@ def encode(df: DataFrame, known: list[str]) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(known)})
 
     def batches(source: Iterator) -> Iterator:
+        from itertools import repeat
+
         import numpy as np
         import pyarrow as pa
 
-        number = shared.value
-        lists = lambda values, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(values, np.int32)))
+        number, unspaced = shared.value.get, patterns()["unspaced"].search
+        lists = lambda values, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.asarray(values, np.int32)))
         for batch in source:
-            kept, numbers, offsets, ends, sizes, lengths = [], [], [0], [], [], [0]
+            kept, numbers, sizes, n_sentences = [], [], [], [0]
             for i, (lang, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                start = len(numbers)
+                spaced = not unspaced(text)
                 for s in sentences(text, lang):
-                    own = set(terms(s))
-                    numbers += [n for t in own if (n := number.get(t)) is not None]
-                    ends.append(len(numbers) - start)
+                    own = set(terms(s, spaced))
+                    numbers += map(number, own, repeat(-1))
                     sizes.append(len(own))
-                if len(ends) > lengths[-1]:
+                if len(sizes) > n_sentences[-1]:
                     kept.append(i)
-                    offsets.append(len(numbers))
-                    lengths.append(len(ends))
-            rows = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), lists(numbers, offsets), lists(ends, lengths), lists(sizes, lengths)], names=["doc_id", "lang", "numbers", "ends", "sizes"])
+                    n_sentences.append(len(sizes))
+            numbers, sizes, n_sentences, rows = np.array(numbers, np.int32), np.array(sizes, np.int64), np.array(n_sentences), pa.array(kept, pa.int64())
+            there = np.concatenate([[0], np.cumsum(numbers >= 0)])
+            ends = there[np.concatenate([[0], np.cumsum(sizes)])]
+            offsets = ends[n_sentences]
+            own_ends = ends[1:] - np.repeat(offsets[:-1], np.diff(n_sentences))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), lists(numbers[numbers >= 0], offsets), lists(own_ends, n_sentences), lists(sizes, n_sentences)], names=["doc_id", "lang", "numbers", "ends", "sizes"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
     return spread(df.where("text is not null").select("doc_id", "lang", "text"), "doc_id").mapInArrow(batches, f"doc_id {kind}, lang string, numbers array<int>, ends array<int>, sizes array<int>")
@@ -400,17 +424,16 @@ def subject_shares(df: DataFrame, labels: DataFrame, subjects: list[str]) -> Dat
     files = tuple(fit_models(encoded, sample, sorted(spelt), f"{shared_folder(df.sparkSession)}/subjects-{uuid.uuid4().hex}").items())
 
     def batches(source: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        models, names = models_of(files), [spelt[x] for x in sorted(spelt)]
+        models, names = models_of(files), pa.array([spelt[x] for x in sorted(spelt)], pa.string())
         for batch in source:
-            found = []
-            lists = [(c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in batch.columns[2:]]
-            for i, (own, lang) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                numbers, ends, sizes = (values[offsets[i] : offsets[i + 1]] for values, offsets in lists)
-                found += [(own, subject, k, len(ends)) for subject, k in zip(names, treated(numbers, ends, sizes, lang, models).tolist()) if k]
-            columns = list(zip(*found)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema[0].type, pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "subject", "n_treating", "n_sentences"])
+            (numbers, offsets), (ends, n_sentences), (sizes, _) = ((c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy().astype(int)) for c in batch.columns[2:])
+            counts = treated(batch.column(1).to_pylist(), numbers, offsets, ends, n_sentences, sizes, models, len(names))
+            texts, subject = counts.nonzero()
+            n = np.diff(n_sentences)[texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(texts)), names.take(pa.array(subject)), pa.array(counts[texts, subject], pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "subject", "n_treating", "n_sentences"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
     return encoded.mapInArrow(batches, f"doc_id {kind}, subject string, n_treating bigint, n_sentences bigint")
