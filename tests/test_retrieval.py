@@ -2,6 +2,7 @@ import math
 import random
 import unicodedata
 
+import pandas as pd
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -69,9 +70,11 @@ def brute(docs, queries, n, depth):
     return out
 
 
-@pytest.mark.parametrize("block", [10**6, 3])
-def test_bm25_against_brute_force(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "size"), [(10**6, 10**6), (3, 10**6), (10**6, 7)])
+def test_bm25_against_brute_force(spark, block, size, monkeypatch):
     monkeypatch.setattr(bm25, "BLOCK_TERMS", block)
+    for name in ("BATCH_SCORES", "BATCH_PRODUCTS", "COUNTED_TERMS", "ROW_TERMS"):
+        monkeypatch.setattr(bm25, name, size)
     rng = random.Random(3)
     vocabulary = "river court striker the of a kernel wage".split()
     docs = [("en", f"d{i:03}", " ".join(rng.choices(vocabulary, k=rng.randint(0, 12)))) for i in range(150)] + [("de", "d000", "fluss"), ("de", "d001", None)]
@@ -93,6 +96,45 @@ def test_bm25_against_brute_force(spark, block, monkeypatch):
     assert bm25.run_bm25(corpus.limit(0), topics, "word", 5).count() == 0 and bm25.run_bm25(corpus, topics.limit(0), "word", 5).count() == 0
 
 
+def test_both_tokenisers_know_the_same_blanks(spark):
+    """Words of Catalyst and of Python agree over every code point."""
+    text = [f"a{chr(i)}b" for i in range(1, 0x110000) if not 0xD800 <= i <= 0xDFFF]
+    df = spark.createDataFrame(pd.DataFrame({"t": text}))
+    got = df.select("t", F.size(X.words(F.col("t"))).alias("n")).toPandas()
+    assert len(got) == len(text) and all(n == len(t.split()) for t, n in zip(got["t"], got["n"]))
+
+
+def test_many_queries_of_one_language_stay_small(monkeypatch):
+    """20,000 queries of one language over batches of documents: the arrays of a worker stay below 1 GB, and scores are right."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n_queries, n_terms, n_documents = 20_000, 15_000, 600
+    terms = (rng.zipf(1.3, (n_queries, 16)) - 1) % n_terms
+    rows = [(q, int(t)) for q in range(n_queries) for t in dict.fromkeys(terms[q].tolist())]
+    order = sorted(range(len(rows)), key=lambda i: rows[i][1])
+    queries = np.array([rows[i][0] for i in order])
+    weights = 1.0 + rng.random(len(rows))
+    starts = np.concatenate([[0], np.cumsum(np.bincount([t for _, t in rows], minlength=n_terms))])
+    documents = [dict.fromkeys(((rng.zipf(1.3, 80) - 1) % n_terms).tolist(), 1) for _ in range(n_documents)]
+    tracemalloc.start()
+    own = bm25._Queries([str(q) for q in range(n_queries)], starts, queries, weights, 80.0, 100)
+    for i in range(0, n_documents, 200):
+        part = documents[i : i + 200]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in part])])
+        own.add([f"{j:05}" for j in range(i, i + len(part))], np.full(len(part), 80), np.array([t for x in part for t in x]), np.ones(ends[-1], int), ends)
+    q, d, s = own.best.settle()
+    assert tracemalloc.get_traced_memory()[1] < 1_000_000_000
+    tracemalloc.stop()
+    for query in (0, 7, 19_999):
+        weight = {int(t): w for t in range(n_terms) for k, w in zip(queries[starts[t] : starts[t + 1]], weights[starts[t] : starts[t + 1]]) if k == query}
+        expected = sorted(((-round(sum(w for t, w in weight.items() if t in x) * 2.5 / 2.5 + 1e-9, 6), j) for j, x in enumerate(documents) if weight.keys() & x.keys()))[:100]
+        assert [int(own.docids[j]) for j in d[q == query]] == [j for _, j in expected]
+        assert s[q == query] == pytest.approx([-x for x, _ in expected], abs=2e-6)
+
+
 def test_cosine_against_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     vectors = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(90)] + [(90, [0.0] * 8), (91, None)]

@@ -6,14 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import NUDGE, rounded
-from ..functions.text import TOKENISERS, python_tokeniser
+from ..functions.text import python_tokeniser
 from ..plans.materialise import counted_side, materialise
+from .best import Best
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Places to which scores are rounded before they are ranked, so that ties are ties whatever the order of summing.
 PLACES = 6
-#: Weighted query terms that are broadcast as one block, and documents that a task multiplies with them at a time.
-BLOCK_TERMS, BATCH_DOCUMENTS = 400_000, 512
+#: Query terms, and queries, of one block: what is broadcast at once.
+BLOCK_TERMS, BLOCK_QUERIES = 400_000, 25_000
+#: Scores of documents and queries that a task computes at a time, and products it adds up for them at a time.
+BATCH_SCORES, BATCH_PRODUCTS = 2_000_000, 2_000_000
+#: Distinct terms that a task counts before it hands the counts on, and terms of one row of counts.
+COUNTED_TERMS, ROW_TERMS = 500_000, 2_000
 
 
 def postings(corpus: DataFrame, tokens: Column) -> DataFrame:
@@ -39,8 +44,13 @@ def inverse_frequencies(posting: DataFrame, statistics: DataFrame, few: bool = F
 
     `few` says that counting has shown few languages, so that a row a language may be broadcast.
     """
+    return inverse_from(posting.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("df")), statistics, few)
+
+
+def inverse_from(frequencies: DataFrame, statistics: DataFrame, few: bool = False) -> DataFrame:
+    """As `inverse_frequencies`, of counted (lang, term, df)."""
     raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    counted = posting.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("df")).join(statistics.select("lang", "n_docs"), "lang").withColumn("raw", raw)
+    counted = frequencies.join(statistics.select("lang", "n_docs"), "lang").withColumn("raw", raw)
     mean = counted.groupBy("lang").agg(F.avg("raw").alias("mean_raw"))
     idf = F.when(F.col("raw") < 0, FLOOR * F.col("mean_raw")).otherwise(F.col("raw"))
     return counted.join(F.broadcast(mean) if few else mean, "lang").select("lang", "term", "df", idf.alias("idf"))
@@ -86,106 +96,228 @@ def padded(top: DataFrame, topics: DataFrame, corpus: DataFrame, depth: int) ->
     return ranked(top.select("lang", "qid", "docid", "score").unionByName(extra), depth)
 
 
-def document_frequencies(corpus: DataFrame, tokens: Column, statistics: DataFrame, few: bool = False) -> DataFrame:
-    """As `inverse_frequencies`, straight from the documents: each counts a term once, and counts are merged before the shuffle."""
-    return inverse_frequencies(corpus.select("lang", F.explode(F.array_distinct(tokens)).alias("term")), statistics, few)
-
-
-def run_bm25(corpus: DataFrame, topics: DataFrame, tokeniser: str = "char4", depth: int = 100) -> DataFrame:
+def run_bm25(corpus: DataFrame, topics: DataFrame, tokeniser: str = "char4", depth: int = 100, pad: bool = True) -> DataFrame:
     """(lang, qid, docid, score, rank): the best `depth` documents of each query's language, those of score 0 in docid order.
 
-    corpus: (lang, docid, norm), one row a document; topics: (lang, qid, norm). Each query's weighted terms are
-    sent to the documents in blocks of at most BLOCK_TERMS terms; a task multiplies them with its documents
-    and keeps the best `depth` a query, so that neither postings nor pairs of query and document are shuffled.
+    corpus: (lang, docid, norm), one row a document; topics: (lang, qid, norm). Each document is tokenised once,
+    into the numbers of those of its terms that some query has; the same pass counts in how many documents
+    every term occurs. A block of weighted queries is then sent to the documents, and a task keeps the best
+    `depth` a query of all its documents; only scores above 0 leave it, and what a query lacks is filled up once.
+    Neither postings nor pairs of query and document are shuffled. More than BLOCK_TERMS terms or BLOCK_QUERIES
+    queries make further blocks, each with a pass of its own. Without `pad`, documents of score 0 have no rows.
     Null texts are empty; empty queries rank all documents at 0; languages without documents have no rows.
-    The corpus is read three times (lengths, frequencies, scores) and therefore kept in the shared folder first.
     """
-    corpus = materialise(corpus.select("lang", "docid", "norm"))
-    tokens = TOKENISERS[tokeniser](F.col("norm"))
-    statistics, few = counted_side(collection_statistics(lengths(corpus, tokens)))
-    asked = query_terms(topics, tokens)
-    vocabulary = document_frequencies(corpus, tokens, statistics, few)
-    weights = asked.join(vocabulary, ["lang", "term"]).select("lang", "qid", "term", (F.col("idf") * F.col("qtf")).alias("weight"))
-    means = {r.lang: r.mean_length for r in statistics.select("lang", "mean_length").collect()}
-    weighted = materialise(topics.select("lang", "qid").join(weights.groupBy("lang", "qid").agg(F.collect_list(F.struct("term", "weight")).alias("terms")), ["lang", "qid"], "left"))
-    n_blocks = max(1, -(-(weighted.agg(F.sum(F.greatest(F.size("terms"), F.lit(1)))).first()[0] or 1) // BLOCK_TERMS))
-    result = None
-    for block in range(n_blocks):  # what one broadcast may hold; the number of blocks follows the stated query set
-        held = weighted.where(F.pmod(F.xxhash64("lang", "qid"), F.lit(n_blocks)) == block).collect()
-        part = _block_scores(corpus, [(r.lang, r.qid, [(t.term, t.weight) for t in r.terms or ()]) for r in held], means, tokeniser, depth)
+    asked = materialise(_query_terms(topics, tokeniser))
+    sizes = {r.lang: r.n for r in topics.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_blocks = max(1, -(-asked.count() // BLOCK_TERMS), -(-sum(sizes.values()) // BLOCK_QUERIES))
+    block_of = F.pmod(F.xxhash64("lang", "qid"), F.lit(n_blocks))
+    result = keys = None
+    for block in range(n_blocks):  # the number of blocks follows the stated query set
+        own = asked.where(block_of == block)
+        numbers: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
+        for lang, term in zip(*(c.to_pylist() for c in own.select("lang", "term").distinct().toArrow().columns)):
+            numbers[lang][term] = len(numbers[lang])
+        encoded = materialise(_encoded(corpus, numbers, tokeniser, count=block == 0))
+        if block == 0:
+            keys = encoded.where("docid is not null").select("lang", "docid")
+            statistics, few = counted_side(collection_statistics(encoded.where("docid is not null").select("lang", "length")))
+            each = encoded.where("docid is null").select("lang", F.explode(F.arrays_zip(F.col("terms"), F.col("counts"))).alias("e"))
+            frequencies = each.groupBy("lang", F.col("e.terms").alias("term")).agg(F.sum("e.counts").alias("df"))
+            means = {r.lang: r.mean_length for r in statistics.select("lang", "mean_length").collect()}
+            vocabulary = materialise(inverse_from(frequencies, statistics, few)) if n_blocks > 1 else inverse_from(frequencies, statistics, few)
+        weights = own.join(vocabulary, ["lang", "term"]).select("lang", "qid", "term", (F.col("idf") * F.col("qtf")).alias("weight"))
+        part = _block_scores(encoded, _weighted(weights.toArrow(), numbers), means, depth)
         result = part if result is None else result.unionByName(part)
-    return ranked(result, depth)
+    top = ranked(result, depth)
+    return padded(top, topics.where("lang is not null"), keys, depth) if pad else top.where("score <> 0")
 
 
-def _block_scores(corpus: DataFrame, held: list, means: dict, tokeniser: str, depth: int) -> DataFrame:
-    """(lang, qid, docid, score): each task's best documents for a block of queries."""
-    shared = corpus.sparkSession.sparkContext.broadcast((held, means))
+def _query_terms(topics: DataFrame, tokeniser: str) -> DataFrame:
+    """(lang, qid, term, qtf): a term that a query repeats counts as often."""
 
     def batches(source):
-        import numpy as np
+        from collections import Counter
+
         import pyarrow as pa
 
-        queries, mean_length = shared.value
         split = python_tokeniser(tokeniser)
-        languages: dict[str, _Queries] = {}
-        for lang in {lang for lang, _, _ in queries}:
-            languages[lang] = _Queries([(q, terms) for x, q, terms in queries if x == lang], depth)
-        waiting: dict[str, list] = {lang: [] for lang in languages}
         for batch in source:
-            for lang, docid, norm in zip(*(c.to_pylist() for c in batch.columns)):
-                if lang in waiting:
-                    own = waiting[lang]
-                    own.append((docid, split(norm or "")))
-                    if len(own) >= BATCH_DOCUMENTS:
-                        languages[lang].add(own, mean_length[lang])
-                        own.clear()
-        for lang, own in waiting.items():
-            if own:
-                languages[lang].add(own, mean_length[lang])
-            for qid, docids, scores in languages[lang].best():
-                n = len(docids)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([qid] * n, pa.string()), pa.array(docids, pa.string()), pa.array(np.asarray(scores, float))], names=["lang", "qid", "docid", "score"])
-
-    return corpus.select("lang", "docid", "norm").mapInArrow(batches, "lang string, qid string, docid string, score double")
+            rows = [(lang, qid, t, n) for lang, qid, norm in zip(*(c.to_pylist() for c in batch.columns)) for t, n in Counter(split(norm or "")).items()]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.int64())], names=["lang", "qid", "term", "qtf"])
+
+    there = topics.where("lang is not null and qid is not null").select("lang", "qid", "norm")
+    return there.mapInArrow(batches, "lang string, qid string, term string, qtf bigint")
+
+
+def _encoded(corpus: DataFrame, numbers: dict, tokeniser: str, count: bool) -> DataFrame:
+    """Documents of the queries' languages as (lang, docid, length, terms' numbers, counts), in docid order within a task.
+
+    With `count`, rows without docid say in how many of a task's documents each term occurs (lang, terms, counts).
+    """
+    shared = corpus.sparkSession.sparkContext.broadcast(numbers)
+
+    def batches(source):
+        from collections import Counter
+
+        import numpy as np
+        import pyarrow as pa
+
+        known, split = shared.value, python_tokeniser(tokeniser)
+        frequencies: Counter = Counter()
+        at = None
+        lists = lambda values, ends, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+        names = ["lang", "docid", "length", "numbers", "counts", "terms"]
+
+        def counted():
+            every, n = list(frequencies), np.fromiter(frequencies.values(), np.int32, len(frequencies))
+            for i in range(0, len(every), ROW_TERMS):
+                part = every[i : i + ROW_TERMS]
+                ends = [0, len(part)]
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), lists(n[i : i + ROW_TERMS], ends, pa.int32()), lists(part, ends, pa.string())], names=names)
+            frequencies.clear()
+
+        for batch in source:
+            kept, lengths, found, tallies, ends = [], [], [], [], [0]
+            langs = batch.column(0).to_pylist()
+            for i, (lang, norm) in enumerate(zip(langs, batch.column(2).to_pylist())):
+                if lang not in known:
+                    continue
+                if count and (lang != at or len(frequencies) > COUNTED_TERMS):
+                    yield from counted()
+                    at = lang
+                tokens = split(norm or "")
+                tally = Counter(tokens)
+                if count:
+                    frequencies.update(tally.keys())
+                number = known[lang]
+                for t in number.keys() & tally.keys():
+                    found.append(number[t])
+                    tallies.append(tally[t])
+                kept.append(i)
+                lengths.append(len(tokens))
+                ends.append(len(found))
+            rows = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(lengths, pa.int64()), lists(np.array(found, np.int32), ends, pa.int32()), lists(np.array(tallies, np.int32), ends, pa.int32()), pa.nulls(len(kept), pa.list_(pa.string()))], names=names)
+        yield from counted()
+
+    ordered = corpus.where("lang is not null and docid is not null").select("lang", "docid", "norm").sortWithinPartitions("lang", "docid")
+    return ordered.mapInArrow(batches, "lang string, docid string, length bigint, numbers array<int>, counts array<int>, terms array<string>")
+
+
+def _weighted(weights, numbers: dict) -> dict:
+    """By language: the queries' ids, and the queries and weights of each term, terms by number: (qids, starts, queries, weights)."""
+    import numpy as np
+
+    found: dict[str, tuple[dict, list, list, list]] = {}
+    for lang, qid, term, weight in zip(*(c.to_pylist() for c in weights.columns)):
+        qids, terms, queries, values = found.setdefault(lang, ({}, [], [], []))
+        terms.append(numbers[lang][term])
+        queries.append(qids.setdefault(qid, len(qids)))
+        values.append(weight)
+    result = {}
+    for lang, (qids, terms, queries, values) in found.items():
+        order = np.argsort(np.array(terms), kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(numbers[lang])))])
+        result[lang] = (list(qids), starts, np.array(queries, np.int64)[order], np.array(values)[order])
+    return result
+
+
+def _block_scores(encoded: DataFrame, weighted: dict, means: dict, depth: int) -> DataFrame:
+    """(lang, qid, docid, score): each task's best documents for a block of queries."""
+    shared = encoded.sparkSession.sparkContext.broadcast((weighted, means))
+
+    def batches(source):
+        import pyarrow as pa
+
+        weights, mean_length = shared.value
+        at = own = None
+        for batch in source:
+            langs, docids = batch.column(0), batch.column(1).to_pylist()
+            lengths, (numbers, counts) = batch.column(2).to_numpy(zero_copy_only=False), (batch.column(i).values.to_numpy(zero_copy_only=False) for i in (3, 4))
+            ends = batch.column(3).offsets.to_numpy()
+            start = 0
+            for lang, n in _runs(langs.to_pylist()):
+                if lang != at:
+                    if own is not None:
+                        yield from own.rows(at, pa)
+                    at, own = lang, _Queries(*weights[lang], mean_length[lang], depth) if lang in weights else None
+                if own is not None:
+                    own.add(docids[start : start + n], lengths[start : start + n], numbers, counts, ends[start : start + n + 1])
+                start += n
+        if own is not None:
+            yield from own.rows(at, pa)
+
+    documents = encoded.where("docid is not null").select("lang", "docid", "length", "numbers", "counts")
+    return documents.mapInArrow(batches, "lang string, qid string, docid string, score double")
+
+
+def _runs(values: list):
+    """(value, how often) of equal neighbours."""
+    from itertools import groupby
+
+    return [(value, sum(1 for _ in own)) for value, own in groupby(values)]
 
 
 class _Queries:
-    """Weighted queries of one language and the best documents seen so far."""
+    """Weighted queries of one language, terms leading to queries, and the best documents seen so far."""
 
-    def __init__(self, queries: list, depth: int):
+    def __init__(self, qids: list[str], starts, queries, weights, mean_length: float, depth: int):
         import numpy as np
 
-        self.qids, self.depth = [q for q, _ in queries], depth
-        self.number: dict[str, int] = {}
-        for _, terms in queries:
-            for term, _ in terms:
-                self.number.setdefault(term, len(self.number))
-        self.weights = np.zeros((len(queries), max(1, len(self.number))))
-        for row, (_, terms) in zip(self.weights, queries):
-            for term, weight in terms:
-                row[self.number[term]] += weight
-        self.docids: list[list[str]] = [[] for _ in queries]
-        self.scores = [np.zeros(0) for _ in queries]
-
-    def add(self, documents: list, mean_length: float) -> None:
+        self.qids, self.starts, self.queries, self.weights, self.mean_length = qids, starts, queries, weights, mean_length
+        # Where a weight is below 0, documents of score 0 may stand above others, so all are ranked here.
+        self.whole = bool((weights < 0).any())
+        self.best = Best(len(qids), depth, float("-inf") if self.whole else 0.5 * 10.0**-PLACES)
+        self.docids: list[str] = []
+        # Terms of many queries are multiplied as a matrix, of bounded size, the others one by one.
+        often = np.diff(starts)
+        common = np.flatnonzero(often > max(8, len(qids) // 32))
+        common = common[np.argsort(-often[common], kind="stable")][: max(1, 2 * BATCH_SCORES // len(qids))]
+        self.column = np.full(len(often), -1)
+        self.column[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), len(qids)))
+        for k, t in enumerate(common):
+            np.add.at(self.matrix[k], queries[starts[t] : starts[t + 1]], weights[starts[t] : starts[t + 1]])
+
+    def add(self, docids: list, lengths, numbers, counts, ends) -> None:
+        step = max(1, BATCH_SCORES // max(len(self.qids), len(self.matrix)))
+        for i in range(0, len(docids), step):
+            part = slice(i, i + step)
+            self._add(docids[part], lengths[part], numbers, counts, ends[i : i + step + 1])
+
+    def _add(self, docids: list, lengths, numbers, counts, ends) -> None:
         import numpy as np
 
-        order = sorted(documents)
-        impact = np.zeros((self.weights.shape[1], len(order)))
-        length = np.array([len(tokens) for _, tokens in order], float)
-        scale = K1 * (1 - B + B * length / mean_length) if mean_length else np.full(len(order), K1)
-        for column, (_, tokens) in enumerate(order):
-            numbers = [n for t in tokens if (n := self.number.get(t)) is not None]
-            if numbers:
-                terms, counts = np.unique(numbers, return_counts=True)
-                impact[terms, column] = counts * (K1 + 1) / (counts + scale[column])
-        scores = np.round(self.weights @ impact + NUDGE, PLACES)
-        names = np.array([docid for docid, _ in order], object)
-        for q, own in enumerate(scores):
-            near = np.argsort(-own, kind="stable")[: self.depth]  # documents are in docid order, so ties are too
-            docids, values = [*self.docids[q], *names[near]], np.concatenate([self.scores[q], own[near]])
-            kept = sorted(range(len(docids)), key=lambda i: (-values[i], docids[i]))[: self.depth]
-            self.docids[q], self.scores[q] = [docids[i] for i in kept], values[kept]
-
-    def best(self):
-        return zip(self.qids, self.docids, self.scores)
+        n, n_queries, first = len(docids), len(self.qids), len(self.docids)
+        self.docids += docids
+        document = np.repeat(np.arange(n), np.diff(ends))
+        term, count = numbers[ends[0] : ends[-1]], counts[ends[0] : ends[-1]]
+        scale = K1 * (1 - B + B * lengths / self.mean_length) if self.mean_length else np.full(n, K1)
+        impact = count * (K1 + 1) / (count + scale[document])
+        column = self.column[term]
+        common = column >= 0
+        dense = np.zeros((n, len(self.matrix)))
+        dense[document[common], column[common]] = impact[common]
+        scores = (dense @ self.matrix).ravel()
+        document, term, impact = document[~common], term[~common], impact[~common]
+        begin, often = self.starts[term], self.starts[term + 1] - self.starts[term]
+        until = np.cumsum(often)
+        at = 0
+        while at < len(term):  # as many terms at a time as keep the products bounded
+            stop = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + BATCH_PRODUCTS, "right")))
+            own = often[at:stop]
+            entry = np.repeat(begin[at:stop] - np.cumsum(own) + own, own) + np.arange(own.sum())
+            scores += np.bincount(np.repeat(document[at:stop] * n_queries, own) + self.queries[entry], np.repeat(impact[at:stop], own) * self.weights[entry], n * n_queries)
+            at = stop
+        scores = scores.reshape(n, n_queries)
+        near_document, near = np.nonzero(scores >= self.best.bar - 10.0**-PLACES)
+        values = np.round(scores[near_document, near] + NUDGE, PLACES)
+        kept = values >= self.best.bar[near]
+        self.best.offer(near[kept], near_document[kept] + first, values[kept])
+
+    def rows(self, lang: str, pa):
+        queries, documents, scores = self.best.settle()
+        for i in range(0, len(queries), 1 << 16):
+            q, d, s = (x[i : i + (1 << 16)] for x in (queries, documents, scores))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(q), pa.string()), pa.array([self.qids[k] for k in q], pa.string()), pa.array([self.docids[k] for k in d], pa.string()), pa.array(s)], names=["lang", "qid", "docid", "score"])

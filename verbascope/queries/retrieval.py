@@ -34,17 +34,14 @@ def _run(tokeniser: str, exact: bool = False):
 
 
 def j04_scored(spark, d):
-    """Every pair of query and document with a common word, by joining postings to query terms; the best hundred."""
-    words = X.words(F.col("norm"))
-    hits = bm25.scored(corpus(spark, d), topics(spark, d), words, words)
-    return bm25.ranked(hits, 100).withColumn("rank", F.col("rank").cast("bigint"))
+    """Documents that share a word with a query, by looking the postings of its words up; the best hundred."""
+    own = bm25.run_bm25(corpus(spark, d), topics(spark, d), "word", 100, pad=False)
+    return own.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def x02_padded(spark, d):
     """The same, filled to a hundred with documents without a common word."""
-    words, own, asked = X.words(F.col("norm")), corpus(spark, d), topics(spark, d)
-    hits = bm25.ranked(bm25.scored(own, asked, words, words), 100)
-    return bm25.padded(hits, asked, own, 100).withColumn("rank", F.col("rank").cast("bigint"))
+    return bm25.run_bm25(corpus(spark, d), topics(spark, d), "word", 100).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def f01_normalise(spark, d):
