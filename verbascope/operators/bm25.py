@@ -129,6 +129,8 @@ def run_bm25(corpus: DataFrame, topics: DataFrame, tokeniser: str = "char4", dep
         part = _block_scores(encoded, _weighted(weights.toArrow(), numbers), means, depth)
         result = part if result is None else result.unionByName(part)
     top = ranked(result, depth)
+    if pad:
+        top = materialise(top)  # read by the count of what lacks, and again by what is filled
     return padded(top, topics.where("lang is not null"), keys, depth) if pad else top.where("score <> 0")
 
 
@@ -248,7 +250,8 @@ def _block_scores(encoded: DataFrame, weighted: dict, means: dict, depth: int) -
         if own is not None:
             yield from own.rows(at, pa)
 
-    documents = encoded.where("docid is not null").select("lang", "docid", "length", "numbers", "counts")
+    # In order of language and docid, a task has documents of few languages and a language is in few tasks, however many documents it has.
+    documents = encoded.where("docid is not null").select("lang", "docid", "length", "numbers", "counts").repartitionByRange("lang", "docid").sortWithinPartitions("lang", "docid")
     return documents.mapInArrow(batches, "lang string, qid string, docid string, score double")
 
 
