@@ -14,30 +14,34 @@ from verbascope.sources import collection as C
 RUN, QRELS, TOPICS = "lang string, qid string, docid string, rank int", "lang string, qid string, docid string, rel int", "lang string, qid string"
 
 
-def scores(ranked, rel):
-    gain = lambda gs: sum(g / math.log2(i + 2) for i, g in enumerate(gs))
-    positive = {d: r for d, r in rel.items() if r > 0}
-    ideal = gain(sorted(positive.values(), reverse=True)[:10])
-    own = [positive.get(d, 0) for d in ranked[:10]]
-    first = next((i for i, g in enumerate(own, 1) if g), None)
-    return (gain(own) / ideal if ideal else 0.0, len(set(ranked[:100]) & set(positive)) / len(positive) if positive else 0.0, 1 / first if first else 0.0, len(positive), sum(d not in rel for d in ranked[:10]), sum(d not in rel for d in ranked[:100]))
-
-
-def test_evaluate_against_brute_force(spark):
-    rng = random.Random(2)
-    docs = [f"d{i}" for i in range(300)]
-    runs = {f"q{i}": rng.sample(docs, rng.choice([0, 5, 150])) for i in range(25)}
-    rel = {q: {d: rng.choice([-1, 0, 1, 2, 3]) for d in rng.sample(docs, rng.choice([0, 3, 80]))} for q in runs}
-    rel["q1"] = {d: 0 for d in docs[:5]}
-    runs["q2"], rel["q2"] = docs[:20], {d: 20 - i for i, d in enumerate(docs[:20])}
+#: By query: the ranking, the grades, and the scores worked out by hand (nDCG@10, Recall@100, MRR@10, positives, unjudged@10, unjudged@100).
+BY_HAND = {
+    # gains 0, 1, 0; ideal 1, 1: (1 / log2 3) / (1 + 1 / log2 3)
+    "two of one": (["d1", "d2", "d3"], {"d2": 1, "d9": 1, "d3": 0}, (0.386853, 0.5, 0.5, 2, 1, 1)),
+    # gains 1, 2, 3 against 3, 2, 1: 3.761860 / 4.761860
+    "upside down": (["c", "b", "a"], {"a": 3, "b": 2, "c": 1}, (0.789998, 1.0, 1.0, 3, 0, 0)),
+    # found at rank 11: too late for all but recall
+    "late": ([f"x{i}" for i in range(10)] + ["hit"], {"hit": 1}, (0.0, 1.0, 0.0, 1, 10, 10)),
+    # judged, but nothing is positive
+    "no positive": (["a", "b"], {"a": 0, "b": -1}, (0.0, 0.0, 0.0, 0, 0, 0)),
+    "no ranking": ([], {"a": 1}, (0.0, 0.0, 0.0, 1, 0, 0)),
+    # 20 positives of equal grade: ten fill the ideal; 12 are retrieved
+    "more than ten": ([f"p{i}" for i in range(12)], {f"p{i}": 1 for i in range(20)}, (1.0, 0.6, 1.0, 20, 0, 0)),
+    # ranks beyond 100 count for nothing: 101 documents, the last one positive
+    "beyond depth": ([f"u{i}" for i in range(100)] + ["hit"], {"hit": 2}, (0.0, 0.0, 0.0, 1, 10, 100)),
+    # first at rank 4: 1 / log2 5 over 1
+    "fourth": (["a", "b", "c", "hit"], {"hit": 1, "a": 0}, (0.430677, 1.0, 0.25, 1, 2, 2)),
+}
+
+
+def test_evaluate_by_hand(spark):
     df = lambda rows, schema: spark.createDataFrame([("en", *r) for r in rows], schema).repartition(3)
-    run = df([(q, d, i) for q, r in runs.items() for i, d in enumerate(r, 1)], RUN)
-    got = {r.qid: tuple(r)[2:] for r in V.evaluate(run, df([(q, d, x) for q, r in rel.items() for d, x in r.items()], QRELS), df([(q,) for q in runs], TOPICS)).collect()}
-    assert got.keys() == runs.keys()
-    for q in runs:
-        assert got[q] == pytest.approx(scores(runs[q], rel[q]))
-        assert 0 <= got[q][0] <= 1 + 1e-12
-    assert got["q2"][0] == pytest.approx(1) and got["q1"][:4] == (0, 0, 0, 0)
+    run = df([(q, d, i) for q, (ranked, _, _) in BY_HAND.items() for i, d in enumerate(ranked, 1)], RUN)
+    judged = df([(q, d, x) for q, (_, rel, _) in BY_HAND.items() for d, x in rel.items()], QRELS)
+    got = {r.qid: tuple(r)[2:] for r in V.evaluate(run, judged, df([(q,) for q in BY_HAND], TOPICS)).collect()}
+    assert got.keys() == BY_HAND.keys()
+    for q, (_, _, expected) in BY_HAND.items():
+        assert got[q] == pytest.approx(expected, abs=2e-6), q
 
 
 def test_empty_evaluation(spark):
@@ -83,12 +87,22 @@ def test_random_effects_without_spread(spark):
 
 def test_bootstrap(spark):
     rng = random.Random(1)
-    rows = [("en", f"q{i}", rng.gauss(0.1, 0.5)) for i in range(119)]
+    rows = [("en", f"q{i}", round(rng.gauss(0.1, 0.5), 6)) for i in range(119)] + [("de", "q", None)]
     df = spark.createDataFrame(rows, "lang string, qid string, diff double")
-    spread = (sum((d - sum(x[2] for x in rows) / 119) ** 2 for _, _, d in rows) / 118) ** 0.5 / 119**0.5
-    for got in (S.paired_bootstrap(df.repartition(5), ["lang"], ["qid"], 500).first(), S.grouped_bootstrap(df, ["lang"]).first()):
-        assert got.n == 119 and got.boot_se == pytest.approx(spread, rel=0.12) and got.ci95_low < got.mean_diff < got.ci95_high
+    values = [d for *_, d in rows if d is not None]
+    spread = (sum((d - sum(values) / 119) ** 2 for d in values) / 118) ** 0.5 / 119**0.5
+    got = S.paired_bootstrap(df.repartition(5), ["lang"], ["qid"]).collect()
+    assert len(got) == 1 and got[0].n == 119 and got[0].boot_se == pytest.approx(spread, rel=0.03)
+    assert got[0].ci95_high - got[0].ci95_low == pytest.approx(2 * 1.96 * spread, rel=0.05) and got[0].ci95_low < got[0].mean_diff < got[0].ci95_high
     assert tuple(S.paired_bootstrap(df.repartition(5), ["lang"], ["qid"], 50).first()) == tuple(S.paired_bootstrap(df.repartition(2), ["lang"], ["qid"], 50).first())
+    means = S.bootstrap_means(df, ["lang"], ["qid"], 10_000, 1).agg(F.countDistinct("b"), F.min("b"), F.max("b")).first()
+    assert tuple(means) == (10_000, 1, 10_000)
+    assert S.paired_bootstrap(df.limit(0), ["lang"], ["qid"]).count() == 0
+
+
+def test_bootstrap_weights_have_the_poisson_law():
+    share = [(b - a) / 65536 for a, b in zip([0, *S.WEIGHT_STEPS], [*S.WEIGHT_STEPS, 65536])]
+    assert share[:5] == pytest.approx([math.exp(-1) / math.factorial(k) for k in range(5)], abs=4e-5) and sum(k * x for k, x in enumerate(share)) == pytest.approx(1, abs=3e-4)
 
 
 def test_rank_statistics(spark):
@@ -105,29 +119,13 @@ def test_rank_statistics(spark):
 def test_registered_scores_rank_every_passage(spark):
     sizes = {r.lang: min(r["count"], 100) for r in C.passages(spark, SMALL).groupBy("lang").count().collect()}
     asked = {(r.lang, r.qid) for r in C.topics(spark, SMALL).collect() if r.lang in sizes}
-    got = {(r.lang, r.qid): r["count"] for r in E.QUERIES["w01_ranks_bm25"](spark, SMALL).groupBy("lang", "qid").count().collect()}
+    got = {(r.lang, r.qid): r["count"] for r in E.QUERIES["w01_ranks"](spark, SMALL).groupBy("lang", "qid").count().collect()}
     assert got == {(lang, qid): sizes[lang] for lang, qid in asked} and max(got.values()) > 24
-    ranked, rel = {}, {}
-    for r in E.QUERIES["w01_ranks_bm25"](spark, SMALL).orderBy("rank").collect():
-        ranked.setdefault((r.lang, r.qid), []).append(r.docid)
-    for r in C.judgments(spark, SMALL).collect():
-        rel.setdefault((r.lang, r.qid), {})[r.docid] = r.rel
-    by = lambda name: {(r.lang, r.qid): tuple(r)[2:] for r in E.QUERIES[name](spark, SMALL).collect()}
-    ndcg, recall, mrr, unjudged, first = map(by, ("v02_ndcg_bm25", "v03_recall_bm25", "v04_mrr_bm25", "v05_unjudged_bm25", "w03_first_relevant_bm25"))
-    for q in asked:
-        own = scores(ranked[q], rel.get(q, {}))
-        assert (*ndcg[q], recall[q][0], *mrr[q], recall[q][1], *unjudged[q]) == pytest.approx(own, abs=1e-6)
-        assert first.get(q) == next(((i,) for i, d in enumerate(ranked[q], 1) if rel.get(q, {}).get(d, 0) > 0), None)
-    assert max(n for _, n in unjudged.values()) > 10
-
-
-def test_bootstrap_takes_every_resample(spark):
+    assert max(r.unjudged100 for r in E.QUERIES["v05_unjudged"](spark, SMALL).collect()) > 10
+
+
+def test_every_resample_is_listed(spark):
     from verbascope.queries import queries
 
     drawn = queries()["r04_resamples_full"](spark, SMALL).groupBy("lang").agg(F.countDistinct("b").alias("n"), F.max("b").alias("last")).collect()
     assert drawn and {(r.n, r.last) for r in drawn} == {(10_000, 10_000)}
-    hashed, other = ({r.lang: r for r in queries()[n](spark, SMALL).collect()} for n in ("t02_bootstrap_hashed_full", "t02_bootstrap_full"))
-    shown = lambda rows: {lang: (r.n, r.mean_diff, r.boot_se) for lang, r in rows.items() if lang in hashed}
-    assert hashed
-    for lang, own in shown(hashed).items():
-        assert own == pytest.approx(shown(other)[lang], rel=0.05, abs=2e-6), lang

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import NUDGE
+from .best import Best
 
 #: Least norm that a vector is divided by, and places to which similarities are rounded before ranking.
 LEAST_NORM, PLACES = 1e-12, 6
-#: Bytes of query vectors that are broadcast as one block; more queries make more blocks.
-BLOCK_BYTES = 32 << 20
+#: Bytes of query vectors, and queries, that are broadcast as one block; more queries make more blocks.
+BLOCK_BYTES, BLOCK_QUERIES = 32 << 20, 25_000
+#: Similarities that a task computes at a time.
+BATCH_SCORES = 2_000_000
 
 
 def as_double(vector: Column) -> Column:
@@ -43,14 +46,14 @@ def cosine_top(queries: DataFrame, documents: DataFrame, depth: int) -> DataFram
     """(qid, docid, score, rank): the `depth` documents of the highest cosine for each query, ties by docid.
 
     queries: (qid, vec); documents: (docid, vec); a document of the query's own id is no hit. Queries are
-    multiplied in blocks of bounded bytes with each batch of documents, and each batch keeps only candidates
-    for the first `depth`, so that what is shuffled is depth rows a query and batch, never all pairs.
+    multiplied in blocks of bounded bytes with each batch of documents, and each task keeps the best `depth` of
+    all its documents, so that what is shuffled is depth rows a query and task, never all pairs.
     Null vectors take no part.
     """
     asked = queries.where("qid is not null and vec is not null").select(F.col("qid").cast("bigint").alias("qid"), as_double(F.col("vec")).alias("vec"))
     stored = documents.where("docid is not null and vec is not null").select(F.col("docid").cast("bigint").alias("docid"), as_double(F.col("vec")).alias("vec"))
     width = asked.select(F.max(F.size("vec"))).first()[0] or 1
-    rows = max(1, BLOCK_BYTES // (8 * width))
+    rows = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * width)))
     count = asked.count()
     n_blocks = max(1, -(-count // rows))
     blocks = asked.select("qid", "vec", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).alias("block"))
@@ -77,21 +80,21 @@ def _block_candidates(stored: DataFrame, held: list, depth: int) -> DataFrame:
 
         qids, matrix = shared.value
         matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), LEAST_NORM)
+        best, step = Best(len(qids), depth), max(1, BATCH_SCORES // len(qids))
         for batch in source:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             if not len(ids):
                 continue
-            own = np.array(batch.column(1).to_pylist(), float)
-            own = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), LEAST_NORM)
-            order = np.argsort(ids, kind="stable")
-            ids, own = ids[order], own[order]
-            near = np.round(matrix @ own.T + NUDGE, PLACES)
-            near[qids[:, None] == ids[None, :]] = -np.inf
-            kept = np.argsort(-near, axis=1, kind="stable")[:, :depth]
-            q = np.repeat(qids, kept.shape[1])
-            d, s = ids[kept].ravel(), np.take_along_axis(near, kept, 1).ravel()
-            real = np.isfinite(s)
-            yield pa.RecordBatch.from_arrays([pa.array(q[real], pa.int64()), pa.array(d[real], pa.int64()), pa.array(s[real], pa.float64())], names=["qid", "docid", "score"])
+            own = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            for i in range(0, len(ids), step):
+                part = own[i : i + step]
+                part = part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), LEAST_NORM)
+                near = np.round(matrix @ part.T + NUDGE, PLACES)
+                near[qids[:, None] == ids[None, i : i + step]] = -np.inf
+                q, d = np.nonzero((near >= best.bar[:, None]) & np.isfinite(near))
+                best.offer(q, ids[i + d], near[q, d])
+        q, d, s = best.settle()
+        yield pa.RecordBatch.from_arrays([pa.array(qids[q], pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.float64())], names=["qid", "docid", "score"])
 
     return stored.mapInArrow(batches, "qid bigint, docid bigint, score double")
 

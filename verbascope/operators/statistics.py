@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,52 +19,42 @@ def hash_number(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("bigint")
 
 
-def bootstrap_means(differences: DataFrame, by: list[str], order: list[str], resamples: int, seed: int) -> DataFrame:
-    """(*by, b, mean): resampled means, each of as many draws with replacement as the group has rows.
+#: Weights that one hash gives, each by 16 of its bits, and the bits' values from which on a Poisson weight of mean 1 is at least 1, 2, ...
+WEIGHTS_PER_HASH = 8
+WEIGHT_STEPS = [s for k in range(9) if (s := math.floor(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)))) < 65535]
 
-    differences: (*by, *order, diff). Draws are hashes, so results do not depend on partitioning. The draws of
-    one resample are spread over tasks and merged; groups must be small enough to be joined by position.
-    """
-    numbered = differences.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
-    sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    drawn = draws.withColumn("i", F.pmod(hash_number(F.lit(seed), *(F.col(c) for c in by), F.col("b"), F.col("draw")), F.col("n")).cast("int"))
-    return drawn.join(numbered, [*by, "i"]).groupBy(*by, "b").agg(F.avg("diff").alias("mean"))
 
+def bootstrap_means(differences: DataFrame, by: list[str], key: list[str], resamples: int, seed: int) -> DataFrame:
+    """(*by, b, mean): the group's mean under each of `resamples` hashed weightings.
 
-def paired_bootstrap(differences: DataFrame, by: list[str], order: list[str], resamples: int = 1000, seed: int = 20250317) -> DataFrame:
+    differences: (*by, *key, diff), diff to 6 places. In a resample every row has a Poisson weight of mean 1 that
+    depends on nothing but seed, group, key and resample. So a resample is a pair of sums, merged by map task
+    before the shuffle: no group is numbered, joined or gathered, however many rows it has. Sums are of whole
+    numbers and thus the same in any order. A resample without weight has no mean.
+    """
+    lot = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in (*by, *key)), F.col("block").cast("string")))
+    blocks = -(-resamples // WEIGHTS_PER_HASH)
+    hashed = differences.where("diff is not null").select(*by, F.round(F.col("diff") * 1e6).cast("bigint").alias("d"), *key).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    hashed = hashed.select(*by, "d", "block", lot.alias("lot"))
+    places = range(WEIGHTS_PER_HASH)
+    bits = [F.conv(F.substring("lot", 1 + 4 * j, 4), 16, 10).cast("int").alias(f"u{j}") for j in places]
+    weights = [reduce(lambda x, y: x + y, [(F.col(f"u{j}") >= s).cast("bigint") for s in WEIGHT_STEPS]).alias(f"w{j}") for j in places]
+    weighed = hashed.select(*by, "d", "block", *bits).select(*by, "d", "block", *weights)
+    sums = weighed.groupBy(*by, "block").agg(*(F.sum(f"w{j}").alias(f"n{j}") for j in places), *(F.sum(F.col(f"w{j}") * F.col("d")).alias(f"s{j}") for j in places))
+    each = [F.struct((F.col("block") * WEIGHTS_PER_HASH + j + 1).alias("b"), F.try_divide(F.col(f"s{j}") / 1e6, F.col(f"n{j}")).alias("mean")) for j in places]
+    return sums.select(*by, F.inline(F.array(*each))).where((F.col("b") <= resamples) & F.col("mean").isNotNull())
+
+
+def paired_bootstrap(differences: DataFrame, by: list[str], key: list[str], resamples: int = 10_000, seed: int = 20250317) -> DataFrame:
     """(*by, n, mean_diff, ci95_low, ci95_high, boot_se, excludes_zero), 6 places."""
-    means = bootstrap_means(differences, by, order, resamples, seed).groupBy(*by).agg(
+    means = bootstrap_means(differences, by, key, resamples, seed).groupBy(*by).agg(
         F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"), F.stddev_samp("mean").alias("se")
     )
-    own = differences.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean"))
+    own = differences.where("diff is not null").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean"))
     low, high = rounded(F.col("ci")[0], 6), rounded(F.col("ci")[1], 6)
     return own.join(means, by).select(*by, "n", rounded("mean", 6).alias("mean_diff"), low.alias("ci95_low"), high.alias("ci95_high"), rounded("se", 6).alias("boot_se"), ((low > 0) | (high < 0)).alias("excludes_zero"))
 
 
-def grouped_bootstrap(differences: DataFrame, by: list[str], resamples: int = 10_000, seed: int = 20250317) -> DataFrame:
-    """The same as `paired_bootstrap` with full resampling in one task a group, for groups of bounded size (queries of a language)."""
-
-    def group(pdf):
-        import zlib
-
-        import numpy as np
-        import pandas as pd
-
-        key = [pdf[c].iloc[0] for c in by]
-        diff = np.sort(pdf["diff"].dropna().to_numpy(float))
-        rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
-        n, means, step = len(diff), [], max(1, 2_000_000 // max(len(diff), 1))
-        for start in range(0, resamples, step):
-            means.append(diff[rng.integers(0, n, (min(step, resamples - start), n))].mean(1))
-        means = np.concatenate(means)
-        low, high = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame([[*key, n, diff.mean(), low, high, means.std(ddof=1), bool(low > 0 or high < 0)]], columns=[*by, "n", "mean_diff", "ci95_low", "ci95_high", "boot_se", "excludes_zero"])
-
-    kinds = ", ".join(f"{c} {differences.schema[c].dataType.simpleString()}" for c in by)
-    return differences.where("diff is not null").groupBy(*by).applyInPandas(group, f"{kinds}, n bigint, mean_diff double, ci95_low double, ci95_high double, boot_se double, excludes_zero boolean")
-
-
 def random_effects(effects: DataFrame, by: list[str]) -> DataFrame:
     """(*by, k, pooled_effect, se, ci95_low, ci95_high, tau2, q, df, i2) of effects (y, se), by the method of moments; 6 places."""
     weighed = effects.withColumn("v", F.greatest(F.col("se") * F.col("se"), F.lit(LEAST_VARIANCE))).withColumn("w", 1.0 / F.col("v"))

@@ -10,11 +10,12 @@ from ..functions.numbers import rounded
 from ..operators import failures as L
 from ..operators import fertility as Z
 from ..operators import statistics as S
+from ..plans.materialise import materialise
 from ..sources import collection as C
 from ..sources.tables import table
 from .evaluation import FIRST, SECOND
 
-RESAMPLES, FULL_RESAMPLES, SEED = 200, 10_000, 20250317
+RESAMPLES, SEED = 10_000, 20250317
 #: Languages left out of each pooled subset.
 SUBSETS = {"all": (), "without zh": ("zh",), "without zh, ko, ja": ("zh", "ko", "ja")}
 #: The registry of encoders: key, prefixes, tokeniser family, declared languages, languages it lacks (null: not known), task.
@@ -45,32 +46,25 @@ def _differences(spark, d):
     return _pairs(spark, d).select("lang", "qid", rounded(F.col("b.ndcg10") - F.col("a.ndcg10"), 6).alias("diff")).where("diff is not null")
 
 
-def _effects(spark, d):
-    """(lang, y, se): mean difference and its analytic standard error."""
-    return _differences(spark, d).groupBy("lang").agg(F.avg("diff").alias("y"), (F.stddev_samp("diff") / F.sqrt(F.count("diff"))).alias("se"), F.count("diff").alias("n")).where("n > 1 and se is not null")
-
-
-def _subsets(effects):
-    parts = [effects.where(~F.col("lang").isin(*out)) if out else effects for out in SUBSETS.values()]
-    named = [p.withColumn("subset", F.lit(name)) for p, name in zip(parts, SUBSETS)]
-    return named[0].unionByName(named[1]).unionByName(named[2])
-
-
-def t02_bootstrap(spark, d, resamples=RESAMPLES):
-    """The paired bootstrap of each language with enough pairs, by hashed draws."""
+def _bootstrap(spark, d):
+    """The paired bootstrap of each language with at least two pairs."""
     own = _differences(spark, d)
     many = own.groupBy("lang").agg(F.count("diff").alias("n")).where("n > 1").select("lang")
-    return S.paired_bootstrap(own.join(many, "lang", "left_semi"), ["lang"], ["qid"], resamples, SEED)
+    return S.paired_bootstrap(own.join(many, "lang", "left_semi"), ["lang"], ["qid"], RESAMPLES, SEED)
+
 
+def _effects(spark, d):
+    """(lang, y, se): mean difference and the standard error of its bootstrap; a row a language, computed once."""
+    return materialise(_bootstrap(spark, d).select("lang", F.col("mean_diff").alias("y"), F.col("boot_se").alias("se"), "ci95_low", "ci95_high"))
 
-def t02_bootstrap_hashed_full(spark, d):
-    """The same with 10,000 resamples."""
-    return t02_bootstrap(spark, d, FULL_RESAMPLES)
+
+def _subsets(effects):
+    kept = [F.when(~F.col("lang").isin(*out) if out else F.lit(True), F.lit(name)) for name, out in SUBSETS.items()]
+    return effects.withColumn("subset", F.explode(F.array_compact(F.array(*kept))))
 
 
-def t02_bootstrap_full(spark, d):
-    """10,000 resamples in one task a language, by a generator's draws."""
-    return S.grouped_bootstrap(_differences(spark, d), ["lang"])
+def t02_bootstrap(spark, d):
+    return _bootstrap(spark, d)
 
 
 def t03_variances(spark, d):
@@ -223,11 +217,11 @@ def z04_query_fertility(spark, d):
 
 
 def g01_report(spark, d):
-    """Each language's two means, their difference and its normal interval, with the size as text."""
-    own = _pairs(spark, d).where("a.ndcg10 is not null and b.ndcg10 is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("a.ndcg10").alias("first"), F.avg("b.ndcg10").alias("second"), F.avg(F.col("b.ndcg10") - F.col("a.ndcg10")).alias("diff"), (F.stddev_samp(F.col("b.ndcg10") - F.col("a.ndcg10")) / F.sqrt(F.count(F.lit(1)))).alias("se"))
-    half = S.Z * F.coalesce("se", F.lit(0.0))
+    """Each language's two means, their difference and the interval of its bootstrap, with the size as text."""
+    own = _pairs(spark, d).where("a.ndcg10 is not null and b.ndcg10 is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("a.ndcg10").alias("first"), F.avg("b.ndcg10").alias("second"), F.avg(F.col("b.ndcg10") - F.col("a.ndcg10")).alias("diff"))
     r = lambda x: rounded(x, 4)
-    return own.join(_resource(spark, d).select("lang", "published"), "lang", "left").select("lang", "n", r("first").alias("first"), r("second").alias("second"), r("diff").alias("diff"), r(F.col("diff") - half).alias("low"), r(F.col("diff") + half).alias("high"), "published", rounded(100 * F.col("diff"), 1).alias("diff_percent"))
+    known = own.join(_effects(spark, d).select("lang", "ci95_low", "ci95_high"), "lang", "left").join(_resource(spark, d).select("lang", "published"), "lang", "left")
+    return known.select("lang", "n", r("first").alias("first"), r("second").alias("second"), r("diff").alias("diff"), r("ci95_low").alias("low"), r("ci95_high").alias("high"), "published", rounded(100 * F.col("diff"), 1).alias("diff_percent"))
 
 
 def g02_scatter(spark, d):
@@ -250,12 +244,20 @@ def j10_joined(spark, d):
     return mean(FIRST).join(mean(SECOND), "lang").join(L.exposure(_pairs(spark, d)).select("lang", "difference"), "lang").join(_resource(spark, d).select("lang", "mb"), "lang")
 
 
-_Q = (t02_bootstrap, t02_bootstrap_hashed_full, t02_bootstrap_full, t03_variances, t04_random_effects, t05_robustness, pr07_coverage, pr08_subsets, pr09_unsegmented, pr10_prefixes, pr11_experiments, w04_ranks, t06_spearman, t07_partial, t08_fisher, t09_collinearity, t10_detectable, t11_projection, f20_sizes, f07_log_sizes, a19_extremes, a20_vocabularies, v07_flagged, z01_fertility, z01_subwords, z02_ratios, z03_validity, z04_query_fertility, a15_outcome_profile, g01_report, g02_scatter, g03_stacked, j10_joined)
+_Q = (t02_bootstrap, t03_variances, t04_random_effects, t05_robustness, pr07_coverage, pr08_subsets, pr09_unsegmented, pr10_prefixes, pr11_experiments, w04_ranks, t06_spearman, t07_partial, t08_fisher, t09_collinearity, t10_detectable, t11_projection, f20_sizes, f07_log_sizes, a19_extremes, a20_vocabularies, v07_flagged, z01_fertility, z01_subwords, z02_ratios, z03_validity, z04_query_fertility, a15_outcome_profile, g01_report, g02_scatter, g03_stacked, j10_joined)
 QUERIES = {q.__name__: q for q in _Q}
 
 _CATEGORY = "case when coalesce({0}recall100, 0) = 0 then 'total_miss' when coalesce({0}ndcg10, 0) = 0 then 'deep_miss' when coalesce({0}mrr10, 0) < 1 then 'weak_rank' else 'rank1' end"
 _PAIRS = f"with {C.CTES}, a as (select * from scores where sys_name = '{FIRST}'), b as (select * from scores where sys_name = '{SECOND}'), diffs as (select lang, qid, round(b.ndcg10 - a.ndcg10, 6) diff from a join b using (lang, qid) where b.ndcg10 - a.ndcg10 is not null)"
-_EFFECTS = f"{_PAIRS}, effects as (select lang, avg(diff) y, stddev_samp(diff) / sqrt(count(*)) se from diffs group by 1 having count(*) > 1)"
+_UNITS = ", ".join(f"(('0x' || substr(h, {1 + 4 * j}, 4))::int) u{j}" for j in range(S.WEIGHTS_PER_HASH))
+_WEIGHTS = ", ".join("(" + " + ".join(f"(u{j} >= {x})::bigint" for x in S.WEIGHT_STEPS) + f") w{j}" for j in range(S.WEIGHTS_PER_HASH))
+_MEANS = " union all ".join(f"select lang, block * {S.WEIGHTS_PER_HASH} + {j} + 1 b, sum(w{j} * x) / 1e6::double / nullif(sum(w{j}), 0) mean from weighed group by lang, block" for j in range(S.WEIGHTS_PER_HASH))
+_BOOT = f"""{_PAIRS}, sizes as (select lang, count(*) n, avg(diff) m from diffs group by 1 having count(*) > 1),
+  hashed as (select lang, round_even(diff * 1e6::double, 0)::bigint x, block, md5('{SEED}:' || lang || ':' || qid || ':' || block) h from diffs semi join sizes using (lang), range({-(-RESAMPLES // S.WEIGHTS_PER_HASH)}) t(block)),
+  weighed as materialized (select lang, x, block, {_WEIGHTS} from (select lang, x, block, {_UNITS} from hashed)), means as ({_MEANS}),
+  ci as (select lang, round(quantile_cont(mean, 0.025), 6) lo, round(quantile_cont(mean, 0.975), 6) hi, round(stddev_samp(mean), 6) se from means where b <= {RESAMPLES} and mean is not null group by 1),
+  boot as (select lang, n, round(m, 6) as mean_diff, lo as ci95_low, hi as ci95_high, se as boot_se, lo > 0 or hi < 0 as excludes_zero from sizes join ci using (lang))"""
+_EFFECTS = f"{_BOOT}, effects as (select lang, mean_diff y, boot_se se from boot)"
 _SUBSETS = f"{_EFFECTS}, parts as (" + " union all ".join(f"select '{name}' as subset, * from effects" + (f" where lang not in ({', '.join(map(repr, out))})" if out else "") for name, out in SUBSETS.items()) + ")"
 
 
@@ -294,18 +296,13 @@ _MISS = "({0}) in ('total_miss', 'deep_miss')"
 _A, _B = _MISS.format(_CATEGORY.format("a.")), _MISS.format(_CATEGORY.format("b."))
 _PROFILE = f"""{_PAIRS}, outcomes as (select lang, qid, case when {_A} and {_B} then 'both_miss' when {_A} then 'rescued' when {_B} then 'broken' else 'both_hit' end as outcome, a.n_positives from a join b using (lang, qid)),
   shaped as (select lang, qid, len(w) n_words, length(text) n_chars, list_sum(list_transform(w, lambda x: greatest(length(x) - 3, 1))) / len(w) per_word from (select *, {X.words_sql('text')} w from topics))"""
-_REPORT = f"""{_PAIRS}, {_RESOURCE}, m as (select lang, count(*) as n, avg(a.ndcg10) f, avg(b.ndcg10) s, avg(b.ndcg10 - a.ndcg10) x, coalesce(stddev_samp(b.ndcg10 - a.ndcg10) / sqrt(count(*)), 0) se from a join b using (lang, qid) where a.ndcg10 is not null and b.ndcg10 is not null group by 1),
-  report as (select lang, n, round(f, 4) as first, round(s, 4) as second, round(x, 4) as diff, round(x - 1.96::double * se, 4) as low, round(x + 1.96::double * se, 4) as high, published, round(100 * x, 1) as diff_percent from m left join resource using (lang))"""
-_DRAW = f"('0x' || substr(md5('{SEED}:' || lang || ':' || b || ':' || draw), 1, 8))::bigint % n"
+_REPORT = f"""{_BOOT}, {_RESOURCE}, m as (select lang, count(*) as n, avg(a.ndcg10) f, avg(b.ndcg10) s, avg(b.ndcg10 - a.ndcg10) x from a join b using (lang, qid) where a.ndcg10 is not null and b.ndcg10 is not null group by 1),
+  report as (select lang, m.n, round(f, 4) as first, round(s, 4) as second, round(x, 4) as diff, round(ci95_low, 4) as low, round(ci95_high, 4) as high, published, round(100 * x, 1) as diff_percent from m left join boot using (lang) left join resource using (lang))"""
 _CATS = f"with {C.CTES}, cats as (select *, {_CATEGORY.format('')} as category from scores)"
 _RATES = ", ".join(f"round(count(*) filter (where category = '{c}') / count(*), 4) as rate_{c}" for c in L.CATEGORIES)
 
 SQL = {
-    "t02_bootstrap": f"""{_PAIRS}, numbered as (select lang, diff, row_number() over (partition by lang order by qid) - 1 i from diffs), sizes as (select lang, count(*) n, avg(diff) m from diffs group by 1 having count(*) > 1),
-      draws as (select lang, n, b, unnest(range(1, n + 1)) draw from sizes, range(1, {RESAMPLES + 1}) t(b)),
-      means as (select d.lang, b, avg(diff) mean from (select lang, b, {_DRAW} i from draws) d join numbered using (lang, i) group by all),
-      ci as (select lang, round(quantile_cont(mean, 0.025), 6) lo, round(quantile_cont(mean, 0.975), 6) hi, round(stddev_samp(mean), 6) se from means group by 1)
-      select lang, n, round(m, 6) as mean_diff, lo as ci95_low, hi as ci95_high, se as boot_se, lo > 0 or hi < 0 as excludes_zero from sizes join ci using (lang)""",
+    "t02_bootstrap": f"{_BOOT} select * from boot",
     "t03_variances": f"{_EFFECTS} select lang, round(greatest(se * se, 1e-12::double), 6) as variance from effects",
     "t04_random_effects": f"{_EFFECTS}, one as (select '{SECOND} - {FIRST}' as comparison, * from effects), {_pooled('one', 'comparison')}",
     "t05_robustness": f"{_SUBSETS}, {_pooled('parts', 'subset')}",
