@@ -98,7 +98,7 @@ def words_sql(expression: str) -> str:
     return f"list_filter(string_split_regex(coalesce({expression}, ''), '{BLANKS}'), lambda w: w <> '')"
 
 
-def char_grams_sql(expression: str, n: int) -> str:
+def char_grams_sql(expression: str, n: int | str) -> str:
     return f"flatten(list_transform({words_sql(expression)}, lambda w: list_transform(range(1, greatest(length(w) - {n} + 1, 1) + 1), lambda i: substring(w, i, {n}))))"
 
 

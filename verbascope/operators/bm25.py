@@ -96,7 +96,14 @@ def padded(top: DataFrame, topics: DataFrame, corpus: DataFrame, depth: int) ->
     return ranked(top.select("lang", "qid", "docid", "score").unionByName(extra), depth)
 
 
-def run_bm25(corpus: DataFrame, topics: DataFrame, tokeniser: str = "char4", depth: int = 100, pad: bool = True) -> DataFrame:
+def _splitter(tokeniser: str | None):
+    """The tokeniser of each language: the one named, or else the one named before the `/` of the language."""
+    from functools import lru_cache
+
+    return lru_cache(maxsize=None)(lambda lang: python_tokeniser(tokeniser or lang.partition("/")[0]))
+
+
+def run_bm25(corpus: DataFrame, topics: DataFrame, tokeniser: str | None = "char4", depth: int = 100, pad: bool = True) -> DataFrame:
     """(lang, qid, docid, score, rank): the best `depth` documents of each query's language, those of score 0 in docid order.
 
     corpus: (lang, docid, norm), one row a document; topics: (lang, qid, norm). Each document is tokenised once,
@@ -105,6 +112,7 @@ def run_bm25(corpus: DataFrame, topics: DataFrame, tokeniser: str = "char4", dep
     `depth` a query of all its documents; only scores above 0 leave it, and what a query lacks is filled up once.
     Neither postings nor pairs of query and document are shuffled. More than BLOCK_TERMS terms or BLOCK_QUERIES
     queries make further blocks, each with a pass of its own. Without `pad`, documents of score 0 have no rows.
+    Without `tokeniser`, languages are named `tokeniser/language`, so that several tokenisers share a run.
     Null texts are empty; empty queries rank all documents at 0; languages without documents have no rows.
     """
     asked = materialise(_query_terms(topics, tokeniser))
@@ -134,7 +142,7 @@ def run_bm25(corpus: DataFrame, topics: DataFrame, tokeniser: str = "char4", dep
     return padded(top, topics.where("lang is not null"), keys, depth) if pad else top.where("score <> 0")
 
 
-def _query_terms(topics: DataFrame, tokeniser: str) -> DataFrame:
+def _query_terms(topics: DataFrame, tokeniser: str | None) -> DataFrame:
     """(lang, qid, term, qtf): a term that a query repeats counts as often."""
 
     def batches(source):
@@ -142,9 +150,9 @@ def _query_terms(topics: DataFrame, tokeniser: str) -> DataFrame:
 
         import pyarrow as pa
 
-        split = python_tokeniser(tokeniser)
+        split = _splitter(tokeniser)
         for batch in source:
-            rows = [(lang, qid, t, n) for lang, qid, norm in zip(*(c.to_pylist() for c in batch.columns)) for t, n in Counter(split(norm or "")).items()]
+            rows = [(lang, qid, t, n) for lang, qid, norm in zip(*(c.to_pylist() for c in batch.columns)) for t, n in Counter(split(lang)(norm or "")).items()]
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.int64())], names=["lang", "qid", "term", "qtf"])
 
@@ -152,7 +160,7 @@ def _query_terms(topics: DataFrame, tokeniser: str) -> DataFrame:
     return there.mapInArrow(batches, "lang string, qid string, term string, qtf bigint")
 
 
-def _encoded(corpus: DataFrame, numbers: dict, tokeniser: str, count: bool) -> DataFrame:
+def _encoded(corpus: DataFrame, numbers: dict, tokeniser: str | None, count: bool) -> DataFrame:
     """Documents of the queries' languages as (lang, docid, length, terms' numbers, counts), in docid order within a task.
 
     With `count`, rows without docid say in how many of a task's documents each term occurs (lang, terms, counts).
@@ -165,7 +173,7 @@ def _encoded(corpus: DataFrame, numbers: dict, tokeniser: str, count: bool) -> D
         import numpy as np
         import pyarrow as pa
 
-        known, split = shared.value, python_tokeniser(tokeniser)
+        known, split = shared.value, _splitter(tokeniser)
         frequencies: Counter = Counter()
         at = None
         lists = lambda values, ends, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
@@ -188,7 +196,7 @@ def _encoded(corpus: DataFrame, numbers: dict, tokeniser: str, count: bool) -> D
                 if count and (lang != at or len(frequencies) > COUNTED_TERMS):
                     yield from counted()
                     at = lang
-                tokens = split(norm or "")
+                tokens = split(lang)(norm or "")
                 tally = Counter(tokens)
                 if count:
                     frequencies.update(tally.keys())

@@ -120,21 +120,30 @@ def v11_against_published(spark, d):
     return own.join(F.broadcast(known), "lang").select("lang", rounded("own", 6).alias("ndcg10"), "published", rounded((F.col("own") - F.col("published")) / F.col("published"), 6).alias("deviation"))
 
 
+def _swept(spark, d, tokenisers):
+    """(tokeniser, lang, qid, ndcg10) of BM25 by several tokenisers in one run."""
+    every = lambda df: df.withColumn("lang", F.explode(F.array(*(F.concat_ws("/", F.lit(t), "lang") for t in tokenisers))))
+    asked = every(retrieval.topics(spark, d))
+    run = bm25.run_bm25(every(retrieval.corpus(spark, d)), asked, None)
+    own = V.evaluate(run, every(C.judgments(spark, d)), asked)
+    parts = F.split("lang", "/")
+    return own.select(parts[0].alias("tokeniser"), parts[1].alias("lang"), "qid", rounded("ndcg10", 6).alias("ndcg10"))
+
+
 def a13_best_n(spark, d):
     """For each language, the mean nDCG@10 of every n, and which is best."""
-    parts = None
-    for n in (2, 3, 4, 5):
-        own = _evaluated(spark, d, f"char{n}").groupBy("lang").agg(rounded(F.avg("ndcg10"), 6).alias("ndcg10")).withColumn("n", F.lit(n).cast("bigint"))
-        parts = own if parts is None else parts.unionByName(own)
-    best = parts.groupBy("lang").agg(F.max_by("n", F.struct("ndcg10", -F.col("n"))).alias("best_n"))
-    return parts.join(best, "lang").select("lang", "n", "ndcg10", "best_n")
+    own = _swept(spark, d, [f"char{n}" for n in (2, 3, 4, 5)])
+    parts = own.groupBy("lang", F.substring("tokeniser", 5, 1).cast("bigint").alias("n")).agg(rounded(F.avg("ndcg10"), 6).alias("ndcg10"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("ndcg10")).alias("by"), "n", "ndcg10")))  # four rows a language
+    return parts.groupBy("lang").agg(ordered.alias("all")).select("lang", F.col("all")[0]["n"].alias("best_n"), F.inline(F.transform("all", lambda x: F.struct(x["n"].alias("n"), x["ndcg10"].alias("ndcg10"))))).select("lang", "n", "ndcg10", "best_n")
 
 
 def a14_gain_over_words(spark, d):
     """Mean gain in nDCG@10 of runs of 4 characters over words, and on how many queries."""
-    a, b = _evaluated(spark, d, "char4").select("lang", "qid", F.col("ndcg10").alias("c")), _evaluated(spark, d, "word").select("lang", "qid", F.col("ndcg10").alias("w"))
+    of = lambda name: F.max(F.when(F.col("tokeniser") == name, F.col("ndcg10")))
     diff = F.col("c") - F.col("w")
-    return a.join(b, ["lang", "qid"]).groupBy("lang").agg(rounded(F.avg(diff), 6).alias("gain"), F.count_if(diff > 0).alias("n_better"), F.count_if(diff < 0).alias("n_worse"))
+    own = _swept(spark, d, ["char4", "word"]).groupBy("lang", "qid").agg(of("char4").alias("c"), of("word").alias("w"))
+    return own.groupBy("lang").agg(rounded(F.avg(diff), 6).alias("gain"), F.count_if(diff > 0).alias("n_better"), F.count_if(diff < 0).alias("n_worse"))
 
 
 def pr06_positives(spark, d):
@@ -244,10 +253,6 @@ _EXPOSURE = f"{_PAIRS}, exposure as (select lang, count(*) as n, round(avg(a.unj
 _MISS = "('total_miss', 'deep_miss')"
 
 
-def _sweep(n: int) -> str:
-    return f"select * from (with {retrieval.bm25_sql(f'char{n}')}, {_EVALUATED} select lang, {n}::bigint as n, round(avg(ndcg10), 6) as ndcg10 from evaluated group by 1)"
-
-
 _BM25 = f"with {retrieval.bm25_sql('char4')}, {_EVALUATED}"
 
 SQL = {
@@ -282,7 +287,8 @@ SQL = {
     "v10_exposure": f"{_EXPOSURE} select * from exposure",
     "a12_exposure_summary": f"{_EXPOSURE} select count(*) as k, round(avg(difference), 4) as mean_difference, min(difference) as min_difference, max(difference) as max_difference, count(*) filter (where difference > 0) as n_second_higher from exposure",
     "v11_against_published": f"with {C.CTES}, known(lang, published) as (values {', '.join(f'({k!r}, {v}::double)' for k, v in PUBLISHED.items())}), own as (select lang, avg(ndcg10) m from scores where sys_name = '{FIRST}' group by 1) select lang, round(m, 6) as ndcg10, published, round((m - published) / published, 6) as deviation from own join known using (lang)",
-    "a13_best_n": f"with p as ({' union all '.join(map(_sweep, (2, 3, 4, 5)))}), best as (select lang, n as best_n from p qualify row_number() over (partition by lang order by ndcg10 desc, n) = 1) select lang, n, ndcg10, best_n from p join best using (lang)",
+    "a13_best_n": f"""with {retrieval.sweep_sql()}, {_EVALUATED}, p as (select split_part(lang, '/', 2) lang, split_part(lang, '/', 1)::bigint as n, round(avg(ndcg10), 6) as ndcg10 from evaluated group by all), best as (select lang, n as best_n from p qualify row_number() over (partition by lang order by ndcg10 desc, n) = 1)
+      select lang, n, ndcg10, best_n from p join best using (lang)""",
     "a14_gain_over_words": f"""with c as (select * from (with {retrieval.bm25_sql('char4')}, {_EVALUATED} select lang, qid, ndcg10 from evaluated)), w as (select * from (with {retrieval.bm25_sql('word')}, {_EVALUATED} select lang, qid, ndcg10 from evaluated))
       select lang, round(avg(c.ndcg10 - w.ndcg10), 6) as gain, count(*) filter (where c.ndcg10 > w.ndcg10) as n_better, count(*) filter (where c.ndcg10 < w.ndcg10) as n_worse from c join w using (lang, qid) group by 1""",
     "pr06_positives": f"with {C.CTES} select lang, qid, docid, rel from judgments where rel > 0",

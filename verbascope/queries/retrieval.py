@@ -146,9 +146,20 @@ NORM = X.normalise_sql(X.passage_text_sql())
 
 def bm25_sql(tokeniser: str, pad: bool = True, depth: int = 100) -> str:
     """The body of a WITH clause that ends in `run`."""
-    tokens = X.words_sql if tokeniser == "word" else lambda e: X.char_grams_sql(e, int(tokeniser[4:]))
-    return f"""{C.CTES},
-      corpus as (select lang, docid, {tokens(NORM)} tokens from passages),
+    return f"{C.CTES}, {_search_sql(X.words_sql if tokeniser == 'word' else lambda e: X.char_grams_sql(e, tokeniser[4:]), pad, depth)}"
+
+
+def sweep_sql() -> str:
+    """The same for runs of 2 to 5 characters at once; languages are named `n/language`."""
+    base = C.CTES
+    for name in ("passages", "topics", "judgments"):
+        base = base.replace(f"{name} as (", f"base_{name} as (", 1)
+    every = ", ".join(f"{name} as (select t.n, b.* replace (t.n || '/' || lang as lang) from base_{name} b, range(2, 6) t(n))" for name in ("passages", "topics", "judgments"))
+    return f"{base}, {every}, {_search_sql(lambda e: X.char_grams_sql(e, 'n'))}"
+
+
+def _search_sql(tokens, pad: bool = True, depth: int = 100) -> str:
+    return f"""corpus as (select lang, docid, {tokens(NORM)} tokens from passages),
       topic as (select lang, qid, {tokens(X.normalise_sql('text'))} tokens from topics),
       dl as (select lang, docid, len(tokens) length from corpus),
       stats as (select lang, count(*) n_docs, avg(length) mean_length from dl group by 1),
