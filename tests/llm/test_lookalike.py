@@ -2,6 +2,7 @@ import itertools
 
 import pytest
 
+from verbascope.llm import lookalike
 from verbascope.llm.lookalike import consistent_token, look_alike_pairs, normal_form, normal_forms
 
 SAME = [
@@ -31,8 +32,20 @@ SAME = [
     ("te", "క\u0c48", "క\u0c46\u0c56"),
     ("en", "  a \n b ", "a b"),
     ("fa", "دا", "د\u200cا"),
+    ("fa", "\u06ccک", "\u064aک"),  # initial yeh
+    ("fa", "ب\u06ccن", "ب\u064aن"),  # medial
+    ("ar", "ب\u064aن", "ب\u06ccن"),
+    ("fa", "ب\u064a\u064eن", "ب\u06cc\u064eن"),  # a mark between does not part them
+    ("fa", "عل\u06cc", "عل\u0649"),  # final, without dots
+    ("fa", "\u06a9تاب", "\u0643تاب"),  # initial kaf
+    ("fa", "م\u06a9ان", "م\u0643ان"),  # medial
 ]
 DIFFERENT = [
+    ("fa", "عل\u06cc", "عل\u064a"),  # final, with and without dots
+    ("fa", "را\u06cc د", "را\u064a د"),  # before a blank
+    ("fa", "\u06cc", "\u064a"),  # alone
+    ("ar", "ملک", "ملك"),  # final kaf
+    ("ar", "ب\u0649ن", "ب\u064aن"),  # medial, with and without dots
     ("en", "Bank", "bank"),
     ("en", "resume", "résumé"),
     ("en", "m2", "m²"),
@@ -72,7 +85,9 @@ def test_tokens_that_no_script_spells():
     assert consistent_token("рaссказ", "Latin") == "рассказ"
 
 
-def test_pairs_against_brute_force(spark):
+@pytest.mark.parametrize("block", [2000, 7])
+def test_pairs_against_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(lookalike, "BLOCK_ROWS", block)
     rows = []
     for i, (lang, a, b) in enumerate(SAME + DIFFERENT):
         rows += [(0, 10 * i, str(i), lang, a), (0, 10 * i + 1, str(i), lang, b), (0, 10 * i + 2, str(i), lang, b)]
@@ -87,6 +102,14 @@ def test_pairs_against_brute_force(spark):
     )
     assert got == expected and len(got) > 1900
     assert look_alike_pairs(df.limit(0)).count() == 0
+    classes = {(r.kind, r.id): r for r in lookalike.look_alike_classes(df.repartition(3)).collect()}
+    text = {(r[0], r[1]): r[4] for r in rows if r[1] is not None}
+    assert classes.keys() == {x for k, a, b in got for x in ((k, a), (k, b))}
+    for (k, a), own in classes.items():
+        alike = [b for (x, b), other in classes.items() if x == k and other.form_id == own.form_id]
+        assert own.form_id == min(alike) and own.spelling_id == min(b for b in alike if text[k, b] == text[k, a])
+    expected_links = {(k, a, b) for (k, a), x in classes.items() for (m, b), y in classes.items() if k == m and a < b and x.form_id == y.form_id and x.spelling_id != y.spelling_id}
+    assert expected_links == set(got)
 
 
 def test_normal_forms_keep_rows(spark):

@@ -5,7 +5,9 @@ brought to one form by rule, and what nobody sees is removed; joiners stay where
 shaped. Then every token's script set is resolved: each letter brings the scripts in which a letter of its
 looks exists, and the intersection over the token tells in which scripts the whole token can be spelled. A
 token of mixed scripts, or wholly in look-alikes of another script, is respelt in the one consistent script,
-the language's own first. Letters of tokens that no script can spell take the form that comes first.
+the language's own first. Letters of tokens that no script can spell take the form that comes first. Letters
+of the Arabic script have one look or another as they join to the letter after them; those that look the same
+where they stand take the language's own.
 """
 
 from __future__ import annotations
@@ -69,6 +71,10 @@ OWN_SCRIPT = {"ru": "Cyrillic", "uk": "Cyrillic", "be": "Cyrillic", "bg": "Cyril
 #: Code points of Arabic-script letters that join to the letter before them only, and that join to none.
 JOIN_BEFORE = "0622-0625 0627 0629 062F-0632 0648 0671-0673 0675-0677 0688-0699 06C0 06C3-06CB 06CD 06CF 06D2-06D3 06D5 06EE-06EF"
 JOIN_NOT = "0621 0674 06DD"
+#: Letters of the Arabic script that look the same before a letter that they join, and where they join none: Arabic's own, Persian's own.
+SAME_JOINED, SAME_UNJOINED = "\u064a\u06cc \u0643\u06a9", "\u0649\u06cc"
+#: Languages that write with Persian's letters.
+PERSIAN = ("fa", "ur", "ps", "ckb", "ku", "sd", "ug")
 #: Invisible code points outside the categories of controls and formats.
 UNSEEN = "034F 115F-1160 17B4-17B5 FE00-FE0F E0100-E01EF"
 #: Format characters that are seen.
@@ -149,6 +155,7 @@ def patterns():
         "other than Greek": regex.compile(r"[\p{Latin}\p{Cyrillic}]"),
         "joiners": re.compile(f"[{NON_JOINER}{JOINER}]+"),
         "cursive": regex.compile(r"[\p{Arabic}\p{Syriac}\p{Nko}\p{Mongolian}\p{Mandaic}\p{Adlam}]"),
+        "yeh or kaf": re.compile("[\u064a\u0649\u06cc\u0643\u06a9]"),
         "emoji": regex.compile(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}]"),
         "nikhahit": re.compile("\u0e4d([\u0e48-\u0e4b]?)\u0e32"),
         "foldable": re.compile("[" + "".join(re.escape(chr(x)) for x in folds() if x < 0x10000) + "]"),
@@ -185,6 +192,20 @@ def shaping_joiners(text: str) -> str:
     return patterns()["joiners"].sub(keep, text)
 
 
+def own_letters(text: str, persian: bool) -> str:
+    """`text` with the language's own letter where those of Arabic and Persian look the same; marks over a letter are not in the way of joining."""
+    joined, unjoined = ({letter: pair[persian] for pair in pairs.split() for letter in pair} for pairs in (SAME_JOINED, SAME_UNJOINED))
+
+    def own(match) -> str:
+        end = match.end()
+        while end < len(text) and unicodedata.category(text[end]) == "Mn":
+            end += 1
+        letter, after = match.group(), text[end : end + 1]
+        return (joined if after == JOINER or after and joins(after)[0] else unjoined).get(letter, letter)
+
+    return patterns()["yeh or kaf"].sub(own, text)
+
+
 @lru_cache(maxsize=1 << 16)
 def consistent_token(token: str, own: str | None) -> str:
     """`token` (canonically decomposed) in one script if one can spell all of it."""
@@ -224,6 +245,8 @@ def normal_form(text: str | None, lang: str | None) -> str | None:
         if use[f"other than {own}"].search(text):
             text = use["token"].sub(lambda m: consistent_token(m.group(), own), unicodedata.normalize("NFD", text))
         text = unicodedata.normalize("NFC", text)
+        if use["yeh or kaf"].search(text):
+            text = own_letters(text, lang in PERSIAN)
     elif not text.isprintable():
         text = text.translate(folds())
         if own != "Latin":
@@ -274,18 +297,44 @@ def appearances(df: DataFrame) -> DataFrame:
     return there.select("kind", "id", "scope", "lang", "value").mapInArrow(batches, "kind int, id bigint, k1 bigint, k2 bigint, raw bigint")
 
 
+FORM = ["kind", "k1", "k2"]
+#: Rows of one spelling that meet those of another at a time.
+BLOCK_ROWS = 2_000
+
+
+def look_alikes_of(df: DataFrame) -> DataFrame:
+    """(kind, k1, k2, raw, id): the rows whose form has more than one spelling, found by a merged minimum and maximum; kept in the shared folder."""
+    rows = materialise(appearances(df))
+    several = rows.groupBy(*FORM).agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low < high").select(*FORM)
+    return materialise(rows.join(several, FORM, "left_semi"))
+
+
+def look_alike_classes(df: DataFrame) -> DataFrame:
+    """(kind, id, form_id, spelling_id): one row for each row that looks like another and is not the same.
+
+    `spelling_id` is the least id of its copies and `form_id` the least of all that look like it: rows of one form
+    look the same, rows of one spelling are the same string. So the classes stay as many as the rows.
+    """
+    members = look_alikes_of(df)
+    spelling = members.groupBy(*FORM, "raw").agg(F.min("id").alias("spelling_id"))
+    form = spelling.groupBy(*FORM).agg(F.min("spelling_id").alias("form_id"))
+    return members.join(spelling.join(form, FORM), [*FORM, "raw"]).select("kind", "id", "form_id", "spelling_id")
+
+
 def look_alike_pairs(df: DataFrame) -> DataFrame:
     """(kind, id_a, id_b): rows of one kind and scope whose values look the same and are not; id_a < id_b.
 
-    Copies are never paired with each other: forms with more than one spelling are found by a merged minimum
-    and maximum, spellings are paired as classes, and only then are their rows put in.
+    Copies are never paired with each other: spellings are paired as classes, and only then are their rows put
+    in, in blocks of about BLOCK_ROWS, so that a form that many rows have is many tasks' work.
     """
-    rows = materialise(appearances(df))
-    form = ["kind", "k1", "k2"]
-    several = rows.groupBy(*form).agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low < high").select(*form)
-    members = materialise(rows.join(several, form, "left_semi"))
-    spellings = members.select(*form, "raw").distinct()
-    pairs = spellings.withColumnRenamed("raw", "raw_a").join(spellings.withColumnRenamed("raw", "raw_b"), form).where("raw_a < raw_b")
-    side = lambda x: members.select(*form, F.col("raw").alias(f"raw_{x}"), F.col("id").alias(x))
-    expanded = pairs.join(side("a"), [*form, "raw_a"]).join(side("b"), [*form, "raw_b"])
+    members = look_alikes_of(df)
+    spellings = members.groupBy(*FORM, "raw").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
+    one = lambda x: spellings.withColumnsRenamed({"raw": f"raw_{x}", "blocks": f"blocks_{x}"})
+    pairs = one("a").join(one("b"), FORM).where("raw_a < raw_b")
+    for x in "ab":
+        pairs = pairs.withColumn(f"block_{x}", F.explode(F.sequence(F.lit(0), (F.col(f"blocks_{x}") - 1).cast("int"))))
+    placed = members.join(spellings, [*FORM, "raw"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    side = lambda x: placed.select(*FORM, F.col("raw").alias(f"raw_{x}"), F.col("block").alias(f"block_{x}"), F.col("id").alias(x))
+    keyed = pairs.select(*FORM, "raw_a", "block_a", "raw_b", "block_b")
+    expanded = keyed.join(side("a"), [*FORM, "raw_a", "block_a"]).join(side("b"), [*FORM, "raw_b", "block_b"])
     return expanded.select("kind", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))

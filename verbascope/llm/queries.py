@@ -38,16 +38,28 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
 LOOKS = {0: ("subcorpus", "text"), 1: ("subcorpus", "title"), 2: ("queries", "text")}
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    """Every text and title with its kind and the scope in which it is compared."""
     corpus, queries = table(spark, d, "subcorpus"), table(spark, d, "queries")
     kind = lambda i: F.lit(i).alias("kind")
-    values = (
+    return (
         corpus.select(kind(0), F.col("rec_id").alias("id"), F.lit("").alias("scope"), "lang", F.col("text").alias("value"))
         .unionByName(corpus.select(kind(1), F.col("rec_id").alias("id"), page_of(F.col("docid")).alias("scope"), "lang", F.col("title").alias("value")))
         .unionByName(queries.select(kind(2), F.col("q_rec").alias("id"), F.lit("").alias("scope"), "lang", F.col("text").alias("value")))
     )
-    name = lambda i: F.element_at(F.create_map(*(F.lit(x) for k, v in LOOKS.items() for x in (k, v[i]))), F.col("kind"))
-    return lookalike.look_alike_pairs(values).select(name(0).alias("tab"), name(1).alias("field"), "id_a", "id_b")
+
+
+def _looks(i: int, alias: str):
+    return F.element_at(F.create_map(*(F.lit(x) for k, v in LOOKS.items() for x in (k, v[i]))), F.col("kind")).alias(alias)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_alike_pairs(_values(spark, d)).select(_looks(0, "tab"), _looks(1, "field"), "id_a", "id_b")
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that look like others as classes of forms and of spellings, a row each."""
+    return lookalike.look_alike_classes(_values(spark, d)).select(_looks(0, "tab"), _looks(1, "field"), "id", "form_id", "spelling_id")
 
 
 def p2_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -178,7 +190,7 @@ def p8_corpus(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy("subject", "lang").agg(F.count_if(F.col("n_treating") > F.col("n_sentences") * subjects.SHARE).alias("n_documents"), F.sum("n_treating").alias("n_sentences"))
 
 
-QUERIES = {q.__name__: q for q in (p1_sample, p2_found, p2_queries, p2_texts, p2_titles, p4_sample, p4_fingerprints, p4_builds, p5_budget, p5_tokens, p5_languages, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_corpus)}
+QUERIES = {q.__name__: q for q in (p1_sample, p2_found, p2_classes, p2_queries, p2_texts, p2_titles, p4_sample, p4_fingerprints, p4_builds, p5_budget, p5_tokens, p5_languages, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_corpus)}
 
 _SAMPLE_SQL = f"""
   salts as (select lang, arg_min(seed, struct_pack(b := built_utc, i := build_id)) salt from metrics where seed is not null group by lang),
