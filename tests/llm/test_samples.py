@@ -111,8 +111,6 @@ def test_stable_sample(spark):
     first, later = picked(few, 0.1), picked(many.repartition(7), 0.4)
     assert first < later and picked(few.repartition(3), 0.1) == first
     assert abs(sum(x == "en" for x, _ in later) - 450) < 90 and abs(sum(x == "yo" for x, _ in later) - 600) < 90
-    raised = stable_sample.raise_thresholds(rules(0.4), rules(0.1), "lang")
-    assert {tuple(r) for r in raised.collect()} == {tuple(r) for r in rules(0.4).collect()}
 
 
 def test_fingerprints(spark):
@@ -150,3 +148,36 @@ def test_sample_is_repeatable_and_never_falls_back(spark, tmp_path):
     assert sample(df) == sample(df.union(df.limit(0)).repartition(3)) and len(sample(df)) == 500
     with pytest.raises(Exception):  # a folder nobody can write to is an error, no silent fallback to memory
         reservoir.fixed_size_sample(df, "lang", "rec_id", 500, 1, 100, "file:///proc/none", 2)
+
+
+def test_rules_are_kept(spark, tmp_path):
+    folder = f"file://{tmp_path}/rules"
+    rules = lambda *rows: {tuple(r) for r in stable_sample.rules_in_force(spark.createDataFrame(rows, "lang string, salt bigint, threshold bigint"), "lang", folder).collect()}
+    assert rules(("en", 1, 10), ("yo", None, 5), (None, 3, 5)) == {("en", 1, 10)}
+    assert rules(("en", 2, 5), ("yo", 7, 5)) == {("en", 1, 10), ("yo", 7, 5)}  # another seed and a lower rate change nothing, a seed that is filled in is new
+    assert rules(("en", 9, 30)) == {("en", 1, 30), ("yo", 7, 5)}
+    n = len(stable_sample.stored_versions(spark, folder))
+    assert rules(("en", 9, 20)) == {("en", 1, 30), ("yo", 7, 5)} and len(stable_sample.stored_versions(spark, folder)) == n == 3
+    (tmp_path / "rules" / "v00000009").mkdir()  # a version that was never finished
+    assert rules() == {("en", 1, 30), ("yo", 7, 5)}
+
+
+def test_registered_sample_stays_as_builds_arrive(spark, tmp_path, monkeypatch):
+    """An earlier-dated build, a seed that is filled in, and lower rates leave every earlier record in."""
+    from conftest import SMALL
+
+    d, own = f"{tmp_path}/tables", lambda name: spark.read.parquet(f"{SMALL}/{name}.parquet")
+    metrics, corpus = own("metrics"), own("subcorpus")
+    seeded = metrics.withColumn("seed", F.when(F.col("lang") == "te", None).otherwise(F.col("seed")))
+    write = lambda m, c: (m.write.mode("overwrite").parquet(f"{d}/metrics.parquet"), c.write.mode("overwrite").parquet(f"{d}/subcorpus.parquet"))
+    sample = lambda: {(r.lang, r.docid) for r in queries.p4_sample(spark, d).collect()}
+    monkeypatch.setattr(queries, "STABLE_RATE", 0.4)
+    write(seeded, corpus.where("rec_id % 3 > 0"))
+    first = sample()
+    assert first and not any(lang == "te" for lang, _ in first)
+    early = metrics.select(*(F.concat(F.lit("early-"), "build_id").alias(c) if c == "build_id" else F.expr("built_utc - interval 9 years").alias(c) if c == "built_utc" else (F.col(c) + 12345).alias(c) if c == "seed" else c for c in metrics.columns))
+    spark.catalog.clearCache()
+    write(metrics.unionByName(early), corpus)
+    monkeypatch.setattr(queries, "STABLE_RATE", 0.1)
+    later = sample()
+    assert first < later and any(lang == "te" for lang, _ in later)

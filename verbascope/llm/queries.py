@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import clean_key, clean_key_sql, page_of
+from ..plans.materialise import shared_folder
 from ..sources.tables import table
 from . import bpe, budget, lookalike, packing, reservoir, stable_sample, subjects
 
@@ -77,17 +80,12 @@ def p2_titles(spark: SparkSession, d: str) -> DataFrame:
 # 4: a sample that stays
 
 
-def _salts(spark: SparkSession, d: str) -> DataFrame:
-    """(lang, salt): the seed of a language's first build that has one; later builds cannot change it."""
+def _rules(spark: SparkSession, d: str) -> DataFrame:
+    """(lang, salt, threshold) in force for these tables: at first the seed of a language's first build that has one, and its rate; from then on what is stored below the shared folder."""
     seeds = table(spark, d, "metrics").where("seed is not null and lang is not null")
-    return seeds.groupBy("lang").agg(F.min_by("seed", F.struct("built_utc", "build_id")).alias("salt"))
-
-
-def _thresholds(salts: DataFrame) -> DataFrame:
-    rate = lambda low: F.when(F.col("lang").isin(*LOW_LANGUAGES), low).otherwise(STABLE_RATE)
-    first = salts.select("lang", stable_sample.threshold(F.lit(STABLE_RATE)).alias("threshold"))
-    raised = salts.select("lang", stable_sample.threshold(rate(STABLE_RATE_LOW)).alias("threshold"))
-    return stable_sample.raise_thresholds(first, raised, "lang")
+    rate = F.when(F.col("lang").isin(*LOW_LANGUAGES), STABLE_RATE_LOW).otherwise(STABLE_RATE)
+    wanted = seeds.groupBy("lang").agg(F.min_by("seed", F.struct("built_utc", "build_id")).alias("salt")).withColumn("threshold", stable_sample.threshold(rate))
+    return stable_sample.rules_in_force(wanted, "lang", f"{shared_folder(spark)}/stable-sample/{hashlib.md5(d.encode()).hexdigest()}")
 
 
 def _docids(spark: SparkSession, d: str) -> DataFrame:
@@ -95,8 +93,8 @@ def _docids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
-    salts = _salts(spark, d)
-    return stable_sample.stable_sample(_docids(spark, d).select("lang", "docid").distinct(), "lang", "docid", salts, _thresholds(salts))
+    rules = _rules(spark, d)
+    return stable_sample.stable_sample(_docids(spark, d).select("lang", "docid").distinct(), "lang", "docid", rules.select("lang", "salt"), rules.select("lang", "threshold"))
 
 
 def p4_fingerprints(spark: SparkSession, d: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 A record is in the sample if the salted hash of its key lies below its stratum's threshold. The hash depends
 on nothing but salt, stratum and key; thresholds may be raised and never lowered. So a record that was chosen
-once stays chosen whatever arrives later, and no record is compared with another: one narrow filter.
+once stays chosen whatever arrives later, and no record is compared with another: one narrow filter. The salt
+and the threshold of a stratum are stored when they are first used; later runs read them, add new strata and
+raise thresholds, and change nothing else.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.materialise import counted_side
@@ -27,9 +29,32 @@ def threshold(rate: Column) -> Column:
     return F.floor(F.least(F.greatest(rate, F.lit(0.0)), F.lit(1.0)) * F.lit(float(SPACE))).cast("bigint")
 
 
-def raise_thresholds(earlier: DataFrame, wanted: DataFrame, stratum: str) -> DataFrame:
-    """(stratum, threshold) of both, the higher where both have one: a stratum's sample never shrinks."""
-    return earlier.select(stratum, "threshold").unionByName(wanted.select(stratum, "threshold")).groupBy(stratum).agg(F.max("threshold").alias("threshold"))
+def stored_versions(spark: SparkSession, folder: str) -> list[str]:
+    """The finished versions of the rules below `folder`, the latest last."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(f.getPath().getParent().toString() for f in found)
+
+
+def rules_in_force(wanted: DataFrame, stratum: str, folder: str) -> DataFrame:
+    """(stratum, salt, threshold): the rules stored in `folder`, with new strata of `wanted` and its higher thresholds.
+
+    wanted: (stratum, salt, threshold), one row a stratum; rows with a null among them are no rules. What is stored
+    keeps its salt whatever `wanted` says, and a lower threshold changes nothing. A change is written as a further
+    version beside the earlier ones, so a run that fails leaves the rules as they were.
+    """
+    spark = wanted.sparkSession
+    new = wanted.select(stratum, "salt", "threshold").dropna()
+    versions = stored_versions(spark, folder)
+    if versions:
+        old = spark.read.parquet(versions[-1])
+        both = old.withColumnsRenamed({"salt": "old_salt", "threshold": "old_threshold"}).join(new, stratum, "full_outer")
+        new = both.select(stratum, F.coalesce("old_salt", "salt").alias("salt"), F.greatest("old_threshold", "threshold").alias("threshold"))
+        if new.exceptAll(old).isEmpty():
+            return old
+    latest = f"{folder}/v{len(versions):08d}"
+    new.write.parquet(latest)
+    return spark.read.parquet(latest)
 
 
 def stable_sample(df: DataFrame, stratum: str, key: str, salts: DataFrame, thresholds: DataFrame) -> DataFrame:
