@@ -13,7 +13,7 @@ from verbascope.llm.budget import counter
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=80))
 def test_fill_places_every_item_once(sizes):
-    containers = packing.fill(sizes, None, 50)
+    containers = [[i for i, _, _ in c] for c in packing.fill(sizes, None, 50)]
     assert sorted(i for c in containers for i in c) == list(range(len(sizes)))
     assert all(sum(sizes[i] for i in c) <= 50 for c in containers)
     # no more containers than first-fit decreasing may need
@@ -39,11 +39,56 @@ def test_neighbours_share_a_container():
     rng = random.Random(1)
     topics = [[f"{t}word{i}" for i in range(30)] for t in "abcd"]
     texts = [" ".join(rng.choices(topics[i % 4], k=20)) for i in range(200)]
-    containers = packing.fill([20] * 200, texts, 200)
+    containers = [[i for i, _, _ in c] for c in packing.fill([20] * 200, texts, 200)]
     pure = sum(len({i % 4 for i in c}) == 1 for c in containers)
     assert len(containers) == 20 and pure >= 17
 
 
+def test_neighbours_come_in_order():
+    """Of the unused texts that fit, the one most like the seed is taken first, and none is passed over."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(3, 25))) for _ in range(150)]
+    sizes = [len(t.split()) for t in texts]
+    index, left = packing.Index(texts), set(range(150))
+    for members in packing.fill(sizes, texts, 60):
+        seed = members[0][0]
+        assert members[0][1] == "seed" and sizes[seed] == max(sizes[i] for i in left)
+        left.discard(seed)
+        scores, room = index.scores(seed), 60 - sizes[seed]
+        fitting = sorted((i for i in left if scores[i] > 0 and sizes[i] <= room), key=lambda i: (-scores[i], i))
+        expected = []
+        for rank, i in enumerate(fitting, 1):
+            if sizes[i] <= room:
+                expected.append((i, "neighbour", rank))
+                room -= sizes[i]
+        assert [m for m in members if m[1] == "neighbour"] == expected
+        left -= {i for i, _, _ in members}
+    assert not left
+
+
+def test_routing(spark):
+    rng = random.Random(3)
+    topics = [[f"{t}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)] for t in ("ka", "lo", "mi", "ru")]
+    common = "the of and to in".split()
+    rows = [(i, "en", " ".join(rng.choices(topics[i % 4], k=25) + rng.choices(common, k=15)), 40) for i in range(800)] + [(10_000 + i, "de", "same text", 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "key bigint, group string, text string, n bigint").drop("n")
+    rarity = packing.term_rarity(df)
+    assert rarity.min() >= 0 and packing.signature("the of", rarity) == packing.signature("of the", rarity)
+    sized = packing.with_size(df, "byte_bpe_50k", TOKENIZER_FOLDER, rarity).cache()
+    got = packing.routed(sized, 100, 1 << 20).select("key", "group", "shard").collect()
+    assert sorted(r.key for r in got) == sorted(r[0] for r in rows)
+    sizes, topic_of = {}, {}
+    for r in got:
+        sizes.setdefault(r.shard, []).append(r.key)
+        topic_of.setdefault(r.shard, []).append(r.key % 4)
+    assert max(map(len, sizes.values())) <= 250 and all(len({k >= 10_000 for k in v}) == 1 for v in sizes.values())
+    pure = sum(max(map(v.count, range(4))) for shard, v in topic_of.items() if shard.startswith("en"))
+    assert pure > 0.5 * 800  # a quarter by lot
+    by_bytes = packing.routed(sized, 10**6, 2000).groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    assert len(by_bytes) > 40 and max(r.n for r in by_bytes) < 12_000
+
+
 def test_pack(spark):
     rng = random.Random(2)
     words = "river court striker kernel wage novel atom fever".split()

@@ -161,9 +161,15 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    """How full the containers are, by tenths of the capacity."""
-    filled = p7_containers(spark, d).where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("n_tokens"), F.countDistinct("doc_id").alias("n_texts"))
-    return filled.groupBy(F.floor(F.col("n_tokens") * 10 / CAPACITY).alias("tenths")).agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n_texts").alias("n_texts"), F.sum("n_tokens").alias("n_tokens"))
+    """How full the containers are, by tenths of the capacity, and how their texts came there: seeds, neighbours with their mean rank, gaps."""
+    how = lambda x: F.count_if(F.col("placed") == x)
+    filled = p7_containers(spark, d).where("container is not null").groupBy("container").agg(
+        F.sum("n_tokens").alias("n_tokens"), F.countDistinct("doc_id").alias("n_texts"), how("neighbour").alias("n_neighbours"), how("gap").alias("n_in_gaps"), F.sum("rank").alias("ranks")
+    )
+    total = lambda c: F.sum(c).alias(c)
+    return filled.groupBy(F.floor(F.col("n_tokens") * 10 / CAPACITY).alias("tenths")).agg(
+        F.count(F.lit(1)).alias("n_containers"), total("n_texts"), total("n_tokens"), total("n_neighbours"), total("n_in_gaps"), F.try_divide(F.sum("ranks"), F.sum("n_neighbours")).alias("mean_rank")
+    )
 
 
 # 8: subjects
