@@ -127,8 +127,25 @@ def test_fertility(spark):
     df = spark.createDataFrame([("en", "One words, longer"), ("en", None), ("fr", " ")], "lang string, text string")
     got = {r.family: r for r in Z.measure(df, ["lang"], "text").collect()}
     assert (got["char4"].n_words, got["char4"].n_chars, got["char4"].n_tokens) == (3, 15, 1 + 3 + 3) and got["whole"].fertility == 1.0
-    counts = Z.subword_counts(df, ["lang"], "text", len).collect()
-    assert sum(r.n_tokens for r in counts) == 15
+
+
+@pytest.mark.parametrize("name", Z.VOCABULARIES)
+def test_fertility_equals_the_libraries(spark, name):
+    import unicodedata
+
+    from verbascope.functions.subwords import counter
+
+    texts = [("en", "One words, longer ﬁnal"), ("en", "One"), ("en", None), ("fr", " "), ("th", "ภาษาไทย ｗｉｄｅ"), (None, "x")]
+    df = spark.createDataFrame([(*t, "clash") for t in texts], "lang string, text string, word string").repartition(3)
+    got = {r.lang: tuple(r)[2:] for r in Z.measure_subwords(df, ["lang"], "text", (name,)).collect()}
+    count = counter(name)
+    for lang in ("en", "th", None):
+        own = [w for x, t in texts if x == lang and t for w in unicodedata.normalize("NFKC", t).split()]
+        tokens = [count(w) for w in own]
+        chars = sum(map(len, own))
+        ratios = (sum(tokens) / len(own), tokens.count(1) / len(own), sum(tokens) / chars)
+        assert got[lang][:3] == (len(own), chars, sum(tokens)) and got[lang][3:] == pytest.approx(ratios, abs=6e-5)
+    assert "fr" not in got and Z.measure_subwords(df.limit(0), ["lang"], "text", (name,)).count() == 0
 
 
 def test_every_text_is_a_file(spark):

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
+from ..functions.subwords import TOKENIZER_FOLDER, counter
 from ..functions.text import UNSEGMENTED, words
 
-#: Stand-ins that SQL can express: the number of tokens of a word of some length.
+#: Public vocabularies that are measured, by the names of their files.
+VOCABULARIES = ("byte_bpe_50k", "byte_bpe_multi_50k", "piece_bpe_32k", "word_bpe_49k")
+#: Families by a word's length alone, which SQL can express: the number of tokens of a word of some length.
 FAMILIES: dict[str, Callable[[Column], Column]] = {
     "char4": lambda w: F.greatest(F.length(w) - 3, F.lit(1)),
     "byte3": lambda w: F.ceil(F.octet_length(w) / 3).cast("int"),
@@ -30,6 +32,10 @@ def measure(df: DataFrame, by: list[str], text: str, families: dict[str, Callabl
     sums = each.groupBy(*by, "family").agg(
         F.count(F.lit(1)).alias("n_words"), F.sum("chars").cast("bigint").alias("n_chars"), F.sum("tokens").alias("n_tokens"), F.count_if(F.col("tokens") == 1).alias("n_single")
     )
+    return with_ratios(sums, by)
+
+
+def with_ratios(sums: DataFrame, by: list[str]) -> DataFrame:
     ratio = lambda a, b: rounded(F.try_divide(F.col(a).cast("double"), F.col(b)), 4)
     return sums.select(*by, "family", "n_words", "n_chars", "n_tokens", ratio("n_tokens", "n_words").alias("fertility"), ratio("n_single", "n_words").alias("single_rate"), ratio("n_tokens", "n_chars").alias("tokens_per_char"))
 
@@ -39,35 +45,64 @@ def word_measure_valid(lang: Column) -> Column:
     return ~lang.isin(*UNSEGMENTED)
 
 
-def subword_counts(df: DataFrame, keys: list[str], text: str, tokenise: Callable[[str], int]) -> DataFrame:
-    """(*keys, n_words, n_chars, n_tokens, n_single) of every text by a Python tokeniser, after compatibility composition, one Arrow pass."""
+def word_counts(df: DataFrame, by: list[str], text: str) -> DataFrame:
+    """(*by, word, n): how often each word occurs after compatibility composition; counts are merged by batch and by map task before they are shuffled."""
 
     def batches(source):
         import unicodedata
+        from collections import Counter
+
+        import pyarrow as pa
+
+        for batch in source:
+            tally: Counter = Counter()
+            for *group, value in zip(*(c.to_pylist() for c in batch.columns)):
+                group = tuple(group)
+                tally.update((group, w) for w in unicodedata.normalize("NFKC", value or "").split())
+            groups = list(zip(*(g for g, _ in tally))) or [()] * len(by)
+            yield pa.RecordBatch.from_arrays([*(pa.array(g, kind.type) for g, kind in zip(groups, batch.schema)), pa.array([w for _, w in tally], pa.string()), pa.array(list(tally.values()), pa.int64())], names=[*by, "word", "n"])
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
+    counted = df.select(*by, F.col(text).alias("_text")).mapInArrow(batches, f"{kinds}, word string, n bigint")
+    return counted.groupBy(*by, "word").agg(F.sum("n").alias("n"))
+
 
+def measure_subwords(df: DataFrame, by: list[str], text: str, vocabularies: tuple[str, ...] = VOCABULARIES, folder: str = TOKENIZER_FOLDER) -> DataFrame:
+    """As `measure`, by public vocabularies: each distinct word of a group is tokenised once, after compatibility composition.
+
+    Null and empty texts have no words, and groups without words no row.
+    """
+
+    def batches(source):
         import pyarrow as pa
 
+        counts = {name: counter(name, folder) for name in vocabularies}
         for batch in source:
-            rows = []
-            for value in batch.column(len(keys)).to_pylist():
-                own = unicodedata.normalize("NFKC", value or "").split()
-                counts = [tokenise(w) for w in own]
-                rows.append((len(own), sum(map(len, own)), sum(counts), counts.count(1)))
-            columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(c, pa.int64()) for c in columns)], names=[*keys, "n_words", "n_chars", "n_tokens", "n_single"])
+            words, n = batch.column(len(by)).to_pylist(), batch.column(len(by) + 1)
+            for name, count in counts.items():
+                tokens = pa.array([count(w) for w in words], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], pa.array([name] * len(words), pa.string()), pa.array([len(w) for w in words], pa.int64()), tokens, n], names=[*by, "family", "chars", "tokens", "n"])
 
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, F.col(text).alias("_text")).mapInArrow(batches, f"{kinds}, n_words bigint, n_chars bigint, n_tokens bigint, n_single bigint")
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
+    each = word_counts(df, by, text).select(*by, "word", "n").mapInArrow(batches, f"{kinds}, family string, chars bigint, tokens bigint, n bigint")
+    total = lambda x: F.sum(x * F.col("n"))
+    sums = each.groupBy(*by, "family").agg(F.sum("n").alias("n_words"), total(F.col("chars")).alias("n_chars"), total(F.col("tokens")).alias("n_tokens"), total((F.col("tokens") == 1).cast("bigint")).alias("n_single"))
+    return with_ratios(sums, by)
 
 
-def outcome_profile(outcomes: DataFrame, topics: DataFrame) -> DataFrame:
+def outcome_profile(outcomes: DataFrame, topics: DataFrame, per_word: DataFrame) -> DataFrame:
     """(lang, outcome, n, mean_words, mean_chars, mean_tokens_per_word, mean_positives) of queries by outcome.
 
-    outcomes: (lang, qid, outcome, n_positives); a query without text counts in n only.
+    outcomes: (lang, qid, outcome, n_positives); per_word: (lang, qid, per_word); a query without text counts in n only.
     """
-    own = words(F.col("text"))
-    tokens = reduce(lambda a, b: a + b, [F.aggregate(F.transform(own, FAMILIES["char4"]), F.lit(0), lambda s, x: s + x)])
-    shaped = topics.select("lang", "qid", F.size(own).alias("n_words"), F.length("text").alias("n_chars"), F.try_divide(tokens.cast("double"), F.size(own)).alias("per_word"))
-    joined = outcomes.join(shaped, ["lang", "qid"], "left")
+    shaped = topics.select("lang", "qid", F.size(words(F.col("text"))).alias("n_words"), F.length("text").alias("n_chars"))
+    joined = outcomes.join(shaped, ["lang", "qid"], "left").join(per_word, ["lang", "qid"], "left")
     mean = lambda c: rounded(F.avg(c), 3)
     return joined.groupBy("lang", "outcome").agg(F.count(F.lit(1)).alias("n"), mean("n_words").alias("mean_words"), mean("n_chars").alias("mean_chars"), mean("per_word").alias("mean_tokens_per_word"), mean("n_positives").alias("mean_positives"))
+
+
+def per_word_by_length(topics: DataFrame) -> DataFrame:
+    """(lang, qid, per_word): tokens a word by the family `char4`."""
+    own = words(F.col("text"))
+    tokens = F.aggregate(F.transform(own, FAMILIES["char4"]), F.lit(0), lambda s, x: s + x)
+    return topics.select("lang", "qid", F.try_divide(tokens.cast("double"), F.size(own)).alias("per_word"))

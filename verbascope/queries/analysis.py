@@ -184,21 +184,40 @@ def pr11_experiments(spark, d):
     return own.select("tok", "n", F.when((F.col("tok") == "word") | (F.col("n") == 4), F.concat(F.lit("EXP-004-bm25-"), "tok")).otherwise(F.concat(F.lit("EXP-013-bm25-"), "tok", F.lit("-n"), F.col("n").cast("string"))).alias("experiment"))
 
 
+def _passage_texts(spark, d):
+    return C.passages(spark, d).select("lang", X.passage_text(F.col("title"), F.col("text")).alias("text"))
+
+
 def z01_fertility(spark, d):
-    return Z.measure(C.passages(spark, d).select("lang", X.passage_text(F.col("title"), F.col("text")).alias("text")), ["lang"], "text")
+    """How four public vocabularies split the words of all passages, by language."""
+    return Z.measure_subwords(_passage_texts(spark, d), ["lang"], "text")
+
+
+def z01_lengths(spark, d):
+    """The same by families of word length alone."""
+    return Z.measure(_passage_texts(spark, d), ["lang"], "text")
+
+
+def z01_subwords(spark, d):
+    """Subwords of every query by each vocabulary."""
+    return Z.measure_subwords(C.topics(spark, d), ["lang", "qid"], "text").select("lang", "qid", "family", "n_words", "n_chars", "n_tokens")
 
 
 def z02_ratios(spark, d):
+    return Z.measure_subwords(C.topics(spark, d), ["lang"], "text").select("lang", "family", "fertility", "single_rate", "tokens_per_char")
+
+
+def z02_length_ratios(spark, d):
     return Z.measure(C.topics(spark, d), ["lang"], "text").select("lang", "family", "fertility", "single_rate", "tokens_per_char")
 
 
 def z03_validity(spark, d):
-    return Z.measure(C.topics(spark, d), ["lang"], "text").where("family = 'char4'").select("lang", "fertility", Z.word_measure_valid(F.col("lang")).alias("word_measure_valid"))
+    """Fertility of the queries, and whether it says anything: words of some languages are not between blanks."""
+    return Z.measure_subwords(C.topics(spark, d), ["lang"], "text").select("lang", "family", "fertility", Z.word_measure_valid(F.col("lang")).alias("word_measure_valid"))
 
 
-def z01_subwords(spark, d):
-    """Subwords of every query by the first letters of its words, in Python, as any tokeniser is measured."""
-    return Z.subword_counts(C.topics(spark, d), ["lang", "qid"], "text", lambda w: max(1, len(w) - 3))
+def z03_length_validity(spark, d):
+    return Z.measure(C.topics(spark, d), ["lang"], "text").where("family = 'char4'").select("lang", "fertility", Z.word_measure_valid(F.col("lang")).alias("word_measure_valid"))
 
 
 def _outcomes(spark, d):
@@ -209,11 +228,20 @@ def _outcomes(spark, d):
 
 
 def a15_outcome_profile(spark, d):
-    return Z.outcome_profile(_outcomes(spark, d), C.topics(spark, d)).drop("mean_tokens_per_word")
+    own = C.topics(spark, d)
+    return Z.outcome_profile(_outcomes(spark, d), own, Z.per_word_by_length(own)).drop("mean_tokens_per_word")
 
 
 def z04_query_fertility(spark, d):
-    return Z.outcome_profile(_outcomes(spark, d), C.topics(spark, d)).select("lang", "outcome", "mean_tokens_per_word")
+    """Tokens a word, by the byte-level vocabulary of many languages, of queries by outcome."""
+    own = C.topics(spark, d)
+    split = Z.measure_subwords(own, ["lang", "qid"], "text", ("byte_bpe_multi_50k",)).select("lang", "qid", (F.col("n_tokens") / F.col("n_words")).alias("per_word"))
+    return Z.outcome_profile(_outcomes(spark, d), own, split).select("lang", "outcome", "mean_tokens_per_word")
+
+
+def z04_query_lengths(spark, d):
+    own = C.topics(spark, d)
+    return Z.outcome_profile(_outcomes(spark, d), own, Z.per_word_by_length(own)).select("lang", "outcome", "mean_tokens_per_word")
 
 
 def g01_report(spark, d):
@@ -244,7 +272,7 @@ def j10_joined(spark, d):
     return mean(FIRST).join(mean(SECOND), "lang").join(L.exposure(_pairs(spark, d)).select("lang", "difference"), "lang").join(_resource(spark, d).select("lang", "mb"), "lang")
 
 
-_Q = (t02_bootstrap, t03_variances, t04_random_effects, t05_robustness, pr07_coverage, pr08_subsets, pr09_unsegmented, pr10_prefixes, pr11_experiments, w04_ranks, t06_spearman, t07_partial, t08_fisher, t09_collinearity, t10_detectable, t11_projection, f20_sizes, f07_log_sizes, a19_extremes, a20_vocabularies, v07_flagged, z01_fertility, z01_subwords, z02_ratios, z03_validity, z04_query_fertility, a15_outcome_profile, g01_report, g02_scatter, g03_stacked, j10_joined)
+_Q = (t02_bootstrap, t03_variances, t04_random_effects, t05_robustness, pr07_coverage, pr08_subsets, pr09_unsegmented, pr10_prefixes, pr11_experiments, w04_ranks, t06_spearman, t07_partial, t08_fisher, t09_collinearity, t10_detectable, t11_projection, f20_sizes, f07_log_sizes, a19_extremes, a20_vocabularies, v07_flagged, z01_fertility, z01_lengths, z01_subwords, z02_ratios, z02_length_ratios, z03_validity, z03_length_validity, z04_query_fertility, z04_query_lengths, a15_outcome_profile, g01_report, g02_scatter, g03_stacked, j10_joined)
 QUERIES = {q.__name__: q for q in _Q}
 
 _CATEGORY = "case when coalesce({0}recall100, 0) = 0 then 'total_miss' when coalesce({0}ndcg10, 0) = 0 then 'deep_miss' when coalesce({0}mrr10, 0) < 1 then 'weak_rank' else 'rank1' end"
@@ -323,11 +351,11 @@ SQL = {
     "a19_extremes": f"with {_RESOURCE} select max(mb) as max_mb, min(mb) as min_mb, arg_max(lang, (mb, lang)) as largest, arg_min(lang, (mb, lang)) as smallest, round(max(mb) / min(mb), 3) as spread from resource where mb is not null",
     "a20_vocabularies": f"select task, list_sort(list(distinct size::int)) as sizes, count(*) as n_models from (values {', '.join(map(str, VOCABULARIES))}) t(task, size) group by 1",
     "v07_flagged": f"with {C.CTES}, {_ENCODERS} select lang, round(avg(ndcg10), 6) as ndcg10, not any_value(list_contains(missing, lang)) as declares_support, any_value(list_contains(missing, lang)) as coverage_confounded from scores, encoders where sys_name = '{SECOND}' and key = 'E5' group by lang",
-    "z01_fertility": f"with {C.CTES} {_measured('passages', 'lang', X.passage_text_sql())}",
-    "z02_ratios": f"with {C.CTES}, m as ({_measured('topics', 'lang', 'text')}) select lang, family, fertility, single_rate, tokens_per_char from m",
-    "z03_validity": f"with {C.CTES}, m as ({_measured('topics', 'lang', 'text')}) select lang, fertility, lang not in {X.UNSEGMENTED} as word_measure_valid from m where family = 'char4'",
+    "z01_lengths": f"with {C.CTES} {_measured('passages', 'lang', X.passage_text_sql())}",
+    "z02_length_ratios": f"with {C.CTES}, m as ({_measured('topics', 'lang', 'text')}) select lang, family, fertility, single_rate, tokens_per_char from m",
+    "z03_length_validity": f"with {C.CTES}, m as ({_measured('topics', 'lang', 'text')}) select lang, fertility, lang not in {X.UNSEGMENTED} as word_measure_valid from m where family = 'char4'",
     "a15_outcome_profile": f"{_PROFILE} select lang, outcome, count(*) as n, round(avg(n_words), 3) as mean_words, round(avg(n_chars), 3) as mean_chars, round(avg(n_positives), 3) as mean_positives from outcomes left join shaped using (lang, qid) group by all",
-    "z04_query_fertility": f"{_PROFILE} select lang, outcome, round(avg(per_word), 3) as mean_tokens_per_word from outcomes left join shaped using (lang, qid) group by all",
+    "z04_query_lengths": f"{_PROFILE} select lang, outcome, round(avg(per_word), 3) as mean_tokens_per_word from outcomes left join shaped using (lang, qid) group by all",
     "g01_report": f"{_REPORT} select * from report",
     "g02_scatter": f"{_REPORT}, {_ENCODERS} select lang, round(log10(mb), 6) as log10_mb, diff, low, high, not list_contains(missing, lang) as supported from report join (select lang, mb from resource where mb is not null) using (lang), encoders where key = 'E5'",
     "g03_stacked": f"{_CATS}, r as (select sys_name, lang, {_RATES} from cats where sys_name in ('{FIRST}', '{SECOND}') group by all), o as (select lang, row_number() over (order by rate_total_miss desc, lang) as place from r where sys_name = '{FIRST}') select place, lang, sys_name, {', '.join(f'rate_{c}' for c in L.CATEGORIES)} from r join o using (lang)",
