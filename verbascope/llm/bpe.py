@@ -7,7 +7,6 @@ describe two neighbours are stale and skipped, so a piece of n bytes costs O(n l
 from __future__ import annotations
 
 import base64
-import os
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -16,12 +15,9 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.subwords import PIECES, TOKENIZER_FOLDER
 from ..plans.spread import spread
 
-#: Where the vocabulary files lie, unless a caller names another folder.
-TOKENIZER_FOLDER = os.environ.get("VERBASCOPE_TOKENIZERS", "/opt/tokenizers")
-#: The pattern, published with the vocabulary, that splits text before merging.
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pieces whose ids a worker remembers; it forgets them all beyond that.
 REMEMBERED = 200_000
 
