@@ -156,3 +156,26 @@ def test_every_text_is_a_file(spark):
     texts = spark.read.parquet(f"{SMALL}/documents.parquet").where("text <> ''").selectExpr("doc_id", "cast(length(text) as bigint)")
     expected = sorted(map(tuple, texts.collect()))
     assert len(expected) > 8 and sorted((r.doc_id, r.n_chars) for r in queries()["s14_whole_texts"](spark, SMALL).collect()) == expected
+
+
+def test_places_of_a_group_over_many_ranges(spark):
+    from verbascope.operators.ranking import shard_of, with_place
+
+    rows = [("hot", i % 700, f"k{i:04}") for i in range(2100)] + [("cold", 1, "a"), (None, 2, "b"), (None, 1, "c"), ("cold", None, "d")]
+    df = spark.createDataFrame(rows, "g string, x int, k string")
+    got = with_place(df.repartition(7), ["g"], ["x", "k"]).withColumn("shard", shard_of(F.col("place"), 4)).collect()
+    assert len(got) == len(rows)
+    first = lambda x: (x is not None, x or 0)
+    for g in ("hot", "cold", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (first(r[1]), r[2]))
+        assert [(r.x, r.k) for r in sorted((r for r in got if r.g == g), key=lambda r: r.place)] == [r[1:] for r in own]
+        assert sorted(r.place for r in got if r.g == g) == list(range(1, len(own) + 1))
+    assert all(r.shard == (r.place - 1) // 4 for r in got)
+    assert with_place(df.limit(0), ["g"], ["x"]).count() == 0
+
+
+def test_bottom_k_beyond_the_group_limit(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("if(id < 20, 'few', 'many') g", "cast(id as string) k")
+    window = {tuple(r) for r in R.bottom_k(df, "g", "k", 150, 5).collect()}
+    monkeypatch.setattr(R, "GROUP_LIMIT", 10)
+    assert {tuple(r) for r in R.bottom_k(df, "g", "k", 150, 5).collect()} == window and len(window) == 170

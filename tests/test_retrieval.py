@@ -163,3 +163,18 @@ def test_encoder_surface(spark):
     pooled = spark.range(1).select(dense.masked_mean(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0))), F.array(F.lit(1.0), F.lit(0.0)))).first()[0]
     assert pooled == [1.0, 2.0]
     assert spark.range(1).select(dense.unit(F.array(F.lit(0.0), F.lit(0.0)))).first()[0] == [0.0, 0.0]
+
+
+def test_pooling_encoder_against_each_text_alone(spark):
+    import numpy as np
+
+    from verbascope.functions.subwords import tokeniser
+
+    texts = ["one two", "", "a much longer text than the others " * 60, "ภาษาไทย"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "id int, text string").repartition(2)
+    got = {r.id: r.vec for r in dense.encode(df, ["id"], "text", dense.pooling_encoder("byte_bpe_50k", width=8), "query: ", batch_size=2).collect()}
+    for i, t in enumerate([*texts, ""]):
+        ids = tokeniser("byte_bpe_50k")("query: " + t)[:256]
+        mean = dense.token_vectors(50257, 8, 0)[ids].mean(0)
+        assert got[i] == pytest.approx((mean / np.linalg.norm(mean)).tolist(), abs=1e-6)
+    assert dense.pooling_encoder("byte_bpe_50k", width=4)([""]) == [[0.0] * 4]

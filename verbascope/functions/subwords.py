@@ -14,22 +14,27 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 
 @lru_cache(maxsize=4)
-def counter(name: str, folder: str = TOKENIZER_FOLDER) -> Callable[[str], int]:
-    """A function that counts the tokens of a text, without special tokens."""
+def tokeniser(name: str, folder: str = TOKENIZER_FOLDER) -> Callable[[str], list[int]]:
+    """A function that gives the token ids of a text, without special tokens."""
     if name.startswith("byte_bpe"):
         import tiktoken
 
         with open(f"{folder}/{name}.tiktoken", "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        encode = tiktoken.Encoding(name, pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        return lambda text: len(encode(text))
+        return tiktoken.Encoding(name, pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     if name.startswith("piece_bpe"):
         import sentencepiece
 
         pieces = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{name}.model")
-        return lambda text: len(pieces.encode(text, num_threads=1))
+        return lambda text: pieces.encode(text, num_threads=1)
     import tokenizers
 
     other = tokenizers.Tokenizer.from_file(f"{folder}/{name}.json")
     other.encode_special_tokens = True
-    return lambda text: len(other.encode(text, add_special_tokens=False).ids)
+    return lambda text: other.encode(text, add_special_tokens=False).ids
+
+
+def counter(name: str, folder: str = TOKENIZER_FOLDER) -> Callable[[str], int]:
+    """A function that counts the tokens of a text, without special tokens."""
+    ids = tokeniser(name, folder)
+    return lambda text: len(ids(text))

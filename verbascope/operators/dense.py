@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import NUDGE
+from ..functions.subwords import TOKENIZER_FOLDER, tokeniser
 from .best import Best
 
 #: Least norm that a vector is divided by, and places to which similarities are rounded before ranking.
 LEAST_NORM, PLACES = 1e-12, 6
+#: Least sum of a mask.
+LEAST_MASK = 1e-9
 #: Bytes of query vectors, and queries, that are broadcast as one block; more queries make more blocks.
 BLOCK_BYTES, BLOCK_QUERIES = 32 << 20, 25_000
 #: Similarities that a task computes at a time.
@@ -36,7 +39,7 @@ def unit(vector: Column) -> Column:
 
 def masked_mean(vectors: Column, mask: Column) -> Column:
     """The mean of the token vectors whose mask is 1."""
-    total = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, m: s + m), F.lit(1e-9))
+    total = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, m: s + m), F.lit(LEAST_MASK))
     zero = F.transform(vectors[0], lambda _: F.lit(0.0))
     summed = F.aggregate(F.zip_with(vectors, mask, lambda v, m: F.transform(v, lambda x: x * m)), zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
     return F.transform(summed, lambda x: x / total)
@@ -120,6 +123,40 @@ def encode(df: DataFrame, keys: list[str], text: str, encoder: Callable[[list[st
     return ordered.mapInArrow(batches, f"{kinds}, vec array<float>")
 
 
+def pooling_encoder(vocabulary: str, folder: str = TOKENIZER_FOLDER, width: int = 64, window: int = 256, seed: int = 0) -> Callable[[list[str]], list[list[float]]]:
+    """An encoder's pass over a batch: token ids cut to `window`, padded to the longest, a vector a token, the mean under the mask, norm 1.
+
+    The token vectors are drawn by `seed` where a model's weights would be read; a text without tokens has the zero vector.
+    """
+
+    def run(texts: list[str]) -> list[list[float]]:
+        import numpy as np
+
+        ids = [tokeniser(vocabulary, folder)(t)[:window] for t in texts]
+        longest = max(1, max(map(len, ids), default=1))
+        padded, mask = np.zeros((len(ids), longest), int), np.zeros((len(ids), longest))
+        for i, own in enumerate(ids):
+            padded[i, : len(own)], mask[i, : len(own)] = own, 1
+        vectors = token_vectors(int(padded.max(initial=0)) + 1, width, seed)[padded]
+        mean = (vectors * mask[:, :, None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), LEAST_MASK)
+        return (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), LEAST_NORM)).tolist()
+
+    return run
+
+
+_vectors: dict = {}
+
+
+def token_vectors(n: int, width: int, seed: int):
+    """The vectors of at least the first `n` tokens, each drawn by itself, kept by the worker."""
+    import numpy as np
+
+    own = _vectors.get((width, seed))
+    if own is None or len(own) < n:
+        own = _vectors[width, seed] = np.random.default_rng(seed).standard_normal((1 << max(16, (n - 1).bit_length()), width))
+    return own
+
+
 def hashing_encoder(width: int = 64) -> Callable[[list[str]], list[list[float]]]:
     """An encoder without weights: signed character trigrams, hashed and brought to norm 1. It stands in where no model is installed."""
 
@@ -141,8 +178,3 @@ def hashing_encoder(width: int = 64) -> Callable[[list[str]], list[list[float]]]
 def remaining(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """What is still to be encoded: the wanted rows whose keys are not done."""
     return wanted.join(done.select(*keys).distinct(), keys, "left_anti")
-
-
-def shard_of(by: list[str], order: list[Column], size: int) -> Column:
-    """The number of the shard of `size` rows that a row falls in, in `order` within its group."""
-    return F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / size)

@@ -11,12 +11,13 @@ from ..functions.numbers import rounded
 from ..operators import audit as A
 from ..operators import sampling as R
 from ..operators import statistics as S
+from ..operators.ranking import with_place
 from ..plans.materialise import materialise, passing_folder
 from ..sources import collection as C
 from ..sources import files as I
 from ..sources.tables import table
 
-SEED, TARGET, FEW, QUERIES_MOST = 20250317, 200, 20, 300
+SEED, TARGET, FEW, QUERIES_MOST, TEXTS = 20250317, 200, 20, 300, 2000
 
 
 def _folder(spark) -> str:
@@ -86,10 +87,24 @@ def s09_artifacts(spark, d):
     return I.read_artifacts(spark, path, schema).select("sys_name", "lang", "qid", "ndcg10", "unjudged10", "experiment_id")
 
 
+def s09_language_map(spark, d):
+    """Mean scores written as one nested JSON map of languages a system, a file each, and read back by language."""
+    path = _folder(spark)
+    own = C.scores(spark, d).groupBy("sys_name", "lang").agg(rounded(F.avg("ndcg10"), 6).alias("ndcg10"), F.count(F.lit(1)).alias("n")).where("sys_name is not null")
+    maps = own.groupBy("sys_name").agg(F.map_from_entries(F.collect_list(F.struct("lang", F.struct(F.struct("ndcg10", "n").alias("bm25"))))).alias("languages"))  # a row a language
+    if not I.write_whole_texts(maps.select(F.concat("sys_name", F.lit(".json")).alias("name"), F.to_json(F.struct("languages")).alias("text")), path, "name", "text"):
+        return spark.createDataFrame([], "lang string, ndcg10 double, n bigint")
+    return I.read_language_map(spark, f"{path}/*.json", "bm25: struct<ndcg10: double, n: bigint>").select("lang", "bm25.ndcg10", "bm25.n")
+
+
 def s10_languages_of_files(spark, d):
-    """Languages by the names of their files."""
-    own = table(spark, d, "resource_proxy").select(F.concat(F.lit("results/per_query_"), "lang", F.lit(".json")).alias("path"))
-    return own.select("path", I.language_of(F.col("path")).alias("lang"))
+    """Stored scores written as a JSON file a language, and the languages found by listing the files."""
+    path = _folder(spark)
+    own = C.scores(spark, d).groupBy("lang").agg(F.to_json(F.struct(rounded(F.avg("ndcg10"), 6).alias("ndcg10"))).alias("text"))
+    if not I.write_whole_texts(own.select(F.concat(F.lit("per_query_"), "lang", F.lit(".json")).alias("name"), "text"), path, "name", "text"):
+        return spark.createDataFrame([], "path string, lang string")
+    found = I.shards(spark, path, ".json")
+    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), I.language_of(F.col("path")).alias("lang"))
 
 
 def s12_embedding_store(spark, d):
@@ -103,26 +118,11 @@ def s12_embedding_store(spark, d):
 def s14_whole_texts(spark, d):
     """Documents' texts that are not empty written one a file and read whole: their lengths, a row a file."""
     path = _folder(spark)
-
-    def write(source):
-        import pyarrow as pa
-        from pyarrow import fs
-        from pyspark import TaskContext
-
-        files, folder = fs.FileSystem.from_uri(path)
-        files.create_dir(folder)
-        part, k = TaskContext.get().partitionId(), 0
-        for batch in source:
-            for own, text in zip(*(c.to_pylist() for c in batch.columns)):
-                with files.open_output_stream(f"{folder}/{own}-{part}-{k}.txt") as out:
-                    out.write(text.encode())
-                k += 1
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
-
-    texts = table(spark, d, "documents").select("doc_id", "text").where("doc_id is not null and text <> ''")
-    if not texts.mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0]:
+    own = table(spark, d, "documents").select("doc_id", "text").where("doc_id is not null and text <> ''")
+    named = own.select(F.concat("doc_id", F.lit("-"), F.xxhash64("text"), F.lit(".txt")).alias("name"), "text")
+    if not I.write_whole_texts(named, path, "name", "text"):
         return spark.createDataFrame([], "doc_id bigint, n_chars bigint")
-    return I.read_whole_texts(spark, f"{path}/*.txt").select(F.regexp_extract("path", r"([0-9-]+)-[0-9]+-[0-9]+\.txt$", 1).cast("bigint").alias("doc_id"), F.length("text").cast("bigint").alias("n_chars"))
+    return I.read_whole_texts(spark, f"{path}/*.txt").select(F.regexp_extract("path", r"(-?[0-9]+)-(-?[0-9]+)\.txt$", 1).cast("bigint").alias("doc_id"), F.length("text").cast("bigint").alias("n_chars"))
 
 
 def s11_json_leaves(spark, d):
@@ -173,8 +173,10 @@ def pr05_with_text(spark, d):
 
 
 def pr14_remaining(spark, d):
-    """Topics that the dense system has still to be evaluated on."""
-    done = C.scores(spark, d).where("sys_name = 'dense-small'").select("lang", "qid")
+    """Topics that the dense system has still to be evaluated on, by the artifact in which its scores are stored."""
+    path = _folder(spark)
+    I.write_artifact(C.scores(spark, d).where("sys_name = 'dense-small'").select("lang", "qid", "ndcg10"), path, "EXP", "0" * 40)
+    done = I.read_artifacts(spark, path, T.StructType([T.StructField("lang", T.StringType()), T.StructField("qid", T.StringType())])).select("lang", "qid")
     return C.topics(spark, d).select("lang", "qid").join(done, ["lang", "qid"], "left_anti")
 
 
@@ -207,9 +209,9 @@ def r02_others(spark, d):
 
 
 def r03_texts(spark, d):
-    """100 passages with a text of each language, for counting tokens."""
+    """At most 2,000 passages with a text of each language, by lot, for counting tokens."""
     own = C.passages(spark, d).where("length(trim(text)) > 0").select("lang", "docid")
-    return R.bottom_k(own, "lang", "docid", 100, SEED)
+    return R.bottom_k(own, "lang", "docid", TEXTS, SEED)
 
 
 def r04_resamples(spark, d, resamples=3):
@@ -235,7 +237,7 @@ def a17_manifest(spark, d):
 
 def a16_digest(spark, d):
     """The digest of each language's judged docids."""
-    return _judged(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n_docids"), R.docid_digest(F.col("docid")).alias("sha256"))
+    return R.sorted_digest(_judged(spark, d), "lang", "docid").withColumnRenamed("n_keys", "n_docids")
 
 
 def a03_judged(spark, d):
@@ -260,8 +262,7 @@ def u03_missing(spark, d):
 
 def k03_order(spark, d):
     """Judgments with their place in the sorted file of their language."""
-    order = R.Window.partitionBy("lang").orderBy("qid", "docid")
-    return C.judgments(spark, d).withColumn("place", F.row_number().over(order).cast("bigint")).select("lang", "qid", "docid", "place")
+    return with_place(C.judgments(spark, d).select("lang", "qid", "docid"), ["lang"], ["qid", "docid"])
 
 
 def k07_languages(spark, d):
@@ -276,11 +277,12 @@ REQUIRED, FORBIDDEN = {"ends with a question mark": r"[?？؟]\s*\z"}, {"names n
 
 
 def q01_numbers(spark, d):
-    """Numbers in documents that no document count of any manifest accounts for."""
+    """Numbers in documents that no number anywhere in a build's manifest accounts for; manifests are read as JSON, leaf by leaf."""
     tokens = A.numbers(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
-    values = table(spark, d, "metrics").select(F.explode(F.array(*(F.col(c).cast("double") for c in ("n_actual", "corpus_total_docs_streamed", "n_judged_docs_expected", "judged_fraction")))).alias("v"))
+    own = table(spark, d, "metrics")
+    leaves = A.json_leaves(own.select("build_id", F.to_json(F.struct(*own.columns)).alias("manifest")), "build_id", "manifest")
     allowed = spark.createDataFrame([("0",), ("1",)], "token string")
-    return A.untraced(tokens, A.rendered_values(values, "v"), allowed)
+    return A.untraced(tokens, A.rendered_values(leaves, "number"), allowed)
 
 
 def f11_numbers(spark, d):
@@ -340,7 +342,7 @@ def f17_sha256(spark, d):
     return C.topics(spark, d).select("lang", "qid", F.sha2("text", 256).alias("sha256"))
 
 
-_Q = (f12_stripped, f17_sha256, s03_shards, s04_volume, s05_corpus_file, s06_topics_file, s07_judgments_file, s08_language, s09_artifacts, s10_languages_of_files, s11_json_leaves, s12_embedding_store, s14_whole_texts, s16_judgments_content, s18_upsert, s20_bibtex, pr01_passage_text, pr02_arity, pr03_known_queries, pr04_passage_numbers, pr05_with_text, pr14_remaining, f16_titles, r01_queries, r02_others, r03_texts, r04_resamples, r04_resamples_full, u01_sub_corpus, a17_manifest, a16_digest, a03_judged, j01_judged_passages, j02_other_passages, j03_first_missing, u03_missing, k03_order, k07_languages, q01_numbers, f10_renderings, f11_numbers, q02_citations, u04_cited, f14_entries, q03_wording, f15_context, q05_upgraded)
+_Q = (f12_stripped, f17_sha256, s03_shards, s04_volume, s05_corpus_file, s06_topics_file, s07_judgments_file, s08_language, s09_artifacts, s09_language_map, s10_languages_of_files, s11_json_leaves, s12_embedding_store, s14_whole_texts, s16_judgments_content, s18_upsert, s20_bibtex, pr01_passage_text, pr02_arity, pr03_known_queries, pr04_passage_numbers, pr05_with_text, pr14_remaining, f16_titles, r01_queries, r02_others, r03_texts, r04_resamples, r04_resamples_full, u01_sub_corpus, a17_manifest, a16_digest, a03_judged, j01_judged_passages, j02_other_passages, j03_first_missing, u03_missing, k03_order, k07_languages, q01_numbers, f10_renderings, f11_numbers, q02_citations, u04_cited, f14_entries, q03_wording, f15_context, q05_upgraded)
 QUERIES = {q.__name__: q for q in _Q}
 
 _LOT = "md5('{seed}:' || lang || ':' || {key})".replace("{seed}", str(SEED))
@@ -353,13 +355,26 @@ _ANY = "select lang, docid from {0}"
 _TEXTS = r"""texts as (select lang || '/' || qid as key, 'Query ' || qid || ' \cite{' || string_agg(distinct docid, ', ' order by docid) || '} of 100\% % \cite{none}' as text from judgments where rel > 0 group by lang, qid)"""
 _CITED = f"{_TEXTS}, cited as (select distinct lang || '/' || qid as key, trim(unnest(string_split(docid, ',')), ' ') as cited from judgments where rel > 0)"
 _NUMBERS = r"""numbers as (select distinct doc_id, rtrim(unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '(^|[^\\\n])%[^\n]*', '\1', 'g'), '\\(cite|label|ref)\{[^}]*\}', ' ', 'g'), '[0-9]+\.?[0-9]*')), '.') as token from documents)"""
+#: The columns of the manifest that are numbers.
+MANIFEST_NUMBERS = ("seed", "q_max", "n_target", "n_actual", "n_queries", "n_judged_docs_expected", "n_judged_docs_found", "n_judged_docs_missing", "judged_fraction", "corpus_total_docs_streamed", "corpus_shards", "n_docs_per_language")
+
+
+def _shown(x: str) -> str:
+    """The ways to write a number, in SQL."""
+    to = lambda v, p: f"printf('%.{p}f', round({v}, {p}))"
+    bare = lambda v, p: rf"regexp_replace(regexp_replace({to(v, p)}, '(\.[0-9]*?)0+$', '\1'), '\.$', '')"
+    return f"list_distinct([{bare(x, 4)}, {bare(f'abs({x})', 4)}, {', '.join(to(f'abs({x})', p) for p in (4, 3, 2))}, {bare(f'abs({x})', 3)}, {bare(f'abs({x})', 2)}])"
+
+
 SQL = {
     "s05_corpus_file": f"with {_B} select lang || '/' || docid as docid, coalesce(title, '') as title, coalesce(text, '') as text from passages",
     "s06_topics_file": f"with {_B} select lang || '/' || qid as qid, text from topics where not regexp_matches(text, '[\\r\\n\\t]')",
     "s07_judgments_file": f"with {_B} select lang || '/' || qid as qid, docid, rel from judgments semi join topics using (lang, qid)",
     "s08_language": f"with {_B} select lang, docid, {X.passage_text_sql()} as text from passages where lang = 'sw'",
     "s09_artifacts": f"with {_B} select sys_name, lang, qid, ndcg10, null::int as unjudged10, 'EXP-004' as experiment_id from scores",
-    "s10_languages_of_files": "select 'results/per_query_' || lang || '.json' as path, lang from resource_proxy",
+    "s09_language_map": f"with {_B} select lang, round(avg(ndcg10), 6) as ndcg10, count(*) as n from scores where sys_name is not null group by sys_name, lang",
+    "s10_languages_of_files": f"with {_B} select distinct 'per_query_' || lang || '.json' as path, lang from scores",
+    "s14_whole_texts": "select doc_id, length(text) as n_chars from documents where text <> ''",
     "s12_embedding_store": "select vec_id, label, round(list_sum(embedding::double[]), 6) as total from embeddings",
     "s16_judgments_content": f"with {_B} select qid || chr(9) || '0' || chr(9) || docid || chr(9) || rel as line from judgments",
     "s18_upsert": f"with {_B} select sys_name, lang, case when lang < 'f' then 1.0::double else round(avg(ndcg10), 6) end as ndcg10 from scores group by sys_name, lang",
@@ -373,7 +388,7 @@ SQL = {
     "f16_titles": f"select rec_id, t as title, regexp_replace(lower(t), '[^a-z]', '', 'g') as letters from (select rec_id, trim(regexp_replace(title, '{X.BLANKS}', ' ', 'g'), ' ') t from subcorpus where title is not null)",
     "r01_queries": f"with {_B} select lang, qid, text from topics qualify row_number() over (partition by lang order by {_LOT.format(key='qid')}, qid) <= {QUERIES_MOST}",
     "r02_others": f"with {_B}, {_SUB} select lang, docid from sub where not judged",
-    "r03_texts": f"with {_B} select lang, docid from passages where length(trim(text, ' ')) > 0 qualify row_number() over (partition by lang order by {_LOT.format(key='docid')}, docid) <= 100",
+    "r03_texts": f"with {_B} select lang, docid from passages where length(trim(text, ' ')) > 0 qualify row_number() over (partition by lang order by {_LOT.format(key='docid')}, docid) <= {TEXTS}",
     "r04_resamples": f"with {_B}, sizes as (select lang, count(*) n from topics group by 1) select lang, b, draw, ('0x' || substr(md5('{SEED}:' || lang || ':' || b || ':' || draw), 1, 8))::bigint % n as i from (select lang, n, b, unnest(range(1, n + 1)) draw from sizes, range(1, 4) t(b))",
     "u01_sub_corpus": f"with {_B}, {_SUB} select lang, docid, judged from sub",
     "a17_manifest": f"""with {_B}, {_SUB}, e as (select lang, count(*) n from judged group by 1), s as (select lang, count(*) a, count(*) filter (where judged) f, sha256(string_agg(docid, chr(10) order by docid)) h from sub group by 1)
@@ -387,6 +402,11 @@ SQL = {
     "k03_order": f"with {_B} select lang, qid, docid, row_number() over (partition by lang order by qid, docid) as place from judgments",
     "k07_languages": "select lang, row_number() over (order by lang) as place from (select distinct lang from metrics where lang is not null)",
     "f11_numbers": f"with {_NUMBERS} select doc_id, token from numbers where token is not null",
+    "s11_json_leaves": "select event_id, fullkey as path, case when type in ('UBIGINT', 'BIGINT', 'DOUBLE') then atom::double when type = 'BOOLEAN' then (atom = 'true')::int::double end as number, case when type = 'VARCHAR' then atom ->> '$' end as string from events, json_tree(props) where type not in ('OBJECT', 'ARRAY', 'NULL')",
+    "f10_renderings": f"select build_id, unnest({_shown('judged_fraction')}) as shown from metrics where judged_fraction is not null",
+    "q01_numbers": f"""with {_NUMBERS}, leaves as (select unnest([{', '.join(f'{c}::double' for c in MANIFEST_NUMBERS)}]) v from metrics), shown as (select distinct unnest({_shown('v')}) s from leaves where v is not null)
+      select doc_id, token from numbers where token not in ('0', '1') and token not in (select s from shown)
+        and token not in (select t from (select distinct token t from numbers), shown where length(s) > 3 and (starts_with(s, t) or length(t) > 3 and starts_with(t, s)))""",
     "q02_citations": f"with {_B}, {_CITED}, d as (select distinct docid as name from passages), c as (select distinct cited as name from cited) select name, 'missing' as problem from c anti join d using (name) union all select name, 'unused' from d anti join c using (name)",
     "f12_stripped": rf"with {_B}, {_TEXTS} select key, regexp_replace(regexp_replace(text, '(^|[^\\\n])%[^\n]*', '\1', 'g'), '\\(cite|label|ref)\{{[^}}]*\}}', ' ', 'g') as text from texts",
     "f17_sha256": f"with {_B} select lang, qid, sha256(text) as sha256 from topics",

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.numbers import rounded
 from ..functions import text as X
 from ..operators import bm25, dense
+from ..operators.ranking import shard_of, with_place
+from ..plans.materialise import materialise, passing_folder
 from ..sources import collection as C
 from ..sources.tables import table
 
@@ -113,27 +115,30 @@ def f09_dot(spark, d):
 
 
 def f08_masked_mean(spark, d):
-    """The mean of each label's vectors of even number, by masked pooling."""
-    own = table(spark, d, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", dense.as_double(F.col("embedding")).alias("v")))).alias("rows"))
-    mask = F.transform("rows", lambda r: F.when(r["vec_id"] % 2 == 0, 1.0).otherwise(0.0))
-    return own.select("label", F.transform(dense.masked_mean(F.transform("rows", lambda r: r["v"]), mask), lambda x: rounded(x, 6)).alias("mean"))
+    """The mean of each label's vectors of even number: sums by position, merged by map task."""
+    own = table(spark, d, "embeddings").select("label", F.when(F.col("vec_id") % 2 == 0, 1.0).otherwise(0.0).alias("mask"), F.posexplode(dense.as_double(F.col("embedding"))).alias("i", "v"))
+    means = own.groupBy("label", "i").agg((F.sum(F.col("v") * F.col("mask")) / F.greatest(F.sum("mask"), F.lit(dense.LEAST_MASK))).alias("mean"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", rounded("mean", 6).alias("mean"))))  # as many rows as a vector is wide
+    return means.groupBy("label").agg(F.transform(ordered, lambda x: x["mean"]).alias("mean"))
 
 
 def x04_encode(spark, d):
-    """Vectors of the queries by the encoder without weights, with the prefix of queries."""
-    return dense.encode(C.topics(spark, d), ["lang", "qid"], "text", dense.hashing_encoder(), "query: ")
+    """Vectors of the queries, with the prefix of queries: tokens cut to 256, padded, pooled under their mask and brought to norm 1."""
+    return dense.encode(C.topics(spark, d), ["lang", "qid"], "text", dense.pooling_encoder("byte_bpe_multi_50k"), "query: ")
 
 
 def x05_shards(spark, d):
     """Queries in order of length, 4 a shard within a language."""
-    own = C.topics(spark, d).withColumn("n_chars", F.length("text").cast("bigint"))
-    return own.select("lang", "qid", "n_chars", dense.shard_of(["lang"], [F.col("n_chars"), F.col("qid")], 4).alias("shard"))
+    own = C.topics(spark, d).select("lang", "qid", F.length("text").cast("bigint").alias("n_chars"))
+    return with_place(own, ["lang"], ["n_chars", "qid"]).select("lang", "qid", "n_chars", shard_of(F.col("place"), 4).alias("shard"))
 
 
 def x06_remaining(spark, d):
-    """Queries still to be encoded when those of each language's first shard are done."""
-    own = x05_shards(spark, d)
-    return dense.remaining(own, own.where("shard = 0"), ["lang", "qid"]).select("lang", "qid")
+    """Queries still to be encoded by a run that finds each language's first shard in its store."""
+    store, own = passing_folder(spark, "vectors"), materialise(x05_shards(spark, d))
+    first = C.topics(spark, d).join(own.where("shard = 0").select("lang", "qid"), ["lang", "qid"])
+    dense.encode(first, ["lang", "qid"], "text", dense.pooling_encoder("byte_bpe_multi_50k"), "query: ").write.parquet(store)
+    return dense.remaining(own, spark.read.schema("lang string, qid string, vec array<float>").parquet(store), ["lang", "qid"]).select("lang", "qid")
 
 
 def x08_token_length(spark, d):

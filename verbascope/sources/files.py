@@ -87,6 +87,32 @@ def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
+def write_whole_texts(df: DataFrame, folder: str, name: str, text: str) -> int:
+    """Each row's `text` as a file of its own below `folder`, named by `name`; how many. A row without name or text is no file.
+
+    A file is put in place under its name when it is whole, so a task that is run again writes the same files.
+    """
+
+    def write(source):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        for batch in source:
+            for own, value in zip(*(c.to_pylist() for c in batch.columns)):
+                passing = f"{root}/.{uuid.uuid4().hex}"
+                with files.open_output_stream(passing) as out:
+                    out.write(value.encode())
+                files.move(passing, f"{root}/{own}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows = df.select(F.col(name).alias("name"), F.col(text).alias("text")).where("name is not null and text is not null")
+    return rows.mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def atom_entries(df: DataFrame, text: str) -> DataFrame:
     """(id, title, published, authors) of the entries of Atom feeds, one feed a row."""
     schema = "entry array<struct<id string, title string, published string, author array<struct<name string>>>>"
