@@ -16,6 +16,8 @@ from ..sources.tables import table
 from .evaluation import FIRST, SECOND
 
 RESAMPLES, SEED = 10_000, 20250317
+#: Names under which the experiments of words and runs of 4, and of other lengths, are stored.
+EXPERIMENT, SWEEP = "EXP-004", "EXP-013"
 #: Languages left out of each pooled subset.
 SUBSETS = {"all": (), "without zh": ("zh",), "without zh, ko, ja": ("zh", "ko", "ja")}
 #: The registry of encoders: key, prefixes, tokeniser family, declared languages, languages it lacks (null: not known), task.
@@ -163,10 +165,10 @@ def pr07_coverage(spark, d):
 
 
 def v07_flagged(spark, d):
-    """Mean nDCG@10 of the dense system by language, with the coverage of its encoder."""
+    """Mean nDCG@10 of the dense system by language, with the coverage that each encoder would declare."""
     own = C.scores(spark, d).where(F.col("sys_name") == SECOND).groupBy("lang").agg(rounded(F.avg("ndcg10"), 6).alias("ndcg10"))
     support = ~F.array_contains("missing", F.col("lang"))
-    return with_encoders(own, "E5").select("lang", "ndcg10", support.alias("declares_support"), (~support).alias("coverage_confounded"))
+    return with_encoders(own).select("lang", "key", "ndcg10", support.alias("declares_support"), (~support).alias("coverage_confounded"))
 
 
 def pr09_unsegmented(spark, d):
@@ -174,14 +176,14 @@ def pr09_unsegmented(spark, d):
 
 
 def pr10_prefixes(spark, d):
-    """Each query as the encoders with a prefix see it, and without."""
-    return with_encoders(C.topics(spark, d), "E5", "LaBSE").select("lang", "qid", "key", F.concat("query_prefix", "text").alias("input"), (F.col("query_prefix") != "").alias("changed"))
+    """Each query as each encoder sees it, with its prefix or without one."""
+    return with_encoders(C.topics(spark, d)).select("lang", "qid", "key", F.concat("query_prefix", "text").alias("input"), (F.col("query_prefix") != "").alias("changed"))
 
 
 def pr11_experiments(spark, d):
     """Names of the lexical experiments by configuration."""
     own = spark.createDataFrame([("word", None), ("char", 2), ("char", 3), ("char", 4), ("char", 5)], "tok string, n int")
-    return own.select("tok", "n", F.when((F.col("tok") == "word") | (F.col("n") == 4), F.concat(F.lit("EXP-004-bm25-"), "tok")).otherwise(F.concat(F.lit("EXP-013-bm25-"), "tok", F.lit("-n"), F.col("n").cast("string"))).alias("experiment"))
+    return own.select("tok", "n", F.when((F.col("tok") == "word") | (F.col("n") == 4), F.concat(F.lit(f"{EXPERIMENT}-bm25-"), "tok")).otherwise(F.concat(F.lit(f"{SWEEP}-bm25-"), "tok", F.lit("-n"), F.col("n").cast("string"))).alias("experiment"))
 
 
 def _passage_texts(spark, d):
@@ -256,7 +258,7 @@ def g02_scatter(spark, d):
     """What figure 1 shows: log10 of the size against the difference, with intervals and coverage."""
     support = ~F.array_contains("missing", F.col("lang"))
     sized = g01_report(spark, d).join(_resource(spark, d).where("mb is not null").select("lang", "mb"), "lang")
-    return with_encoders(sized, "E5").select("lang", rounded(F.log10("mb"), 6).alias("log10_mb"), "diff", "low", "high", support.alias("supported"))
+    return with_encoders(sized).select("lang", "key", rounded(F.log10("mb"), 6).alias("log10_mb"), "diff", "low", "high", support.alias("supported"))
 
 
 def g03_stacked(spark, d):
@@ -337,8 +339,8 @@ SQL = {
     "pr08_subsets": f"{_SUBSETS} select subset, count(*) as k from parts group by 1",
     "pr07_coverage": f"with {_ENCODERS} select lang, key, not list_contains(missing, lang) as declares_support from (select distinct lang from resource_proxy), encoders",
     "pr09_unsegmented": f"select distinct lang, lang in {X.UNSEGMENTED} as unsegmented, case when lang in {X.UNSEGMENTED} then 'words are not between blanks' end as warning from resource_proxy",
-    "pr10_prefixes": f"with {C.CTES}, {_ENCODERS} select lang, qid, key, query_prefix || text as input, query_prefix <> '' as changed from topics, encoders where key in ('E5', 'LaBSE')",
-    "pr11_experiments": "select tok, n, case when tok = 'word' or n = 4 then 'EXP-004-bm25-' || tok else 'EXP-013-bm25-' || tok || '-n' || n end as experiment from (values ('word', null::int), ('char', 2), ('char', 3), ('char', 4), ('char', 5)) t(tok, n)",
+    "pr10_prefixes": f"with {C.CTES}, {_ENCODERS} select lang, qid, key, query_prefix || text as input, query_prefix <> '' as changed from topics, encoders",
+    "pr11_experiments": f"select tok, n, case when tok = 'word' or n = 4 then '{EXPERIMENT}-bm25-' || tok else '{SWEEP}-bm25-' || tok || '-n' || n end as experiment from (values ('word', null::int), ('char', 2), ('char', 3), ('char', 4), ('char', 5)) t(tok, n)",
     "w04_ranks": f"{_COVARIATES} select lang, mb, rank() over (order by mb) + (count(*) over (partition by mb) - 1) / 2 as rank from covariates where mb is not null",
     "t06_spearman": f"{_COVARIATES}, {_ranks(_FOUR)} select count(*) as n, " + ", ".join(f"round(corr({x}, {y}), 6) as rho_{x}_{y}" for i, x in enumerate(_FOUR) for y in _FOUR[i + 1 :]) + " from ranks",
     "t07_partial": f"{_THREE} select n, round({_PARTIAL.format('x', 'y', 'z')}, 6) as ndcg_mb_given_per_char, round({_PARTIAL.format('y', 'x', 'z')}, 6) as ndcg_per_char_given_mb from rho",
@@ -350,14 +352,14 @@ SQL = {
     "f07_log_sizes": f"with {_RESOURCE} select lang, round(log10(mb), 6) as log10_mb from resource where mb is not null",
     "a19_extremes": f"with {_RESOURCE} select max(mb) as max_mb, min(mb) as min_mb, arg_max(lang, (mb, lang)) as largest, arg_min(lang, (mb, lang)) as smallest, round(max(mb) / min(mb), 3) as spread from resource where mb is not null",
     "a20_vocabularies": f"select task, list_sort(list(distinct size::int)) as sizes, count(*) as n_models from (values {', '.join(map(str, VOCABULARIES))}) t(task, size) group by 1",
-    "v07_flagged": f"with {C.CTES}, {_ENCODERS} select lang, round(avg(ndcg10), 6) as ndcg10, not any_value(list_contains(missing, lang)) as declares_support, any_value(list_contains(missing, lang)) as coverage_confounded from scores, encoders where sys_name = '{SECOND}' and key = 'E5' group by lang",
+    "v07_flagged": f"with {C.CTES}, {_ENCODERS} select lang, key, round(avg(ndcg10), 6) as ndcg10, not any_value(list_contains(missing, lang)) as declares_support, any_value(list_contains(missing, lang)) as coverage_confounded from scores, encoders where sys_name = '{SECOND}' group by lang, key",
     "z01_lengths": f"with {C.CTES} {_measured('passages', 'lang', X.passage_text_sql())}",
     "z02_length_ratios": f"with {C.CTES}, m as ({_measured('topics', 'lang', 'text')}) select lang, family, fertility, single_rate, tokens_per_char from m",
     "z03_length_validity": f"with {C.CTES}, m as ({_measured('topics', 'lang', 'text')}) select lang, fertility, lang not in {X.UNSEGMENTED} as word_measure_valid from m where family = 'char4'",
     "a15_outcome_profile": f"{_PROFILE} select lang, outcome, count(*) as n, round(avg(n_words), 3) as mean_words, round(avg(n_chars), 3) as mean_chars, round(avg(n_positives), 3) as mean_positives from outcomes left join shaped using (lang, qid) group by all",
     "z04_query_lengths": f"{_PROFILE} select lang, outcome, round(avg(per_word), 3) as mean_tokens_per_word from outcomes left join shaped using (lang, qid) group by all",
     "g01_report": f"{_REPORT} select * from report",
-    "g02_scatter": f"{_REPORT}, {_ENCODERS} select lang, round(log10(mb), 6) as log10_mb, diff, low, high, not list_contains(missing, lang) as supported from report join (select lang, mb from resource where mb is not null) using (lang), encoders where key = 'E5'",
+    "g02_scatter": f"{_REPORT}, {_ENCODERS} select lang, key, round(log10(mb), 6) as log10_mb, diff, low, high, not list_contains(missing, lang) as supported from report join (select lang, mb from resource where mb is not null) using (lang), encoders",
     "g03_stacked": f"{_CATS}, r as (select sys_name, lang, {_RATES} from cats where sys_name in ('{FIRST}', '{SECOND}') group by all), o as (select lang, row_number() over (order by rate_total_miss desc, lang) as place from r where sys_name = '{FIRST}') select place, lang, sys_name, {', '.join(f'rate_{c}' for c in L.CATEGORIES)} from r join o using (lang)",
     "j10_joined": f"{_PAIRS}, {_RESOURCE}, e as (select lang, round(avg(b.unjudged10 - a.unjudged10), 3) as difference from a join b using (lang, qid) where a.unjudged10 is not null and b.unjudged10 is not null group by 1) select lang, f as bm25_char4, s as dense_small, difference, mb from (select lang, round(avg(ndcg10), 6) f from a group by 1) join (select lang, round(avg(ndcg10), 6) s from b group by 1) using (lang) join e using (lang) join resource using (lang)",
 }

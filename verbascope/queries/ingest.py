@@ -52,9 +52,9 @@ def s04_volume(spark, d):
 
 
 def s06_topics_file(spark, d):
-    """Every topic of one line written as TSV and read again."""
+    """Every topic written as TSV, tabs and line ends as blanks, and read again."""
     path = _folder(spark)
-    own = C.topics(spark, d).where(~F.col("text").rlike(r"[\r\n\t]"))
+    own = C.topics(spark, d).withColumn("text", F.trim(F.regexp_replace("text", r"[\r\n\t]+", " ")))
     I.write_topics(own.select(F.concat_ws("/", "lang", "qid").alias("qid"), "text"), path)
     return I.read_topics(spark, path)
 
@@ -82,7 +82,7 @@ def s09_artifacts(spark, d):
     """Stored scores written as JSON with provenance and read by one schema, with the file's language."""
     path = _folder(spark)
     own = C.scores(spark, d).select("sys_name", "lang", "qid", "ndcg10")
-    I.write_artifact(own, f"{path}/per_query", "EXP-004", "0" * 40)
+    I.write_artifact(own, f"{path}/per_query", EXPERIMENT, "0" * 40)
     schema = T.StructType([T.StructField("sys_name", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("qid", T.StringType()), T.StructField("ndcg10", T.DoubleType()), T.StructField("unjudged10", T.IntegerType()), T.StructField("experiment_id", T.StringType())])
     return I.read_artifacts(spark, path, schema).select("sys_name", "lang", "qid", "ndcg10", "unjudged10", "experiment_id")
 
@@ -272,6 +272,8 @@ def k07_languages(spark, d):
 
 # audits
 
+#: The name under which stored scores are written.
+EXPERIMENT = "EXP-004"
 #: Required and forbidden wording of queries.
 REQUIRED, FORBIDDEN = {"ends with a question mark": r"[?？؟]\s*\z"}, {"names no year": r"\b(1[5-9]|20)[0-9]{2}\b"}
 
@@ -368,10 +370,10 @@ def _shown(x: str) -> str:
 
 SQL = {
     "s05_corpus_file": f"with {_B} select lang || '/' || docid as docid, coalesce(title, '') as title, coalesce(text, '') as text from passages",
-    "s06_topics_file": f"with {_B} select lang || '/' || qid as qid, text from topics where not regexp_matches(text, '[\\r\\n\\t]')",
+    "s06_topics_file": f"with {_B} select lang || '/' || qid as qid, trim(regexp_replace(text, '[\\r\\n\\t]+', ' ', 'g'), ' ') as text from topics",
     "s07_judgments_file": f"with {_B} select lang || '/' || qid as qid, docid, rel from judgments semi join topics using (lang, qid)",
     "s08_language": f"with {_B} select lang, docid, {X.passage_text_sql()} as text from passages where lang = 'sw'",
-    "s09_artifacts": f"with {_B} select sys_name, lang, qid, ndcg10, null::int as unjudged10, 'EXP-004' as experiment_id from scores",
+    "s09_artifacts": f"with {_B} select sys_name, lang, qid, ndcg10, null::int as unjudged10, '{EXPERIMENT}' as experiment_id from scores",
     "s09_language_map": f"with {_B} select lang, round(avg(ndcg10), 6) as ndcg10, count(*) as n from scores where sys_name is not null group by sys_name, lang",
     "s10_languages_of_files": f"with {_B} select distinct 'per_query_' || lang || '.json' as path, lang from scores",
     "s14_whole_texts": "select doc_id, length(text) as n_chars from documents where text <> ''",
