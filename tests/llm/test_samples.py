@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from verbascope.llm import queries, reservoir, stable_sample
+from verbascope.operators.sampling import sorted_digest
+from verbascope.plans.store import finished
 
 
 @pytest.mark.parametrize("buffer", [1, 3, 10])
@@ -116,13 +118,13 @@ def test_stable_sample(spark):
 def test_fingerprints(spark):
     rows = [("a", "1#2"), ("a", "1#10"), ("b", "ü"), (None, "x"), ("c", None)]
     df = spark.createDataFrame(rows, "g string, k string")
-    got = {r.g: (r.n_keys, r.sha256) for r in stable_sample.sorted_digest(df.repartition(3), "g", "k").collect()}
+    got = {r.g: (r.n_keys, r.sha256) for r in sorted_digest(df.repartition(3), "g", "k").collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got == {"a": (2, sha("1#10\n1#2")), "b": (1, sha("ü"))}
     own = stable_sample.fingerprint(df.where("k is not null"), ["g"], "k")
     assert own.collect() and sorted(map(tuple, own.collect()), key=str) == sorted(map(tuple, stable_sample.fingerprint(df.where("k is not null").repartition(4), ["g"], "k").collect()), key=str)
     assert {r.g: r.fingerprint for r in own.collect()}["b"] == sha("ü")
-    assert stable_sample.sorted_digest(df.limit(0), "g", "k").count() == 0
+    assert sorted_digest(df.limit(0), "g", "k").count() == 0
 
 
 def test_registered_sample_uses_files_in_the_shared_folder(spark, monkeypatch):
@@ -156,8 +158,8 @@ def test_rules_are_kept(spark, tmp_path):
     assert rules(("en", 1, 10), ("yo", None, 5), (None, 3, 5)) == {("en", 1, 10)}
     assert rules(("en", 2, 5), ("yo", 7, 5)) == {("en", 1, 10), ("yo", 7, 5)}  # another seed and a lower rate change nothing, a seed that is filled in is new
     assert rules(("en", 9, 30)) == {("en", 1, 30), ("yo", 7, 5)}
-    n = len(stable_sample.stored_versions(spark, folder))
-    assert rules(("en", 9, 20)) == {("en", 1, 30), ("yo", 7, 5)} and len(stable_sample.stored_versions(spark, folder)) == n == 3
+    n = len(finished(spark, folder))
+    assert rules(("en", 9, 20)) == {("en", 1, 30), ("yo", 7, 5)} and len(finished(spark, folder)) == n == 3
     (tmp_path / "rules" / "v00000009").mkdir()  # a version that was never finished
     assert rules() == {("en", 1, 30), ("yo", 7, 5)}
 

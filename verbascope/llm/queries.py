@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import clean_key, clean_key_sql, page_of
+from ..operators.sampling import sorted_digest
 from ..plans.materialise import shared_folder
 from ..sources.tables import table
 from . import bpe, budget, lookalike, packing, reservoir, stable_sample, subjects
@@ -36,6 +37,11 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     return reservoir.fetch(chosen, texts, "rec_id").select("lang", "docid", "text")
 
 
+def p1_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """How many passages of each language the sample holds, each of them once."""
+    return p1_sample(spark, d).groupBy("lang").agg(F.countDistinct("docid").alias("n_sampled"), F.count(F.lit(1)).alias("n_rows"))
+
+
 # 2: one form for what looks the same
 
 LOOKS = {0: ("subcorpus", "text"), 1: ("subcorpus", "title"), 2: ("queries", "text")}
@@ -103,7 +109,7 @@ def p4_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_builds(spark: SparkSession, d: str) -> DataFrame:
     """Each build's docids, as the manifest's fingerprint has them, and whether that fingerprint is up to date."""
-    own = stable_sample.sorted_digest(_docids(spark, d).select("build_id", "docid").distinct(), "build_id", "docid")
+    own = sorted_digest(_docids(spark, d).select("build_id", "docid").distinct(), "build_id", "docid")
     return table(spark, d, "metrics").select("build_id", "docid_sha256").join(own, "build_id", "left").select(
         "build_id", F.coalesce("n_keys", F.lit(0)).alias("n_docids"), "sha256", F.coalesce(F.col("sha256") == F.col("docid_sha256"), F.lit(False)).alias("up_to_date")
     )
@@ -130,6 +136,11 @@ def p5_budget(spark: SparkSession, d: str) -> DataFrame:
     return totals.join(sizes, "build_id", "left")
 
 
+def p5_slices(spark: SparkSession, d: str) -> DataFrame:
+    """The texts, and the distinct ones, of which the totals are."""
+    return p5_budget(spark, d).select("tab", "source", "lang", "text_domain", "build_id", "n_texts", "n_distinct", "n_docs_per_language")
+
+
 def p5_tokens(spark: SparkSession, d: str) -> DataFrame:
     return budget.token_counts(_documents(spark, d).unionByName(_deliveries(spark, d)), ["tab", "row_id"], "text")
 
@@ -160,6 +171,12 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(own, "doc_id", "lang", "text", CAPACITY)
 
 
+def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each document is in the containers from its first token on without a gap, and whether it had any."""
+    own = p7_containers(spark, d).groupBy("doc_id").agg(F.max(F.col("first_token") + F.col("n_tokens")).alias("ends"), F.sum("n_tokens").alias("held"), F.count("container").alias("n_containers"))
+    return own.select("doc_id", (F.col("ends") == F.col("held")).alias("whole"), (F.col("n_containers") == 0).alias("empty"))
+
+
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     """How full the containers are, by tenths of the capacity, and how their texts came there: seeds, neighbours with their mean rank, gaps."""
     how = lambda x: F.count_if(F.col("placed") == x)
@@ -194,7 +211,7 @@ def p8_corpus(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy("subject", "lang").agg(F.count_if(F.col("n_treating") > F.col("n_sentences") * subjects.SHARE).alias("n_documents"), F.sum("n_treating").alias("n_sentences"))
 
 
-QUERIES = {q.__name__: q for q in (p1_sample, p2_found, p2_classes, p2_queries, p2_texts, p2_titles, p4_sample, p4_fingerprints, p4_builds, p5_budget, p5_tokens, p5_languages, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_corpus)}
+QUERIES = {q.__name__: q for q in (p1_sample, p1_sizes, p2_found, p2_classes, p2_queries, p2_texts, p2_titles, p4_sample, p4_fingerprints, p4_builds, p5_budget, p5_slices, p5_tokens, p5_languages, p6_ids, p6_decoded, p7_containers, p7_coverage, p7_fill, p8_found, p8_corpus)}
 
 _SAMPLE_SQL = f"""
   salts as (select lang, arg_min(seed, struct_pack(b := built_utc, i := build_id)) salt from metrics where seed is not null group by lang),
@@ -210,5 +227,10 @@ SQL = {
     "p4_builds": f"""with docids as (select distinct build_id, {clean_key_sql('docid')} docid from subcorpus),
       own as (select build_id, count(*) n, sha256(string_agg(docid, chr(10) order by docid)) h from docids where docid is not null group by 1)
       select build_id, coalesce(n, 0) as n_docids, h as sha256, coalesce(h = docid_sha256, false) as up_to_date from metrics left join own using (build_id)""",
+    "p1_sizes": f"select lang, least(count(distinct docid), {SAMPLE_SIZE}) as n_sampled, least(count(distinct docid), {SAMPLE_SIZE}) as n_rows from (select lang, {clean_key_sql('docid')} docid from subcorpus) where lang is not null and docid is not null group by lang",
+    "p5_slices": f"""with both_tables as (select 'documents' as tab, source, lang, text_domain, null::varchar as build_id, text from documents union all select 'subcorpus', null, lang, null, build_id, text from subcorpus),
+      plain as (select tab, source, nullif(lower(string_split(trim(lang, ' '), '-')[1]), '') as lang, nullif(lower(regexp_replace(text_domain, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), '') as text_domain, build_id, text from both_tables)
+      select tab, source, p.lang, text_domain, p.build_id, count(*) as n_texts, count(distinct nullif(text, '')) as n_distinct, any_value(n_docs_per_language) as n_docs_per_language from plain p left join metrics m on p.build_id = m.build_id group by all""",
+    "p7_coverage": "select doc_id, true as whole, coalesce(text, '') = '' as empty from documents",
     "p6_decoded": "select doc_id, coalesce(text, '') as text from documents",
 }

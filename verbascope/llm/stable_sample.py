@@ -9,10 +9,11 @@ raise thresholds, and change nothing else.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialise import counted_side
+from ..plans.store import finished, next_part
 
 #: Hashes are the first 60 bits of a SHA-256.
 SPACE = 1 << 60
@@ -29,13 +30,6 @@ def threshold(rate: Column) -> Column:
     return F.floor(F.least(F.greatest(rate, F.lit(0.0)), F.lit(1.0)) * F.lit(float(SPACE))).cast("bigint")
 
 
-def stored_versions(spark: SparkSession, folder: str) -> list[str]:
-    """The finished versions of the rules below `folder`, the latest last."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v*/_SUCCESS")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    return sorted(f.getPath().getParent().toString() for f in found)
-
-
 def rules_in_force(wanted: DataFrame, stratum: str, folder: str) -> DataFrame:
     """(stratum, salt, threshold): the rules stored in `folder`, with new strata of `wanted` and its higher thresholds.
 
@@ -45,15 +39,15 @@ def rules_in_force(wanted: DataFrame, stratum: str, folder: str) -> DataFrame:
     """
     spark = wanted.sparkSession
     new = wanted.select(stratum, "salt", "threshold").dropna()
-    versions = stored_versions(spark, folder)
+    versions = finished(spark, folder)
     if versions:
         old = spark.read.parquet(versions[-1])
         both = old.withColumnsRenamed({"salt": "old_salt", "threshold": "old_threshold"}).join(new, stratum, "full_outer")
         new = both.select(stratum, F.coalesce("old_salt", "salt").alias("salt"), F.greatest("old_threshold", "threshold").alias("threshold"))
         if new.exceptAll(old).isEmpty():
             return old
-    latest = f"{folder}/v{len(versions):08d}"
-    new.write.parquet(latest)
+    latest = next_part(spark, folder)
+    new.write.mode("overwrite").parquet(latest)
     return spark.read.parquet(latest)
 
 
@@ -80,35 +74,3 @@ def fingerprint(distinct: DataFrame, by: list[str], key: str) -> DataFrame:
     sums = [F.sum(part(i)).alias(f"s{i}") for i in range(8)]
     text = F.concat_ws("", *(F.lpad(F.lower(F.hex(F.pmod(F.col(f"s{i}"), F.lit(1 << 32)))), 8, "0") for i in range(8)))
     return distinct.groupBy(*by).agg(F.count(F.lit(1)).alias("n_keys"), *sums).select(*by, "n_keys", text.alias("fingerprint"))
-
-
-def sorted_digest(distinct: DataFrame, by: str, key: str) -> DataFrame:
-    """(by, n_keys, sha256) with the SHA-256 of each group's keys, sorted and joined by line feeds.
-
-    Such a digest takes its keys one after the other. Each group passes through one task, sorted by Spark and
-    hashed row by row; no group is held in memory. Null groups and keys have no digest.
-    """
-
-    def batches(source):
-        import hashlib
-
-        import pyarrow as pa
-
-        group, digest, n, found = None, None, 0, []
-        for batch in source:
-            for own, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if own != group:
-                    if digest is not None:
-                        found.append((group, n, digest.hexdigest()))
-                    group, digest, n = own, hashlib.sha256(), 0
-                else:
-                    digest.update(b"\n")
-                digest.update(value.encode())
-                n += 1
-        if digest is not None:
-            found.append((group, n, digest.hexdigest()))
-        columns = list(zip(*found)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=[by, "n_keys", "sha256"])
-
-    keys = distinct.select(F.col(by).cast("string").alias(by), F.col(key).cast("string").alias(key)).where(F.col(by).isNotNull() & F.col(key).isNotNull())
-    return keys.repartition(by).sortWithinPartitions(by, key).mapInArrow(batches, f"`{by}` string, n_keys bigint, sha256 string")
