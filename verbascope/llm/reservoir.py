@@ -215,7 +215,8 @@ def shard_samples(df: DataFrame, stratum: str, key: str, size: int, seed: int, b
 def fixed_size_sample(df: DataFrame, stratum: str, key: str, size: int, seed: int = 0, buffer: int = 4096, folder: str | None = None, shards: int | None = None) -> DataFrame:
     """(stratum, key) of `size` rows of each stratum, every row equally likely; all rows of a smaller stratum.
 
-    Rows with a null stratum or key are not sampled; repeated rows count as often as they occur. A task keeps
+    Rows with a null stratum or key are not sampled; repeated rows count as often as they occur, and those of one
+    key pass through one task, so keys that repeat much should be merged first. A task keeps
     `size` keys of one stratum, in `folder` (a URI that all executors share, by default the checkpoint
     folder) beyond `buffer` of them. The same rows, seed and number of `shards` (by default the session's
     shuffle partitions) give the same sample, whatever the order and partitioning of `df`.

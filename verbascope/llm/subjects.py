@@ -27,7 +27,7 @@ from .lookalike import normal_form
 #: Labelled documents a language on which the embedding is fitted. Their terms are the vocabulary, all of them.
 FIT_DOCUMENTS = 1500
 #: Languages that can have a model, subjects, and terms of the vocabulary; more are an error.
-MOST_LANGUAGES, MOST_TERMS = 200, 5_000_000
+MOST_LANGUAGES, MOST_TERMS = 200, 2_000_000
 #: Documents of the language, labelled or not, that must have a term for it to be weighted; dimensions of the embedding; rounds of refinement.
 LEAST_DOCUMENTS, DIMENSIONS, ROUNDS = 3, 32, 6
 #: Share of its sentences beyond which a document has a subject.
