@@ -34,15 +34,18 @@ def bootstrap_means(differences: DataFrame, by: list[str], key: list[str], resam
     """
     lot = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in (*by, *key)), F.col("block").cast("string")))
     blocks = -(-resamples // WEIGHTS_PER_HASH)
-    hashed = differences.where("diff is not null").select(*by, F.round(F.col("diff") * 1e6).cast("bigint").alias("d"), *key).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    session = differences.sparkSession
+    parts = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    rows = differences.where("diff is not null").select(*by, F.round(F.col("diff") * 1e6).cast("bigint").alias("d"), *key).repartition(parts, *by, *key)  # few bytes, much work a row
+    hashed = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     hashed = hashed.select(*by, "d", "block", lot.alias("lot"))
-    places = range(WEIGHTS_PER_HASH)
-    bits = [F.conv(F.substring("lot", 1 + 4 * j, 4), 16, 10).cast("int").alias(f"u{j}") for j in places]
-    weights = [reduce(lambda x, y: x + y, [(F.col(f"u{j}") >= s).cast("bigint") for s in WEIGHT_STEPS]).alias(f"w{j}") for j in places]
-    weighed = hashed.select(*by, "d", "block", *bits).select(*by, "d", "block", *weights)
-    sums = weighed.groupBy(*by, "block").agg(*(F.sum(f"w{j}").alias(f"n{j}") for j in places), *(F.sum(F.col(f"w{j}") * F.col("d")).alias(f"s{j}") for j in places))
-    each = [F.struct((F.col("block") * WEIGHTS_PER_HASH + j + 1).alias("b"), F.try_divide(F.col(f"s{j}") / 1e6, F.col(f"n{j}")).alias("mean")) for j in places]
-    return sums.select(*by, F.inline(F.array(*each))).where((F.col("b") <= resamples) & F.col("mean").isNotNull())
+    bits = F.posexplode(F.array(*(F.substring("lot", 1 + 4 * j, 4) for j in range(WEIGHTS_PER_HASH)))).alias("j", "bits")
+    each = hashed.select(*by, "d", "block", bits).select(*by, "d", (F.col("block") * WEIGHTS_PER_HASH + F.col("j") + 1).alias("b"), "bits")
+    steps = [f"{s:04x}" for s in WEIGHT_STEPS]  # hexadecimal digits of one length have the order of their numbers
+    weight = reduce(lambda found, k: found.when(F.col("bits") < steps[k], k), range(1, len(steps)), F.when(F.col("bits") < steps[0], 0)).otherwise(len(steps))
+    weighed = each.select(*by, "d", "b", weight.cast("bigint").alias("w")).where("w > 0")
+    sums = weighed.groupBy(*by, "b").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("d")).alias("s"))
+    return sums.where(F.col("b") <= resamples).select(*by, "b", (F.col("s") / 1e6 / F.col("n")).alias("mean"))
 
 
 def paired_bootstrap(differences: DataFrame, by: list[str], key: list[str], resamples: int = 10_000, seed: int = 20250317) -> DataFrame:
