@@ -97,6 +97,26 @@ def test_fetch_retries():
         fetch.fetch("u", retries=1, opener=lambda *a, **k: Answer(b"", "1"), sleep=pauses.append)
 
 
+def test_fetch_json_and_rows(tmp_path):
+    quiet = {"retries": 1, "sleep": lambda s: None}
+    give = lambda body: (lambda url, timeout: Answer(body, str(len(body))))
+    assert fetch.fetch_json("u", opener=give(b'[{"type": "file", "size": 3}]'), **quiet) == [{"type": "file", "size": 3}]
+    assert fetch.fetch_rows("u", 2, opener=give(b"q1\ttext\r\nq2\n\xff\tx\n"), **quiet) == [["q1", "text"], ["\ufffd", "x"]]
+
+    def down(url, timeout):
+        raise urllib.error.URLError("down")
+
+    assert fetch.fetch_rows("u", opener=down, **quiet) is None
+
+
+def test_reference_check(spark):
+    entries = spark.createDataFrame([("a", "B title", "2023-01-01", ["x", "y"]), ("a", "A title", "2022-01-01", ["x"]), ("z", "unused", "2020", [])], "id string, title string, published string, authors array<string>")
+    cited = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "id string")
+    got = {tuple(r) for r in A.reference_check(cited, entries).collect()}
+    assert got == {("a", "VERIFIED", "A title", "2022", 1), ("b", "NOT_FOUND", None, None, None)}
+    assert A.reference_check(cited.limit(0), entries).count() == 0 and A.reference_check(cited, entries.limit(0)).count() == 2
+
+
 def test_http_lines(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo\n")
     spark.dataSource.register(fetch.HttpLines)

@@ -128,3 +128,13 @@ def bibtex(entries: DataFrame) -> DataFrame:
     """(entry, text): each entry (entry, kind, fields map) as BibTeX, fields in order of their names."""
     lines = F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(F.lit("  "), e["key"], F.lit(" = {"), e["value"], F.lit("}")))
     return entries.select("entry", F.concat(F.lit("@"), F.col("kind"), F.lit("{"), F.col("entry"), F.lit(",\n"), F.array_join(lines, ",\n"), F.lit("\n}")).alias("text"))
+
+
+def reference_check(cited: DataFrame, entries: DataFrame) -> DataFrame:
+    """(id, status, title, year, n_authors) of every cited id (id), by entries (id, title, published, authors): VERIFIED, or NOT_FOUND with nulls.
+
+    An id that is cited often is one row; of entries with one id, the one whose title comes first counts.
+    """
+    known = entries.groupBy("id").agg(F.min(F.struct("title", F.substring("published", 1, 4).alias("year"), F.size("authors").alias("n_authors"))).alias("e"))
+    status = F.when(F.col("e").isNull(), "NOT_FOUND").otherwise("VERIFIED").alias("status")
+    return cited.select("id").where("id is not null").distinct().join(known, "id", "left").select("id", status, "e.title", "e.year", F.col("e.n_authors").cast("bigint").alias("n_authors"))

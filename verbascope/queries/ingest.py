@@ -328,6 +328,20 @@ def f15_context(spark, d):
     return table(spark, d, "documents").where("text like '%kernel%'").select("doc_id", A.context(F.col("text"), "kernel", 20).alias("around"))
 
 
+def q04_references(spark, d):
+    """Judged passages checked against an Atom feed that has an entry for each passage there is: title, year and authors."""
+    own = table(spark, d, "subcorpus").select("lang", clean_key(F.col("docid")).alias("docid"), "title", "text", "received_at", "rec_id")
+    own = C.latest(own.withColumn("published", F.date_format("received_at", "yyyy-MM-dd")), ["lang", "docid"], ["received_at", "rec_id"])
+    escaped = F.regexp_replace(F.coalesce("title", F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    for plain, shown in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(plain), F.lit(shown))
+    second = F.when(F.length("text") > 0, F.lit("<author><name>Second</name></author>")).otherwise(F.lit(""))
+    feed = F.concat(F.lit("<feed><entry><id>http://feed/abs/"), "lang", F.lit(":"), "docid", F.lit("v2</id><title>"), escaped, F.lit("</title><published>"), "published", F.lit("</published><author><name>First</name></author>"), second, F.lit("</entry></feed>"))
+    entries = I.atom_entries(own.select(feed.alias("feed")), "feed")
+    cited = C.judgments(spark, d).select(F.concat_ws(":", "lang", "docid").alias("id"))
+    return A.reference_check(cited, entries.withColumn("title", F.coalesce("title", F.lit(""))))
+
+
 def q05_upgraded(spark, d):
     """Manifests as entries, those of later builds with a venue."""
     own = table(spark, d, "metrics").select(F.col("build_id").alias("entry"), F.lit("misc").alias("kind"), F.create_map(F.lit("language"), F.col("lang")).alias("fields"))
@@ -344,7 +358,7 @@ def f17_sha256(spark, d):
     return C.topics(spark, d).select("lang", "qid", F.sha2("text", 256).alias("sha256"))
 
 
-_Q = (f12_stripped, f17_sha256, s03_shards, s04_volume, s05_corpus_file, s06_topics_file, s07_judgments_file, s08_language, s09_artifacts, s09_language_map, s10_languages_of_files, s11_json_leaves, s12_embedding_store, s14_whole_texts, s16_judgments_content, s18_upsert, s20_bibtex, pr01_passage_text, pr02_arity, pr03_known_queries, pr04_passage_numbers, pr05_with_text, pr14_remaining, f16_titles, r01_queries, r02_others, r03_texts, r04_resamples, r04_resamples_full, u01_sub_corpus, a17_manifest, a16_digest, a03_judged, j01_judged_passages, j02_other_passages, j03_first_missing, u03_missing, k03_order, k07_languages, q01_numbers, f10_renderings, f11_numbers, q02_citations, u04_cited, f14_entries, q03_wording, f15_context, q05_upgraded)
+_Q = (f12_stripped, f17_sha256, s03_shards, s04_volume, s05_corpus_file, s06_topics_file, s07_judgments_file, s08_language, s09_artifacts, s09_language_map, s10_languages_of_files, s11_json_leaves, s12_embedding_store, s14_whole_texts, s16_judgments_content, s18_upsert, s20_bibtex, pr01_passage_text, pr02_arity, pr03_known_queries, pr04_passage_numbers, pr05_with_text, pr14_remaining, f16_titles, r01_queries, r02_others, r03_texts, r04_resamples, r04_resamples_full, u01_sub_corpus, a17_manifest, a16_digest, a03_judged, j01_judged_passages, j02_other_passages, j03_first_missing, u03_missing, k03_order, k07_languages, q01_numbers, f10_renderings, f11_numbers, q02_citations, u04_cited, f14_entries, q03_wording, q04_references, f15_context, q05_upgraded)
 QUERIES = {q.__name__: q for q in _Q}
 
 _LOT = "md5('{seed}:' || lang || ':' || {key})".replace("{seed}", str(SEED))
@@ -416,5 +430,8 @@ SQL = {
     "f14_entries": f"with {_B} select distinct docid as entry, 'misc' as kind from passages",
     "q03_wording": f"with {_B} select lang || '/' || qid as key, label, case label when 'ends with a question mark' then regexp_matches(text, '[?？؟]\\s*\\z') else not regexp_matches(text, '\\b(1[5-9]|20)[0-9]{{2}}\\b') end as passed from topics, (values ('ends with a question mark'), ('names no year')) l(label)",
     "f15_context": r"select doc_id, coalesce(regexp_extract(text, '.{0,20}\bkernel\b.{0,20}'), '') as around from documents where text like '%kernel%'",
+    "q04_references": rf"""with {_B}, entries as (select lang || ':' || docid id, trim(regexp_replace(regexp_replace(coalesce(title, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '\s+', ' ', 'g'), ' ') title, strftime(received_at, '%Y') as year, 1 + (coalesce(length(text), 0) > 0)::bigint n
+        from (select * replace ({clean_key_sql('docid')} as docid) from subcorpus) where lang is not null and docid is not null qualify row_number() over (partition by lang, docid order by received_at desc, rec_id desc) = 1)
+      select id, case when n is null then 'NOT_FOUND' else 'VERIFIED' end as status, title, year, n as n_authors from (select distinct lang || ':' || docid id from judgments) left join entries using (id)""",
     "q05_upgraded": "select build_id as entry, case when build_id like '%1' then 'inproceedings' else 'misc' end as kind, case when build_id like '%1' then 'Venue of ' || lang end as venue from metrics",
 }

@@ -25,6 +25,22 @@ def fetch(url: str, timeout: float = 120, retries: int = 4, pause: float = 3, op
     raise ValueError("retries must be positive")
 
 
+def fetch_json(url: str, **settings):
+    """The JSON behind `url`."""
+    import json
+
+    return json.loads(fetch(url, **settings).decode())
+
+
+def fetch_rows(url: str, least: int = 1, **settings) -> list[list[str]] | None:
+    """The rows of a TSV behind `url` that have at least `least` columns; None if it cannot be fetched. Bytes that are no UTF-8 are replaced."""
+    try:
+        text = fetch(url, **settings).decode(errors="replace")
+    except (OSError, ValueError):
+        return None
+    return [row for line in text.split("\n") if len(row := line.rstrip("\r").split("\t")) >= least and line]
+
+
 class HttpLines(DataSource):
     """Lines of text behind URLs (option `urls`, separated by blanks), gunzipped if they end in .gz."""
 
