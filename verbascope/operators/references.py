@@ -1,10 +1,10 @@
 """References to records that are not there, at the time they were made.
 
 A parent record is there at a time if the latest of its deliveries and removals up to that time is a
-delivery. The operator co-partitions references with the parents' events by (table, language, key, day),
-sorts each partition by time and merges both streams in one forward pass; a parent's state at the start of a
-day is carried over from the days before, of which only one row per key and day is kept. A key that holds a
-third of all rows is therefore spread over its days, and its days are summed up before they are shuffled.
+delivery. The operator co-partitions references with the parents' events by (table, language, key, hour),
+sorts each partition by time and merges both streams in one forward pass; a parent's state at the start of an
+hour is carried over from the hours before, of which only one row per key and hour is kept. A key that holds a
+third of all rows is therefore spread over its hours, and its hours are summed up before they are shuffled.
 """
 
 from __future__ import annotations
@@ -51,39 +51,39 @@ def resolve_references(refs: DataFrame, events: DataFrame) -> DataFrame:
     A delivery and a removal at the same instant count as a delivery; an event at the reference's own instant
     counts. Repeated rows of `refs` stay repeated; without events every dated reference is `missing`.
     """
-    day = F.to_date("at")
-    dated = refs.where("lang is not null and key is not null and at is not null").withColumn("day", day)
+    hour = F.date_trunc("hour", "at")
+    dated = refs.where("lang is not null and key is not null and at is not null").withColumn("hour", hour)
     rest = refs.where("lang is null or key is null or at is null")
 
-    by_day = (
-        events.withColumn("day", day)
-        .select(*PARENT, "day", "at", "present", F.lit(False).alias("asked"))
-        .unionByName(dated.select(*PARENT, "day", F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("int").alias("present"), F.lit(True).alias("asked")))
-        .groupBy(*PARENT, "day")
+    by_hour = (
+        events.withColumn("hour", hour)
+        .select(*PARENT, "hour", "at", "present", F.lit(False).alias("asked"))
+        .unionByName(dated.select(*PARENT, "hour", F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("int").alias("present"), F.lit(True).alias("asked")))
+        .groupBy(*PARENT, "hour")
         .agg(
             F.max(F.struct("at", "present")).alias("last"),
             F.min(F.when(F.col("present") == 1, F.col("at"))).alias("first_there"),
             F.max("asked").alias("asked"),
         )
     )
-    before = Window.partitionBy(*PARENT).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*PARENT).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        by_day.withColumn("carried", F.last("last.present", ignorenulls=True).over(before))
+        by_hour.withColumn("carried", F.last("last.present", ignorenulls=True).over(before))
         .withColumn("first_there", F.min("first_there").over(Window.partitionBy(*PARENT)))
         .where("asked")
-        .select(*PARENT, "day", "carried", "first_there")
+        .select(*PARENT, "hour", "carried", "first_there")
     )
 
-    # One stream per key and day: the carried state, then the day's events, then references of the same instant.
+    # One stream per key and hour: the carried state, then the hour's events, then references of the same instant.
     stream = (
-        carried.select(*PARENT, "day", F.col("day").cast("timestamp").alias("at"), F.lit(0).alias("turn"), F.coalesce("carried", F.lit(0)).alias("present"), "first_there", F.lit(None).cast(refs.schema["row_id"].dataType).alias("row_id"), F.lit(None).cast("string").alias("tab"))
+        carried.select(*PARENT, "hour", F.col("hour").alias("at"), F.lit(0).alias("turn"), F.coalesce("carried", F.lit(0)).alias("present"), "first_there", F.lit(None).cast(refs.schema["row_id"].dataType).alias("row_id"), F.lit(None).cast("string").alias("tab"))
         .unionByName(
-            events.withColumn("day", day).select(*PARENT, "day", "at", (1 + F.col("present")).alias("turn"), "present"),
+            events.withColumn("hour", hour).select(*PARENT, "hour", "at", (1 + F.col("present")).alias("turn"), "present"),
             allowMissingColumns=True,
         )
-        .unionByName(dated.select(*PARENT, "day", "at", F.lit(3).alias("turn"), "row_id", "tab"), allowMissingColumns=True)
+        .unionByName(dated.select(*PARENT, "hour", "at", F.lit(3).alias("turn"), "row_id", "tab"), allowMissingColumns=True)
     )
-    so_far = Window.partitionBy(*PARENT, "day").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy(*PARENT, "hour").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     merged = (
         stream.withColumn("there", F.last("present", ignorenulls=True).over(so_far))
         .withColumn("first_there", F.last("first_there", ignorenulls=True).over(so_far))
