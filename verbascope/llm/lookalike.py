@@ -156,6 +156,8 @@ def patterns():
         "joiners": re.compile(f"[{NON_JOINER}{JOINER}]+"),
         "cursive": regex.compile(r"[\p{Arabic}\p{Syriac}\p{Nko}\p{Mongolian}\p{Mandaic}\p{Adlam}]"),
         "yeh or kaf": re.compile("[\u064a\u0649\u06cc\u0643\u06a9]"),
+        "not Persian's": re.compile("[\u064a\u0649\u0643]"),
+        "not Arabic's": re.compile("[\u06cc\u06a9]"),
         "emoji": regex.compile(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}]"),
         "nikhahit": re.compile("\u0e4d([\u0e48-\u0e4b]?)\u0e32"),
         "foldable": re.compile("[" + "".join(re.escape(chr(x)) for x in folds() if x < 0x10000) + "]"),
@@ -245,15 +247,16 @@ def normal_form(text: str | None, lang: str | None) -> str | None:
         if use[f"other than {own}"].search(text):
             text = use["token"].sub(lambda m: consistent_token(m.group(), own), unicodedata.normalize("NFD", text))
         text = unicodedata.normalize("NFC", text)
-        if use["yeh or kaf"].search(text):
-            text = own_letters(text, lang in PERSIAN)
+        persian = lang in PERSIAN
+        if use["not Persian's" if persian else "not Arabic's"].search(text):
+            text = own_letters(text, persian)
     elif not text.isprintable():
         text = text.translate(folds())
         if own != "Latin":
             text = use["token"].sub(lambda m: consistent_token(m.group(), own), text)
     elif own != "Latin":
         text = use["token"].sub(lambda m: consistent_token(m.group(), own), text)
-    return use["blanks"].sub(" ", text).strip(" ")
+    return (use["blanks"].sub(" ", text) if "  " in text else text).strip(" ")
 
 
 def normal_forms(df: DataFrame, keys: list[str], lang: str, text: str) -> DataFrame:
