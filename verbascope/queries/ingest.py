@@ -74,8 +74,9 @@ def s16_judgments_content(spark, d):
 def s08_language(spark, d):
     """The passages of one language out of a corpus partitioned by language."""
     path = _folder(spark)
-    _sorted_passages(spark, d).write.partitionBy("lang").parquet(path)
-    return spark.read.parquet(path).where("lang = 'sw'").select("lang", "docid", X.passage_text(F.col("title"), F.col("text")).alias("text"))
+    own = _sorted_passages(spark, d)
+    own.write.partitionBy("lang").parquet(path)
+    return spark.read.schema(own.schema).parquet(path).where("lang = 'sw'").select("lang", "docid", X.passage_text(F.col("title"), F.col("text")).alias("text"))
 
 
 def s09_artifacts(spark, d):
@@ -110,8 +111,9 @@ def s10_languages_of_files(spark, d):
 def s12_embedding_store(spark, d):
     """Vectors written as parquet by label and read again."""
     path = _folder(spark)
-    table(spark, d, "embeddings").write.partitionBy("label").parquet(path)
-    own = spark.read.parquet(path)
+    stored = table(spark, d, "embeddings")
+    stored.write.partitionBy("label").parquet(path)
+    own = spark.read.schema(stored.schema).parquet(path)
     return own.select("vec_id", F.col("label").cast("int").alias("label"), rounded(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
 
 
