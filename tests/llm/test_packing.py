@@ -89,6 +89,19 @@ def test_routing(spark):
     assert len(by_bytes) > 40 and max(r.n for r in by_bytes) < 12_000
 
 
+def test_rarity_is_counted_over_all_texts(spark):
+    """Many texts, each counted for each of its classes of terms once, whether it is hashed here or was before."""
+    texts = [f"common common w{i % 7} once{i if i % 300 == 0 else ''}" for i in range(30_000)] + [""]
+    df = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)] + [(-1, "en", None)], "key bigint, group string, text string")
+    found = np.zeros(packing.ROUTING_CLASSES)
+    for t in texts:
+        found[list({int(h) % packing.ROUTING_CLASSES for h in packing.term_hashes(t).view(np.uint32)})] += 1
+    expected = np.log(30_001 / (found + 1))
+    assert found.max() == 30_000 and (found == 1).sum() > 90
+    assert np.allclose(packing.term_rarity(df), expected)
+    assert np.allclose(packing.term_rarity(packing.with_size(df, "byte_bpe_50k", TOKENIZER_FOLDER)), expected)
+
+
 def test_pack(spark):
     rng = random.Random(2)
     words = "river court striker kernel wage novel atom fever".split()

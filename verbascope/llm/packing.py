@@ -24,8 +24,8 @@ from .budget import counter
 SHARD_TEXTS, SHARD_BYTES = 4096, 16 << 20
 #: A container filled less than this is packed again with others of its kind.
 WELL_FILLED = 0.95
-#: Texts of all languages from which routing learns which terms are rare, and hash classes of terms that it counts.
-ROUTING_SAMPLE, ROUTING_CLASSES = 10_000, 1 << 16
+#: Hash classes of terms whose texts are counted, so that routing knows which terms are rare.
+ROUTING_CLASSES = 1 << 16
 #: Bits of a signature at most.
 MOST_BITS = 30
 K1, B = 1.5, 0.75
@@ -166,10 +166,12 @@ def signatures(bags: list, rarity):
     """MOST_BITS bits of each text, which texts with the same rare terms tend to share: each is the side on which the sum of the distinct terms' hashes, weighted by rarity, lies; as the place in a Gray code, so that neighbours differ in one bit. 0 without terms."""
     import numpy as np
 
-    found = [np.unique(b).view(np.uint32) for b in bags]
-    ends = np.cumsum([len(x) for x in found])
-    starts = ends - [len(x) for x in found]
-    hashes = np.concatenate([*found, np.zeros(0, np.uint32)]).astype(np.int64)
+    own = np.repeat(np.arange(len(bags)), np.array([len(b) for b in bags], int))
+    hashes = np.concatenate([*map(np.sort, bags), np.zeros(0, np.int32)])
+    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (own[1:] != own[:-1])])[: len(hashes)]
+    hashes, found = hashes[new].view(np.uint32).astype(np.int64), np.bincount(own[new], minlength=len(bags))
+    ends = np.cumsum(found)
+    starts = ends - found
     weights = rarity[hashes % ROUTING_CLASSES]
     places, bit = np.zeros(len(bags), np.int64), np.zeros(len(bags), bool)
     for k in range(MOST_BITS):
@@ -179,53 +181,75 @@ def signatures(bags: list, rarity):
     return places
 
 
+def bags_in(terms) -> list:
+    """The arrays of an Arrow array of lists without nulls."""
+    import numpy as np
+
+    ends = np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(terms.flatten().to_numpy(), ends[:-1]) if len(terms) else []
+
+
 def term_rarity(df: DataFrame):
-    """The weight of each hash class of terms, by how few texts of a sample of bounded size have one: log(n / found)."""
+    """The weight of each hash class of terms, by how few of all texts that have terms have one of it: log(n / found).
+
+    df: the texts, or what `with_size` made of them, so that no text is hashed again.
+    """
     import numpy as np
 
-    n = df.count()
-    share = min(1.0, ROUTING_SAMPLE / max(n, 1))
+    hashed = "terms" in df.columns
 
     def batches(source: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        found, n = np.zeros(ROUTING_CLASSES, np.int64), 0
+        found = np.zeros(ROUTING_CLASSES + 1, np.int64)  # the last place counts the texts
         for batch in source:
-            for text in batch.column(0).to_pylist():
-                n += 1
-                found[np.unique(term_hashes(text).view(np.uint32) % ROUTING_CLASSES)] += 1
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([found], pa.list_(pa.int64()))], names=["n", "found"])
-
-    chosen = df.where(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).where("text is not null")
-    counted = chosen.select("text").mapInArrow(batches, "n bigint, found array<bigint>")
-    parts = counted.select("n", F.posexplode("found").alias("place", "found")).where("found > 0").groupBy("place").agg(F.sum("found").alias("found"))
-    n, found = counted.agg(F.sum("n")).first()[0] or 0, np.zeros(ROUTING_CLASSES)
-    for r in parts.collect():  # at most ROUTING_CLASSES numbers
+            for bag in bags_in(batch.column(0)) if hashed else map(term_hashes, batch.column(0).to_pylist()):
+                found[bag.view(np.uint32) % ROUTING_CLASSES] += 1  # once, even if the class is there twice
+                found[-1] += len(bag) > 0
+        places = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(found[places])], names=["place", "found"])
+
+    column = "terms" if hashed else "text"
+    counted = df.where(F.col(column).isNotNull()).select(column).mapInArrow(batches, "place bigint, found bigint")
+    found = np.zeros(ROUTING_CLASSES + 1)
+    for r in counted.groupBy("place").agg(F.sum("found").alias("found")).collect():  # a number a class at most
         found[r.place] = r.found
-    return np.log((n + 1) / (found + 1))
+    return np.log((found[-1] + 1) / (found[:-1] + 1))
 
 
-def with_size(df: DataFrame, name: str, folder: str, rarity) -> DataFrame:
-    """(key, group, digest, n_tokens, terms, signature) of (key, group, text), in one narrow pass; no text leaves it."""
-    shared = df.sparkSession.sparkContext.broadcast(rarity)
+def with_size(df: DataFrame, name: str, folder: str, rarity=None) -> DataFrame:
+    """(key, group, digest, n_tokens, terms) of (key, group, text), in one narrow pass; no text leaves it. With `signature` if the rarity of terms is given."""
 
     def batches(source: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        count, rarity = counter(name, folder), shared.value
+        count = counter(name, folder)
         for batch in source:
             texts = batch.column(3).to_pylist()
             n = pa.array([count(t) if t else 0 for t in texts], pa.int64())
             bags = [term_hashes(t or "") for t in texts]
             ends = pa.array(np.cumsum([0, *map(len, bags)]), pa.int32())
             terms = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*bags, np.zeros(0, np.int32)])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], n, terms, pa.array(signatures(bags, rarity))], names=["key", "group", "digest", "n_tokens", "terms", "signature"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], n, terms], names=["key", "group", "digest", "n_tokens", "terms"])
 
     kind = df.schema["key"].dataType.simpleString()
-    return df.select("key", "group", F.xxhash64("text").alias("digest"), "text").mapInArrow(batches, f"key {kind}, group string, digest bigint, n_tokens bigint, terms array<int>, signature bigint")
+    sized = df.select("key", "group", F.xxhash64("text").alias("digest"), "text").mapInArrow(batches, f"key {kind}, group string, digest bigint, n_tokens bigint, terms array<int>")
+    return sized if rarity is None else with_signature(sized, rarity)
+
+
+def with_signature(sized: DataFrame, rarity) -> DataFrame:
+    """`sized` with `signature`, made anew wherever it is read, so that the terms are not stored twice."""
+    shared = sized.sparkSession.sparkContext.broadcast(rarity)
+
+    def signature(terms):
+        import pyarrow as pa
+
+        return pa.array(signatures(bags_in(terms), shared.value))
+
+    # Said to be nondeterministic so that no filter is pushed below it, which would make it twice.
+    return sized.withColumn("signature", F.arrow_udf(signature, "bigint").asNondeterministic()("terms"))
 
 
 def routed(sized: DataFrame, shard_texts: int, shard_bytes: int) -> DataFrame:
@@ -259,7 +283,8 @@ def pack(df: DataFrame, key: str, group: str, text: str, capacity: int, name: st
     """
     kind = df.schema[key].dataType.simpleString()
     rows = spread(df.select(F.col(key).alias("key"), F.coalesce(F.col(group), F.lit("")).alias("group"), F.col(text).alias("text")), "key")
-    sized = materialise(with_size(rows, name, folder, term_rarity(rows)))
+    sized = materialise(with_size(rows, name, folder))
+    sized = with_signature(sized, term_rarity(sized))
     schema = f"container string, key {kind}, piece int, first_token bigint, n_tokens bigint, placed string, rank int, terms array<int>"
     columns = ["container", "key", "piece", "first_token", "n_tokens", "placed", "rank"]
 
