@@ -96,6 +96,25 @@ def test_bm25_against_brute_force(spark, block, size, monkeypatch):
     assert bm25.run_bm25(corpus.limit(0), topics, "word", 5).count() == 0 and bm25.run_bm25(corpus, topics.limit(0), "word", 5).count() == 0
 
 
+def test_documents_are_encoded_once_for_many_queries(spark, monkeypatch):
+    """Queries of few distinct terms, however many they are, take one pass over the documents; parts of a language's queries give whole rankings."""
+    passes, encoded = [], bm25._encoded
+    monkeypatch.setattr(bm25, "BLOCK_TERMS", 50)
+    monkeypatch.setattr(bm25, "TASK_QUERIES", 7, raising=False)
+    monkeypatch.setattr(bm25, "CHUNK_DOCUMENTS", 20, raising=False)
+    monkeypatch.setattr(bm25, "_encoded", lambda *x, **y: passes.append(1) or encoded(*x, **y))
+    rng = random.Random(8)
+    vocabulary = "river court striker kernel wage delta".split()
+    docs = [("en", f"d{i:03}", " ".join(rng.choices(vocabulary, k=rng.randint(0, 9)))) for i in range(130)]
+    queries = [("en", f"q{i}", " ".join(rng.choices(vocabulary, k=rng.randint(0, 3)))) for i in range(60)]
+    corpus, topics = spark.createDataFrame(docs, "lang string, docid string, norm string").repartition(3), spark.createDataFrame(queries, "lang string, qid string, norm string")
+    got = {}
+    for r in sorted(bm25.run_bm25(corpus, topics, "word", 20).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.qid, []).append(r.docid)
+    expected = brute([(d, t.split()) for _, d, t in docs], [(q, t.split()) for _, q, t in queries], 0, 20)
+    assert got == {q: [d for _, d in rows] for q, rows in expected.items()} and len(passes) == 1
+
+
 def test_both_tokenisers_know_the_same_blanks(spark):
     """Words of Catalyst and of Python agree over every code point."""
     text = [f"a{chr(i)}b" for i in range(1, 0x110000) if not 0xD800 <= i <= 0xDFFF]

@@ -38,7 +38,11 @@ class Best:
         if not self.queries:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         q, d, s = np.concatenate(self.queries), np.concatenate(self.documents), np.concatenate(self.scores)
-        order = np.lexsort((d, -s, q))
+        order = np.argsort(-s)
+        same = s[order][1:] == s[order][:-1]
+        tied = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False)) if len(s) else order
+        order[tied] = order[tied][np.lexsort((d[order[tied]], -s[order[tied]]))]
+        order = order[np.argsort(q[order].astype(np.uint16) if len(self.bar) < 1 << 16 else q[order], kind="stable")]  # by counting, where numbers are short
         q, d, s = q[order], d[order], s[order]
         first = np.searchsorted(q, q, "left")
         place = np.arange(len(q)) - first

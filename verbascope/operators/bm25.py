@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import NUDGE, rounded
 from ..functions.text import python_tokeniser
-from ..plans.materialise import counted_side, materialise
+from ..plans.materialise import counted_side, materialise, passing_folder
 from .best import Best
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Places to which scores are rounded before they are ranked, so that ties are ties whatever the order of summing.
 PLACES = 6
-#: Query terms, and queries, of one block: what is broadcast at once.
-BLOCK_TERMS, BLOCK_QUERIES = 400_000, 25_000
+#: Distinct query terms of one block, about: what every task knows by name.
+BLOCK_TERMS = 400_000
+#: Queries of one task at most, about, and at least where a language has more tasks than one.
+TASK_QUERIES, LEAST_QUERIES = 4_000, 250
+#: Documents, and tokens, of one chunk, and distinct words that a task remembers the terms of, a language.
+CHUNK_DOCUMENTS, CHUNK_TOKENS, KEPT_WORDS = 2_000, 500_000, 100_000
 #: Scores of documents and queries that a task computes at a time, and products it adds up for them at a time.
 BATCH_SCORES, BATCH_PRODUCTS = 2_000_000, 2_000_000
+#: Cells of the matrix of common terms and queries at most, and the share of pairs of document and query that must have a term in common for it to be there.
+MATRIX_CELLS, DENSE_SHARE = 8_000_000, 0.002
 #: Distinct terms that a task counts before it hands the counts on, and terms of one row of counts.
 COUNTED_TERMS, ROW_TERMS = 500_000, 2_000
 
@@ -107,43 +116,43 @@ def run_bm25(corpus: DataFrame, topics: DataFrame, tokeniser: str | None = "char
     """(lang, qid, docid, score, rank): the best `depth` documents of each query's language, those of score 0 in docid order.
 
     corpus: (lang, docid, norm), one row a document; topics: (lang, qid, norm). Each document is tokenised once,
-    into the numbers of those of its terms that some query has; the same pass counts in how many documents
-    every term occurs. A block of weighted queries is then sent to the documents, and a task keeps the best
-    `depth` a query of all its documents; only scores above 0 leave it, and what a query lacks is filled up once.
-    Neither postings nor pairs of query and document are shuffled. More than BLOCK_TERMS terms or BLOCK_QUERIES
-    queries make further blocks, each with a pass of its own. Without `pad`, documents of score 0 have no rows.
-    Without `tokeniser`, languages are named `tokeniser/language`, so that several tokenisers share a run.
+    into the numbers of those of its terms that some query has, and written to the shared folder by language; the
+    same pass counts in how many documents every term occurs. A task then reads the documents of one language for
+    a part of its queries, so that rankings are whole when they leave it: neither postings, pairs of query and
+    document nor candidates are shuffled. More than about BLOCK_TERMS distinct terms make further blocks of
+    queries, each with a pass of its own. Without `pad`, documents of score 0 have no rows. Without `tokeniser`,
+    languages are named `tokeniser/language`, so that several tokenisers share a run.
     Null texts are empty; empty queries rank all documents at 0; languages without documents have no rows.
     """
     asked = materialise(_query_terms(topics, tokeniser))
-    sizes = {r.lang: r.n for r in topics.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_blocks = max(1, -(-asked.count() // BLOCK_TERMS), -(-sum(sizes.values()) // BLOCK_QUERIES))
+    sizes = {r.lang: r.n for r in asked.where("term is null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_blocks = max(1, -(-asked.where("term is not null").select("lang", "term").distinct().count() // BLOCK_TERMS))
     block_of = F.pmod(F.xxhash64("lang", "qid"), F.lit(n_blocks))
-    result = keys = None
+    result = None
     for block in range(n_blocks):  # the number of blocks follows the stated query set
         own = asked.where(block_of == block)
         numbers: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
-        for lang, term in zip(*(c.to_pylist() for c in own.select("lang", "term").distinct().toArrow().columns)):
+        for lang, term in zip(*(c.to_pylist() for c in own.where("term is not null").select("lang", "term").distinct().toArrow().columns)):
             numbers[lang][term] = len(numbers[lang])
-        encoded = materialise(_encoded(corpus, numbers, tokeniser, count=block == 0))
+        folder = passing_folder(corpus.sparkSession, "bm25")
+        _encoded(corpus, numbers, tokeniser, count=block == 0).write.partitionBy("language").parquet(folder)
         if block == 0:
-            keys = encoded.where("docid is not null").select("lang", "docid")
-            statistics, few = counted_side(collection_statistics(encoded.where("docid is not null").select("lang", "length")))
-            each = encoded.where("docid is null").select("lang", F.explode(F.arrays_zip(F.col("terms"), F.col("counts"))).alias("e"))
+            encoded = corpus.sparkSession.read.schema(f"{ENCODED}, language int").parquet(folder)
+            sums = encoded.where("language >= 0").groupBy("lang").agg(F.sum("n_docs").alias("n_docs"), (F.sum("length") / F.sum("n_docs")).alias("mean_length"))
+            statistics, few = counted_side(sums)
+            each = encoded.where("language < 0").select("lang", F.explode(F.arrays_zip(F.col("terms"), F.col("counts"))).alias("e"))
             frequencies = each.groupBy("lang", F.col("e.terms").alias("term")).agg(F.sum("e.counts").alias("df"))
-            means = {r.lang: r.mean_length for r in statistics.select("lang", "mean_length").collect()}
+            there = {r.lang: (r.n_docs, r.mean_length) for r in statistics.collect()}
             vocabulary = materialise(inverse_from(frequencies, statistics, few)) if n_blocks > 1 else inverse_from(frequencies, statistics, few)
-        weights = own.join(vocabulary, ["lang", "term"]).select("lang", "qid", "term", (F.col("idf") * F.col("qtf")).alias("weight"))
-        part = _block_scores(encoded, _weighted(weights.toArrow(), numbers), means, depth)
+        weights = own.join(vocabulary, ["lang", "term"]).select("lang", "qid", "term", (F.col("idf") * F.col("qtf")).alias("weight"), "df")
+        every = weights.unionByName(own.where("term is null").select("lang", "qid", "term", F.lit(None).cast("double").alias("weight"), F.lit(None).cast("bigint").alias("df")))
+        part = materialise(_rankings(every, folder, numbers, sizes, there, depth, pad))  # else a caller's sort would score twice
         result = part if result is None else result.unionByName(part)
-    top = ranked(result, depth)
-    if pad:
-        top = materialise(top)  # read by the count of what lacks, and again by what is filled
-    return padded(top, topics.where("lang is not null"), keys, depth) if pad else top.where("score <> 0")
+    return result
 
 
 def _query_terms(topics: DataFrame, tokeniser: str | None) -> DataFrame:
-    """(lang, qid, term, qtf): a term that a query repeats counts as often."""
+    """(lang, qid, term, qtf): a term that a query repeats counts as often. Each query has a row with a null term besides."""
 
     def batches(source):
         from collections import Counter
@@ -152,183 +161,364 @@ def _query_terms(topics: DataFrame, tokeniser: str | None) -> DataFrame:
 
         split = _splitter(tokeniser)
         for batch in source:
-            rows = [(lang, qid, t, n) for lang, qid, norm in zip(*(c.to_pylist() for c in batch.columns)) for t, n in Counter(split(lang)(norm or "")).items()]
+            rows = [(lang, qid, t, n) for lang, qid, norm in zip(*(c.to_pylist() for c in batch.columns)) for t, n in [(None, 0), *Counter(split(lang)(norm or "")).items()]]
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.int64())], names=["lang", "qid", "term", "qtf"])
 
     there = topics.where("lang is not null and qid is not null").select("lang", "qid", "norm")
+    there = there.repartition(4 * topics.sparkSession.sparkContext.defaultParallelism, "lang", "qid")  # few bytes, much work a row
     return there.mapInArrow(batches, "lang string, qid string, term string, qtf bigint")
 
 
+#: Columns of encoded documents.
+ENCODED = "lang string, n_docs bigint, length bigint, docids binary, entries binary, terms array<string>, counts array<int>"
+
+
 def _encoded(corpus: DataFrame, numbers: dict, tokeniser: str | None, count: bool) -> DataFrame:
-    """Documents of the queries' languages as (lang, docid, length, terms' numbers, counts), in docid order within a task.
+    """Documents of the queries' languages in chunks of one language, numbered as in `numbers`: (language, *ENCODED).
 
-    With `count`, rows without docid say in how many of a task's documents each term occurs (lang, terms, counts).
+    docids and entries are serialised Arrow batches of as many rows as the chunk has documents: (docid), and
+    (length, terms' numbers, counts). With `count`, rows of language -1 say in how many of a task's documents each
+    term occurs (lang, terms, counts).
     """
     shared = corpus.sparkSession.sparkContext.broadcast(numbers)
 
     def batches(source):
-        from collections import Counter
-
-        import numpy as np
         import pyarrow as pa
 
         known, split = shared.value, _splitter(tokeniser)
-        frequencies: Counter = Counter()
-        at = None
-        lists = lambda values, ends, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
-        names = ["lang", "docid", "length", "numbers", "counts", "terms"]
-
-        def counted():
-            every, n = list(frequencies), np.fromiter(frequencies.values(), np.int32, len(frequencies))
-            for i in range(0, len(every), ROW_TERMS):
-                part = every[i : i + ROW_TERMS]
-                ends = [0, len(part)]
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), lists(n[i : i + ROW_TERMS], ends, pa.int32()), lists(part, ends, pa.string())], names=names)
-            frequencies.clear()
+        own: dict[str, _Documents] = {}
+        kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
+        names = ["language", "lang", "n_docs", "length", "docids", "entries", "terms", "counts"]
+        place = {lang: i for i, lang in enumerate(known)}
+
+        def row(*values):
+            return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, kinds)], names=names)
+
+        def chunk(lang, last=False):
+            if own[lang].docids:
+                yield row(place[lang], lang, *own[lang].chunk(pa), None, None)
+            if last or len(own[lang].terms) > COUNTED_TERMS:
+                for terms, counts in own[lang].counted() if count else ():
+                    yield row(-1, lang, None, None, None, None, terms, counts)
+                del own[lang]
 
         for batch in source:
-            kept, lengths, found, tallies, ends = [], [], [], [], [0]
-            langs = batch.column(0).to_pylist()
-            for i, (lang, norm) in enumerate(zip(langs, batch.column(2).to_pylist())):
-                if lang not in known:
-                    continue
-                if count and (lang != at or len(frequencies) > COUNTED_TERMS):
-                    yield from counted()
-                    at = lang
-                tokens = split(lang)(norm or "")
-                tally = Counter(tokens)
-                if count:
-                    frequencies.update(tally.keys())
-                number = known[lang]
-                for t in number.keys() & tally.keys():
-                    found.append(number[t])
-                    tallies.append(tally[t])
-                kept.append(i)
-                lengths.append(len(tokens))
-                ends.append(len(found))
-            rows = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(lengths, pa.int64()), lists(np.array(found, np.int32), ends, pa.int32()), lists(np.array(tallies, np.int32), ends, pa.int32()), pa.nulls(len(kept), pa.list_(pa.string()))], names=names)
-        yield from counted()
-
-    ordered = corpus.where("lang is not null and docid is not null").select("lang", "docid", "norm").sortWithinPartitions("lang", "docid")
-    return ordered.mapInArrow(batches, "lang string, docid string, length bigint, numbers array<int>, counts array<int>, terms array<string>")
-
-
-def _weighted(weights, numbers: dict) -> dict:
-    """By language: the queries' ids, and the queries and weights of each term, terms by number: (qids, starts, queries, weights)."""
-    import numpy as np
-
-    found: dict[str, tuple[dict, list, list, list]] = {}
-    for lang, qid, term, weight in zip(*(c.to_pylist() for c in weights.columns)):
-        qids, terms, queries, values = found.setdefault(lang, ({}, [], [], []))
-        terms.append(numbers[lang][term])
-        queries.append(qids.setdefault(qid, len(qids)))
-        values.append(weight)
-    result = {}
-    for lang, (qids, terms, queries, values) in found.items():
-        order = np.argsort(np.array(terms), kind="stable")
-        starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(numbers[lang])))])
-        result[lang] = (list(qids), starts, np.array(queries, np.int64)[order], np.array(values)[order])
-    return result
-
+            for lang, docid, norm in zip(*(c.to_pylist() for c in batch.columns)):
+                if lang in known:
+                    if lang not in own:
+                        own[lang] = _Documents(known[lang], split(lang))
+                    own[lang].add(docid, norm or "")
+                    if len(own[lang].docids) >= CHUNK_DOCUMENTS or len(own[lang].tokens) > CHUNK_TOKENS:
+                        yield from chunk(lang)
+        for lang in list(own):
+            yield from chunk(lang, last=True)
 
-def _block_scores(encoded: DataFrame, weighted: dict, means: dict, depth: int) -> DataFrame:
-    """(lang, qid, docid, score): each task's best documents for a block of queries."""
-    shared = encoded.sparkSession.sparkContext.broadcast((weighted, means))
+    there = corpus.where("lang is not null and docid is not null").select("lang", "docid", "norm")
+    return there.mapInArrow(batches, f"language int, {ENCODED}")
 
-    def batches(source):
-        import pyarrow as pa
 
-        weights, mean_length = shared.value
-        at = own = None
-        for batch in source:
-            langs, docids = batch.column(0), batch.column(1).to_pylist()
-            lengths, (numbers, counts) = batch.column(2).to_numpy(zero_copy_only=False), (batch.column(i).values.to_numpy(zero_copy_only=False) for i in (3, 4))
-            ends = batch.column(3).offsets.to_numpy()
-            start = 0
-            for lang, n in _runs(langs.to_pylist()):
-                if lang != at:
-                    if own is not None:
-                        yield from own.rows(at, pa)
-                    at, own = lang, _Queries(*weights[lang], mean_length[lang], depth) if lang in weights else None
-                if own is not None:
-                    own.add(docids[start : start + n], lengths[start : start + n], numbers, counts, ends[start : start + n + 1])
-                start += n
-        if own is not None:
-            yield from own.rows(at, pa)
+class _Documents:
+    """Documents of one language, terms as numbers in the order in which they first occur; each distinct word is taken apart once."""
 
-    # In order of language and docid, a task has documents of few languages and a language is in few tasks, however many documents it has.
-    documents = encoded.where("docid is not null").select("lang", "docid", "length", "numbers", "counts").repartitionByRange("lang", "docid").sortWithinPartitions("lang", "docid")
-    return documents.mapInArrow(batches, "lang string, qid string, docid string, score double")
+    def __init__(self, known: dict, split):
+        import numpy as np
 
+        self.known, self.split = known, split
+        self.terms: dict[str, int] = {}
+        self.words: dict[str, tuple] = {}
+        self.numbers: list[int] = []  # of each term, that which queries know it by, or -1
+        self.df = np.zeros(0, np.int64)
+        self.docids, self.lengths, self.tokens = [], [], []
+
+    def add(self, docid: str, norm: str) -> None:
+        before = len(self.tokens)
+        for word in norm.split():
+            self.tokens += self.words.get(word) or self._word(word)
+        self.docids.append(docid)
+        self.lengths.append(len(self.tokens) - before)
+
+    def _word(self, word: str) -> tuple:
+        if len(self.words) >= KEPT_WORDS:
+            self.words.clear()
+        found = []
+        for t in self.split(word):
+            if (k := self.terms.get(t)) is None:
+                k = self.terms[t] = len(self.terms)
+                self.numbers.append(self.known.get(t, -1))
+            found.append(k)
+        own = self.words[word] = tuple(found)
+        return own
+
+    def chunk(self, pa):
+        """(number of documents, their length, docids, entries) of the documents added since the last."""
+        import numpy as np
 
-def _runs(values: list):
-    """(value, how often) of equal neighbours."""
-    from itertools import groupby
+        n, width = len(self.docids), max(1, len(self.terms))
+        cells = np.repeat(np.arange(n), self.lengths) * width + np.array(self.tokens, np.int64)
+        cells, counts = np.unique(cells, return_counts=True)
+        document, term = np.divmod(cells, width)
+        df = np.bincount(term, minlength=width)
+        df[: len(self.df)] += self.df
+        self.df = df
+        number = np.array([*self.numbers, -1], np.int32)[term]
+        kept = number >= 0
+        ends = np.concatenate([[0], np.cumsum(np.bincount(document[kept], minlength=n))])
+        lists = lambda values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[kept].astype(np.int32)))
+        first = _packed(pa.RecordBatch.from_arrays([pa.array(self.docids, pa.string())], names=["docid"]))
+        second = _packed(pa.RecordBatch.from_arrays([pa.array(self.lengths, pa.int64()), lists(number), lists(counts)], names=["length", "numbers", "counts"]))
+        length = sum(self.lengths)
+        self.docids, self.lengths, self.tokens = [], [], []
+        return n, length, first, second
+
+    def counted(self):
+        """(terms, in how many documents each was), in pieces."""
+        every, df = list(self.terms), self.df.tolist()
+        for i in range(0, len(every), ROW_TERMS):
+            yield every[i : i + ROW_TERMS], df[i : i + ROW_TERMS]
+
+
+def _packed(batch) -> bytes:
+    """An Arrow batch as bytes."""
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _chunks(folder: str, language: int, column: str):
+    """The Arrow batches in a column of a language's encoded documents, in the same order every time."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    files, path = fs.FileSystem.from_uri(folder)
+    own = files.get_file_info(fs.FileSelector(f"{path}/language={language}", allow_not_found=True))
+    for info in sorted(own, key=lambda f: f.path):
+        if info.path.endswith(".parquet"):
+            with files.open_input_file(info.path) as file:
+                for rows in pq.ParquetFile(file).iter_batches(batch_size=8, columns=[column]):
+                    for packed in rows.column(0):
+                        yield pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+
+
+def _rankings(weights: DataFrame, folder: str, numbers: dict, sizes: dict, there: dict, depth: int, pad: bool) -> DataFrame:
+    """(lang, qid, docid, score, rank) of weighted queries (lang, qid, term, weight, df), a row with a null term each, over the documents in `folder`.
+
+    A task has part of the queries of one language, by the work they make and at most about TASK_QUERIES.
+    """
+    session = weights.sparkSession
+    work = {lang: n * there[lang][0] for lang, n in sizes.items() if lang in there}
+    share = 4 * session.sparkContext.defaultParallelism / max(1, sum(work.values()))
+    parts = {lang: max(-(-sizes[lang] // TASK_QUERIES), min(math.ceil(w * share), -(-sizes[lang] // LEAST_QUERIES))) for lang, w in work.items()}
+    starts = dict(zip(parts, accumulate(parts.values(), initial=0)))
+    tasks = session.createDataFrame([(lang, starts[lang], n) for lang, n in parts.items()], "lang string, first int, parts int")
+    own = weights.join(F.broadcast(tasks), "lang").withColumn("task", (F.col("first") + F.pmod(F.xxhash64("qid"), F.col("parts"))).cast("int"))
+    own = own.select("lang", "qid", "term", "weight", "df", "task").repartitionById(max(1, sum(parts.values())), F.col("task"))
+    shared = session.sparkContext.broadcast((numbers, there))
 
-    return [(value, sum(1 for _ in own)) for value, own in groupby(values)]
+    def batches(source):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        rows = [b for b in source if b.num_rows]
+        every = pa.Table.from_batches(rows) if rows else None
+        known, statistics = shared.value
+        for lang in every.column("lang").unique().to_pylist() if every else ():
+            asked = every.filter(pc.equal(every.column("lang"), lang))
+            n_docs, mean_length = statistics[lang]
+            queries, local = _weighted(asked, known[lang], n_docs, mean_length, depth)
+            language = list(known).index(lang)
+            docids = pa.chunked_array([b.column(0) for b in _chunks(folder, language, "docids")]).combine_chunks()
+            places = np.empty(len(docids), np.int64)
+            order = pc.array_sort_indices(docids).to_numpy()
+            places[order] = np.arange(len(docids))
+            at = 0
+            for batch in _chunks(folder, language, "entries"):
+                lengths = batch.column(0).to_numpy(zero_copy_only=False)
+                term, counts, ends = local[batch.column(1).values.to_numpy()], batch.column(2).values.to_numpy(), batch.column(1).offsets.to_numpy()
+                kept = np.concatenate([[0], np.cumsum(term >= 0)])
+                queries.add((), lengths, term[term >= 0], counts[term >= 0], kept[ends], places[at : at + len(lengths)])
+                at += len(lengths)
+            yield from queries.rows(lang, docids, order, pad, pa)
+
+    return own.mapInArrow(batches, "lang string, qid string, docid string, score double, rank int")
+
+
+def _weighted(asked, numbers: dict, n_docs: int, mean_length: float, depth: int):
+    """Queries of one language from rows (qid, term, weight, df), and by the number of a term its place among their terms, else -1."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    qid, term = (asked.column(c).combine_chunks().dictionary_encode() for c in ("qid", "term"))
+    has = asked.column("term").is_valid().to_numpy()
+    queries, terms = qid.indices.to_numpy()[has], pc.fill_null(term.indices, -1).to_numpy()[has]
+    weights, df = (pc.fill_null(asked.column(c), 0).to_numpy()[has] for c in ("weight", "df"))
+    order = np.argsort(terms, kind="stable")
+    names = term.dictionary.to_pylist()
+    starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(names)))]).astype(np.int64)
+    often = np.zeros(len(names))
+    often[terms] = df / n_docs
+    local = np.full(max(1, len(numbers)), -1, np.int64)
+    local[[numbers[t] for t in names]] = np.arange(len(names))
+    return _Queries(qid.dictionary.to_pylist(), starts, queries[order].astype(np.int64), weights[order], mean_length, depth, often), local
 
 
 class _Queries:
-    """Weighted queries of one language, terms leading to queries, and the best documents seen so far."""
+    """Weighted queries of one language, terms leading to queries, and the best documents seen so far.
+
+    Scores are first summed in single precision, for all queries at once; where they come near what a query's best
+    documents have, by more than the error that such a sum can have, they are summed again in double precision.
+    """
 
-    def __init__(self, qids: list[str], starts, queries, weights, mean_length: float, depth: int):
+    def __init__(self, qids: list[str], starts, queries, weights, mean_length: float, depth: int, share=None):
+        """share: by term, the share of documents that have it, where it is known; it decides how a term is multiplied, no score."""
         import numpy as np
 
-        self.qids, self.starts, self.queries, self.weights, self.mean_length = qids, starts, queries, weights, mean_length
-        # Where a weight is below 0, documents of score 0 may stand above others, so all are ranked here.
+        n = max(1, len(qids))
+        self.qids, self.starts, self.queries, self.weights, self.mean_length, self.depth = qids, starts, queries, weights, mean_length, depth
+        # Where a weight is below 0, documents of score 0 may stand above others, so all are ranked here, and errors are no share of a score.
         self.whole = bool((weights < 0).any())
+        self.kind = np.float64 if self.whole else np.float32
         self.best = Best(len(qids), depth, float("-inf") if self.whole else 0.5 * 10.0**-PLACES)
         self.docids: list[str] = []
-        # Terms of many queries are multiplied as a matrix, of bounded size, the others one by one.
+        self.seen = 0
         often = np.diff(starts)
-        common = np.flatnonzero(often > max(8, len(qids) // 32))
-        common = common[np.argsort(-often[common], kind="stable")][: max(1, 2 * BATCH_SCORES // len(qids))]
-        self.column = np.full(len(often), -1)
+        self.n_terms = len(often)
+        # Terms by which many products arise are multiplied as a matrix, of bounded size, the others one by one.
+        products = often.astype(float) if share is None else often * share
+        common = np.flatnonzero(often > max(8, n // 32) if share is None else products > DENSE_SHARE * n)
+        common = common[np.argsort(-products[common], kind="stable")][: max(1, MATRIX_CELLS // n)]
+        self.column = np.full(self.n_terms, -1)
         self.column[common] = np.arange(len(common))
-        self.matrix = np.zeros((len(common), len(qids)))
+        self.matrix = np.zeros((len(common), len(qids)), self.kind)
         for k, t in enumerate(common):
             np.add.at(self.matrix[k], queries[starts[t] : starts[t + 1]], weights[starts[t] : starts[t + 1]])
-
-    def add(self, docids: list, lengths, numbers, counts, ends) -> None:
-        step = max(1, BATCH_SCORES // max(len(self.qids), len(self.matrix)))
-        for i in range(0, len(docids), step):
-            part = slice(i, i + step)
-            self._add(docids[part], lengths[part], numbers, counts, ends[i : i + step + 1])
-
-    def _add(self, docids: list, lengths, numbers, counts, ends) -> None:
+        # The same by query.
+        order = np.argsort(queries, kind="stable")
+        self.own_terms, self.own_weights = np.repeat(np.arange(self.n_terms), often)[order], weights[order]
+        self.own_starts = np.concatenate([[0], np.cumsum(np.bincount(queries, minlength=len(qids)))]).astype(np.int64)
+        # Sums of as many products as a query has terms, all above 0, are off by less than this share.
+        self.margin = (int(np.diff(self.own_starts).max(initial=0)) + 16) * 2.0**-23
+        self.step = max(1, BATCH_SCORES // max(n, len(common), self.n_terms))
+        self.wide, self.dense = np.zeros((self.step, max(1, self.n_terms))), np.zeros((self.step, len(common)), self.kind)
+        self.scores, self.near = np.empty((self.step, len(qids)), self.kind), np.empty((self.step, len(qids)), bool)
+
+    def add(self, docids: list, lengths, numbers, counts, ends, places=None) -> None:
+        """places: the documents' places by docid, where they do not come in that order."""
+        i = 0
+        while i < len(lengths):
+            n = min(self.step, max(self.depth, self.seen))  # few at first: until bars are set, every document is near
+            part = slice(i, i + n)
+            self._add(docids[part], lengths[part], numbers, counts, ends[i : i + n + 1], None if places is None else places[part])
+            i += n
+            if self.seen <= 16 * self.depth:
+                self.best.settle()
+
+    def _add(self, docids: list, lengths, numbers, counts, ends, places) -> None:
         import numpy as np
 
-        n, n_queries, first = len(docids), len(self.qids), len(self.docids)
+        n, n_queries = len(lengths), len(self.qids)
+        if places is None:
+            places = np.arange(self.seen, self.seen + n)
+        self.seen += n
         self.docids += docids
         document = np.repeat(np.arange(n), np.diff(ends))
         term, count = numbers[ends[0] : ends[-1]], counts[ends[0] : ends[-1]]
         scale = K1 * (1 - B + B * lengths / self.mean_length) if self.mean_length else np.full(n, K1)
         impact = count * (K1 + 1) / (count + scale[document])
+        self.wide[document, term] = impact
         column = self.column[term]
         common = column >= 0
-        dense = np.zeros((n, len(self.matrix)))
-        dense[document[common], column[common]] = impact[common]
-        scores = (dense @ self.matrix).ravel()
-        document, term, impact = document[~common], term[~common], impact[~common]
-        begin, often = self.starts[term], self.starts[term + 1] - self.starts[term]
-        until = np.cumsum(often)
-        at = 0
-        while at < len(term):  # as many terms at a time as keep the products bounded
-            stop = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + BATCH_PRODUCTS, "right")))
-            own = often[at:stop]
-            entry = np.repeat(begin[at:stop] - np.cumsum(own) + own, own) + np.arange(own.sum())
-            scores += np.bincount(np.repeat(document[at:stop] * n_queries, own) + self.queries[entry], np.repeat(impact[at:stop], own) * self.weights[entry], n * n_queries)
-            at = stop
-        scores = scores.reshape(n, n_queries)
-        near_document, near = np.nonzero(scores >= self.best.bar - 10.0**-PLACES)
-        values = np.round(scores[near_document, near] + NUDGE, PLACES)
+        cells = document[common], column[common]
+        self.dense[cells] = impact[common]
+        scores = np.matmul(self.dense[:n], self.matrix, out=self.scores[:n])
+        self.dense[cells] = 0
+        self._add_rare(scores.reshape(-1), document[~common], term[~common], impact[~common])
+        near_document, near = np.divmod(_places_of(np.greater_equal(scores, self._bar(), out=self.near[:n])), n_queries) if n_queries else (np.zeros(0, np.int64),) * 2
+        values = np.round(self._exact(near_document, near) + NUDGE, PLACES)
         kept = values >= self.best.bar[near]
-        self.best.offer(near[kept], near_document[kept] + first, values[kept])
+        self.best.offer(near[kept], places[near_document[kept]], values[kept])
+        self.wide[document, term] = 0
+
+    def _bar(self):
+        """What a sum must reach for its query, errors allowed for."""
+        import numpy as np
+
+        slack = self.best.bar - 10.0**-PLACES
+        return slack if self.whole else np.nextafter(np.maximum(slack - self.margin * self.best.bar, 1e-30).astype(np.float32), np.float32(0))
+
+    def _add_rare(self, scores, document, term, impact) -> None:
+        import numpy as np
+
+        begin, often = self.starts[term], self.starts[term + 1] - self.starts[term]
+        for part in _slices(often):
+            entry = _entries(begin[part], often[part])
+            np.add.at(scores, np.repeat(document[part] * len(self.qids), often[part]) + self.queries[entry], (np.repeat(impact[part], often[part]) * self.weights[entry]).astype(self.kind))
+
+    def _exact(self, document, query):
+        """Scores of pairs of document of the present batch and query."""
+        import numpy as np
+
+        scores, cells = np.zeros(len(query)), self.wide.reshape(-1)
+        begin, often = self.own_starts[query], self.own_starts[query + 1] - self.own_starts[query]
+        for part in _slices(often):
+            entry = _entries(begin[part], often[part])
+            products = cells[np.repeat(document[part] * self.wide.shape[1], often[part]) + self.own_terms[entry]] * self.own_weights[entry]
+            scores[part] = np.bincount(np.repeat(np.arange(len(often[part])), often[part]), products, len(often[part]))
+        return scores
+
+    def rows(self, lang: str, docids, order, pad: bool, pa):
+        """Rankings; docids in the order of the documents added, and order: by place, which of them it is. With `pad`, documents of score 0 fill what lacks."""
+        import numpy as np
 
-    def rows(self, lang: str, pa):
-        queries, documents, scores = self.best.settle()
+        queries, places, scores = self.best.settle()
+        n = min(self.depth, len(docids))
+        if pad:
+            counts = np.bincount(queries, minlength=len(self.qids))
+            until = np.cumsum(counts)
+            more = [(q, np.setdiff1d(np.arange(n), places[until[q] - counts[q] : until[q]])[: n - counts[q]]) for q in np.flatnonzero(counts < n)]
+            queries = np.concatenate([queries, *(np.full(len(p), q) for q, p in more)])
+            places = np.concatenate([places, *(p for _, p in more)])
+            scores = np.concatenate([scores, np.zeros(len(queries) - len(scores))])
+            by = np.argsort(queries, kind="stable")  # those of score 0 follow
+            queries, places, scores = queries[by], places[by], scores[by]
+        ranks = np.arange(len(queries)) - np.searchsorted(queries, queries, "left") + 1
+        kept = slice(None) if pad else scores != 0
+        queries, places, scores, ranks = queries[kept], places[kept], scores[kept], ranks[kept]
+        qids = pa.array(self.qids, pa.string())
         for i in range(0, len(queries), 1 << 16):
-            q, d, s = (x[i : i + (1 << 16)] for x in (queries, documents, scores))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(q), pa.string()), pa.array([self.qids[k] for k in q], pa.string()), pa.array([self.docids[k] for k in d], pa.string()), pa.array(s)], names=["lang", "qid", "docid", "score"])
+            q, p, s, r = (x[i : i + (1 << 16)] for x in (queries, places, scores, ranks))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(q), pa.string()), qids.take(pa.array(q)), docids.take(pa.array(order[p])), pa.array(s), pa.array(r, pa.int32())], names=["lang", "qid", "docid", "score", "rank"])
+
+
+def _entries(begin, often):
+    """The numbers from each `begin` on, as many as `often` says, in a row."""
+    import numpy as np
+
+    return np.repeat(begin - np.cumsum(often) + often, often) + np.arange(often.sum())
+
+
+def _slices(often):
+    """Slices whose sums are about BATCH_PRODUCTS at most."""
+    import numpy as np
+
+    until, at = np.cumsum(often), 0
+    while at < len(often):
+        stop = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + BATCH_PRODUCTS, "right")))
+        yield slice(at, stop)
+        at = stop
+
+
+def _places_of(mask):
+    """Where a mask is set, counted through; looked for by eight at a time."""
+    import numpy as np
+
+    flat = mask.reshape(-1)
+    whole = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:whole].view(np.uint64))
+    near = (words[:, None] * 8 + np.arange(8)).reshape(-1)
+    return np.concatenate([near[flat[near]], whole + np.flatnonzero(flat[whole:])])
