@@ -129,3 +129,19 @@ def test_every_resample_is_listed(spark):
 
     drawn = queries()["r04_resamples_full"](spark, SMALL).groupBy("lang").agg(F.countDistinct("b").alias("n"), F.max("b").alias("last")).collect()
     assert drawn and {(r.n, r.last) for r in drawn} == {(10_000, 10_000)}
+
+
+def test_draws_are_hashes_spread_over_tasks(spark, monkeypatch):
+    """Every draw is the hash of seed, language, resample and draw, also of long names, and the draws of one language are many tasks' work."""
+    import hashlib
+
+    from verbascope.operators import statistics
+
+    monkeypatch.setattr(statistics, "HASHED_PAIRS", 64)
+    monkeypatch.setattr(statistics, "PIECE_DRAWS", 500)
+    sizes = [("en", 120), ("ไทย", 9), ("x" * 60, 3)]
+    drawn = statistics.draws(spark.createDataFrame(sizes, "lang string, n bigint"), 101, 7)
+    got = {(r.lang, r.b, r.draw): r.i for r in drawn.collect()}
+    number = lambda *x: int(hashlib.md5(":".join(map(str, x)).encode()).hexdigest()[:8], 16)
+    assert got == {(lang, b, k): number(7, lang, b, k) % n for lang, n in sizes for b in range(1, 102) for k in range(1, n + 1)} and drawn.count() == len(got)
+    assert drawn.where("lang = 'en'").select(F.spark_partition_id()).distinct().count() > 4

@@ -19,6 +19,85 @@ def hash_number(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("bigint")
 
 
+#: Pairs of resample and draw that are hashed at a time, and draws of one piece of work, about.
+HASHED_PAIRS, PIECE_DRAWS = 16_384, 1_000_000
+
+
+def hashed_pairs(prefix: bytes, first, second):
+    """`hash_number` of prefix, and each of `first` with each of `second` behind it, all parted by colons, as an array of rows of `first`.
+
+    first, second: arrays of whole numbers above 0, each of numbers of the same count of digits. The 64 steps of
+    MD5 are made for all pairs at once; where a text is too long for one block, one by one.
+    """
+    import hashlib
+
+    import numpy as np
+
+    parts = [f"{prefix.decode()}:", first, ":", second]
+    width = lambda x: len(x.encode()) if isinstance(x, str) else len(str(x[0]))
+    length = sum(map(width, parts))
+    if length > 55:
+        number = lambda a, b: int(hashlib.md5(f"{prefix.decode()}:{a}:{b}".encode()).hexdigest()[:8], 16)
+        return np.array([[number(a, b) for b in second.tolist()] for a in first.tolist()], np.int64)
+    octets: list = []
+    for part in parts:
+        if isinstance(part, str):
+            octets += [np.full((1, 1), x, np.uint32) for x in part.encode()]
+        else:
+            own = part.reshape((-1, 1) if part is first else (1, -1))
+            octets += [(own // 10**k % 10 + 48).astype(np.uint32) for k in range(width(part) - 1, -1, -1)]
+    end = [128, *[0] * (55 - length), *(8 * length).to_bytes(8, "little")]
+    octets += [np.full((1, 1), x, np.uint32) for x in end]
+    words = [octets[i] | octets[i + 1] << 8 | octets[i + 2] << 16 | octets[i + 3] << 24 for i in range(0, 64, 4)]
+    start = [np.full((1, 1), x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = start
+    for i in range(64):
+        kind = i // 16
+        f = (d ^ (b & (c ^ d))) if kind == 0 else (c ^ (d & (b ^ c))) if kind == 1 else (b ^ c ^ d) if kind == 2 else (c ^ (b | ~d))
+        word = words[(i, 5 * i + 1, 3 * i + 5, 7 * i)[kind] % 16]
+        f = f + a + (word + np.uint32(int(abs(math.sin(i + 1)) * 2**32)))
+        turn = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))[kind][i % 4]
+        a, d, c, b = d, c, b, b + (f << np.uint32(turn) | f >> np.uint32(32 - turn))
+    return np.broadcast_to((start[0] + a).byteswap(), (len(first), len(second))).astype(np.int64)
+
+
+def draws(sizes: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """(lang, b, draw, i): in each of `resamples`, n draws with replacement of positions below n; sizes: (lang, n).
+
+    A draw is `hash_number` of seed, language, resample and draw, by n. The work is cut into pieces of about
+    PIECE_DRAWS, which all cores share whatever the sizes of the languages.
+    """
+    session = sizes.sparkSession
+    tasks = max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    step = F.greatest(F.lit(1), F.lit(PIECE_DRAWS) / F.col("n")).cast("int")
+    pieces = sizes.where("n > 0").select("lang", F.col("n").cast("bigint").alias("n"), F.explode(F.sequence(F.lit(1), F.lit(resamples), step)).alias("first"), step.alias("step"))
+
+    def batches(source):
+        import numpy as np
+        import pyarrow as pa
+
+        def classes(low, high):
+            """From low to high in arrays of numbers of the same count of digits."""
+            while low < high:
+                until = min(high, 10 ** len(str(low)))
+                yield np.arange(low, until)
+                low = until
+
+        for batch in source:
+            for lang, n, first, step in zip(*(c.to_pylist() for c in batch.columns)):
+                for own in classes(first, min(first + step, resamples + 1)):
+                    for drawn in classes(1, n + 1):
+                        wide = min(len(drawn), HASHED_PAIRS)
+                        high = max(1, HASHED_PAIRS // wide)
+                        for i in range(0, len(own), high):
+                            for j in range(0, len(drawn), wide):
+                                b, draw = own[i : i + high], drawn[j : j + wide]
+                                numbers = hashed_pairs(f"{seed}:{lang}".encode(), b, draw).reshape(-1) % n
+                                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(numbers)), pa.array(np.repeat(b, len(draw))), pa.array(np.tile(draw, len(b))), pa.array(numbers)], names=["lang", "b", "draw", "i"])
+
+    return pieces.repartition(tasks).mapInArrow(batches, "lang string, b bigint, draw bigint, i bigint")
+
+
 #: Weights that one hash gives, each by 16 of its bits, and the bits' values from which on a Poisson weight of mean 1 is at least 1, 2, ...
 WEIGHTS_PER_HASH = 8
 WEIGHT_STEPS = [s for k in range(9) if (s := math.floor(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)))) < 65535]

@@ -219,8 +219,7 @@ def r03_texts(spark, d):
 def r04_resamples(spark, d, resamples=3):
     """Draws of each language's first resamples, as positions."""
     sizes = C.topics(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return draws.select("lang", F.col("b").cast("bigint").alias("b"), F.col("draw").cast("bigint").alias("draw"), F.pmod(S.hash_number(F.lit(SEED), F.col("lang"), F.col("b"), F.col("draw")), F.col("n")).alias("i"))
+    return S.draws(sizes, resamples, SEED)
 
 
 def r04_resamples_full(spark, d):
