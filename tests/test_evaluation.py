@@ -145,3 +145,14 @@ def test_draws_are_hashes_spread_over_tasks(spark, monkeypatch):
     number = lambda *x: int(hashlib.md5(":".join(map(str, x)).encode()).hexdigest()[:8], 16)
     assert got == {(lang, b, k): number(7, lang, b, k) % n for lang, n in sizes for b in range(1, 102) for k in range(1, n + 1)} and drawn.count() == len(got)
     assert drawn.where("lang = 'en'").select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_gain_ranks_as_deep_as_its_measure(spark, monkeypatch):
+    """The comparison of tokenisers ranks ten documents a query, and has the nDCG@10 of rankings of a hundred."""
+    from verbascope.operators import bm25
+
+    depths, run = [], bm25.run_bm25
+    monkeypatch.setattr(bm25, "run_bm25", lambda *x: depths.append(x[3] if len(x) > 3 else 100) or run(*x))
+    got = {(r.lang, r.qid): r.ndcg10 for r in E._swept(spark, SMALL, ["char4"]).collect()}
+    assert depths == [10]
+    assert got == {(r.lang, r.qid): r.ndcg10 for r in E.QUERIES["v02_ndcg"](spark, SMALL).collect()} and got
